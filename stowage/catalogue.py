@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import names
+
+MODULES = [names]
+QUERIES = {k: f for m in MODULES for k, f in m.R.queries.items()}
+ORACLES = {k: s for m in MODULES for k, s in m.R.oracles.items()}

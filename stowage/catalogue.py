@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import names
+from .queries import checksums, names, pathnames
 
-MODULES = [names]
+MODULES = [names, pathnames, checksums]
 QUERIES = {k: f for m in MODULES for k, f in m.R.queries.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.R.oracles.items()}

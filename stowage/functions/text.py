@@ -8,27 +8,39 @@ from pyspark.sql import functions as F
 ENTRY_WIDTH = 40
 
 
-def one_decimal(value: Column) -> Column:
-    return F.format_string("%.1f", value.cast("double"))
+def fixed(numerator: Column, denominator: Column | int, digits: int) -> Column:
+    """The quotient of two whole numbers with `digits` decimals; a tie goes up.
+    In whole numbers, as floating point would decide ties by its own error."""
+    den = F.lit(denominator).cast("long") if isinstance(denominator, int) else denominator.cast("long")
+    scaled = numerator.cast("long") * (2 * 10**digits) + den
+    units = ((scaled - scaled % (den * 2)) / (den * 2)).cast("long")
+    whole = ((units - units % 10**digits) / 10**digits).cast("long")
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((units % 10**digits).cast("string"), digits, "0"))
 
 
 def human_bytes(n: Column) -> Column:
     """1024-based: 512 B, 1.5 KB, 2.0 MB, 1.25 GB."""
-    d = n.cast("double")
     return (
         F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1 << 20, F.concat(one_decimal(d / (1 << 10)), F.lit(" KB")))
-        .when(n < 1 << 30, F.concat(one_decimal(d / (1 << 20)), F.lit(" MB")))
-        .otherwise(F.concat(F.format_string("%.2f", d / (1 << 30)), F.lit(" GB")))
+        .when(n < 1 << 20, F.concat(fixed(n, 1 << 10, 1), F.lit(" KB")))
+        .when(n < 1 << 30, F.concat(fixed(n, 1 << 20, 1), F.lit(" MB")))
+        .otherwise(F.concat(fixed(n, 1 << 30, 2), F.lit(" GB")))
     )
 
 
+def binary_size(n: Column) -> Column:
+    """512 B, 1.50 KiB, ... TiB: as the summary lines show sizes."""
+    out = F.concat(fixed(n, 1 << 40, 2), F.lit(" TiB"))
+    for k, name in ((30, "GiB"), (20, "MiB"), (10, "KiB")):
+        out = F.when(n < 1 << (k + 10), F.concat(fixed(n, 1 << k, 2), F.lit(f" {name}"))).otherwise(out)
+    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
+
+
 def human_size(n: Column) -> Column:
     """1000-based: 512 bytes, 1.5 KB, ... TB."""
-    d = n.cast("double")
-    out = F.concat(one_decimal(d / 1e12), F.lit(" TB"))
-    for limit, unit, name in ((1e12, 1e9, "GB"), (1e9, 1e6, "MB"), (1e6, 1e3, "KB")):
-        out = F.when(d < limit, F.concat(one_decimal(d / unit), F.lit(f" {name}"))).otherwise(out)
+    out = F.concat(fixed(n, 10**12, 1), F.lit(" TB"))
+    for k, name in ((9, "GB"), (6, "MB"), (3, "KB")):
+        out = F.when(n < 10 ** (k + 3), F.concat(fixed(n, 10**k, 1), F.lit(f" {name}"))).otherwise(out)
     return F.when(n < 1000, F.concat(n.cast("string"), F.lit(" bytes"))).otherwise(out)
 
 
@@ -43,8 +55,7 @@ def duration(ms: Column) -> Column:
 
 def duration_label(ms: Column) -> Column:
     """450 ms or 1.20 s."""
-    long = F.concat(F.format_string("%.2f", ms.cast("double") / 1000), F.lit(" s"))
-    return F.when(ms < 1000, F.concat(ms.cast("long").cast("string"), F.lit(" ms"))).otherwise(long)
+    return F.when(ms < 1000, F.concat(ms.cast("long").cast("string"), F.lit(" ms"))).otherwise(F.concat(fixed(ms, 1000, 2), F.lit(" s")))
 
 
 def truncate_entry(path: Column) -> Column:
@@ -66,8 +77,8 @@ def list_line(size: Column, path: Column, is_dir: Column) -> Column:
 
 
 def compress_line(output: Column, input_bytes: Column, output_bytes: Column, ms: Column) -> Column:
-    share = one_decimal(ratio(input_bytes, output_bytes) * 100)
-    return F.concat(output, F.lit("  "), human_bytes(input_bytes), F.lit(" → "), human_bytes(output_bytes), F.lit(" ("), share, F.lit("%)  in "), duration(ms))
+    share = F.when(input_bytes == 0, F.lit("0.0")).otherwise(fixed(output_bytes * 100, F.nullif(input_bytes, F.lit(0)), 1))
+    return F.concat(output, F.lit("  "), binary_size(input_bytes), F.lit(" → "), binary_size(output_bytes), F.lit(" ("), share, F.lit("%)  in "), duration(ms))
 
 
 def extract_line(entries: Column, dest: Column, ms: Column) -> Column:

@@ -74,17 +74,22 @@ def first_of(cases: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda chain, case: chain.when(*case), cases[1:], F.when(*cases[0]))
 
 
+def looked_up(values: dict, key: Column) -> Column:
+    """The value of a literal map; null for a key that it lacks. One mention
+    of `key`, where a chain of comparisons would repeat its expression."""
+    return F.try_element_at(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v)))), key)
+
+
 def suffix_of(name: Column) -> Column:
     """The recognised suffix, in lower case; null if there is none."""
-    low = ascii_lower(name)
-    return first_of([(low.endswith(s), F.lit(s)) for s, _, _ in SUFFIXES])
+    ends = "|".join(s.replace(".", "\\.") for s, _, _ in SUFFIXES)
+    return F.nullif(F.regexp_extract(ascii_lower(name), f"({ends})\\z", 1), F.lit(""))
 
 
 def format_of_name(name: Column) -> Column:
     """The format that a file name's suffix says (A-Z in either case); null
     for a null name or one without a known suffix."""
-    low = ascii_lower(name)
-    return first_of([(low.endswith(s), make_format(a, b)) for s, a, b in SUFFIXES])
+    return looked_up({s: make_format(a, b) for s, a, b in SUFFIXES}, suffix_of(name))
 
 
 def stem_of_name(name: Column) -> Column:
@@ -117,12 +122,12 @@ def parse_format(text: Column) -> Column:
     """The format of a codec's or container's name or alias, or of a suffix
     without its dot, in either case; null if unknown."""
     low = ascii_lower(text)
-    named = first_of([(low == k, make_format(a, b)) for k, (a, b) in ALIASES.items()])
+    named = looked_up({k: make_format(a, b) for k, (a, b) in ALIASES.items()}, low)
     return F.coalesce(named, format_of_name(F.concat(F.lit("x."), low)))
 
 
 def short_codec(codec: Column) -> Column:
-    return first_of([(codec == k, F.lit(v)) for k, v in SHORT.items()])
+    return looked_up(SHORT, codec)
 
 
 def format_name(fmt: Column) -> Column:
@@ -157,7 +162,7 @@ def compose_format(container: Column, codec: Column) -> Column:
 def decompose_format(name: Column) -> Column:
     """struct<container, codec>: the choice that a format name stands for;
     `none` and `zstd` if it is unknown."""
-    inner = first_of([(name == f"tar.{v}", F.lit(k)) for k, v in SHORT.items()])
+    inner = looked_up({f"tar.{v}": k for k, v in SHORT.items()}, name)
     return (
         F.when(name.isin("zip", "7z", "tar"), make_format(name, None))
         .when(inner.isNotNull(), make_format("tar", inner))
@@ -173,7 +178,7 @@ def default_format(is_dir: Column) -> Column:
 def promoted(fmt: Column, bundle: Column) -> Column:
     """The format that a directory or several inputs are packed in: a codec
     alone holds one file, so it goes over a tar."""
-    alone = fmt.getField("container").isNull() & bundle
+    alone = fmt.isNotNull() & fmt.getField("container").isNull() & bundle
     return F.when(alone, make_format("tar", fmt.getField("codec"))).otherwise(fmt)
 
 

@@ -66,7 +66,10 @@ def lz4_encode(data: bytes, level: str) -> bytes:
 
 def xz_encode(data: bytes, level: str) -> bytes:
     preset = LEVELS["xz"][level] | (lzma.PRESET_EXTREME if level == "edge" else 0)
-    return lzma.compress(data, lzma.FORMAT_XZ, lzma.CHECK_CRC64, preset)
+    # a dictionary over the data's length gains nothing and costs each row its memory
+    size = min(1 << max(12, len(data).bit_length()), 64 << 20)
+    whole = {"id": lzma.FILTER_LZMA2, "preset": preset}
+    return lzma.compress(data, lzma.FORMAT_XZ, lzma.CHECK_CRC64, filters=[whole | ({"dict_size": size} if size < 1 << 23 else {})])
 
 
 def zstd_encode(data: bytes, level: str) -> bytes:

@@ -89,8 +89,7 @@ PREFERENCES = {"cpu": "cpu", "off": "cpu", "disabled": "cpu", "auto": "auto", "o
 
 
 def parse_preference(text: Column) -> Column:
-    low = formats.ascii_lower(text)
-    return formats.first_of([(low == k, F.lit(v)) for k, v in PREFERENCES.items()])
+    return formats.looked_up(PREFERENCES, formats.ascii_lower(text))
 
 
 def parse_target(text: Column) -> Column:

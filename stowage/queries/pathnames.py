@@ -138,7 +138,7 @@ _SIZES = "s AS (SELECT doc_id, n_chars * n_chars * n_chars AS n, n_chars AS ms,
 
 
 def _fixed(n: str, den: str, digits: int) -> str:
-    u = f"(({n}) * {2 * 10**digits} + ({den})) // (2 * ({den}))"
+    u = f"(({n}) * {2 * 10**digits} + ({den})) // (CAST(2 AS BIGINT) * ({den}))"
     return f"(({u}) // {10**digits} || '.' || lpad(CAST(({u}) % {10**digits} AS VARCHAR), {digits}, '0'))"
 
 

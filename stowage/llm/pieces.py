@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Characters of a text that are encoded at once; longer texts are cut between words.
 CHUNK = 1 << 16
+#: Rows whose ids are Python lists at once.
+ROWS = 128
 
 
 @cache
@@ -53,8 +55,8 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
                 found = []
                 for text in part.column(1).to_pylist():
                     pieces = [sp.encode(c, num_threads=1) for c in chunks(text or "", chunk)] if text else []
@@ -75,7 +77,9 @@ def with_decoded(encoded: DataFrame, model: str, *, ids_col: str = "ids") -> Dat
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
         for batch in batches:
-            texts = [sp.decode(ids) if ids else "" for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            for k in range(0, len(batch), ROWS):
+                part = batch.slice(k, ROWS)
+                texts = [sp.decode(ids) if ids else "" for ids in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(rows, schema)

@@ -32,8 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each SimHash component."""
-    return simhash.keep_first(docs, width=5)
+    """Keeps one document of each group of near copies: those whose five-word
+    fingerprints agree in 0.8 of their bits or more."""
+    return simhash.keep_first(docs, width=5, similarity=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

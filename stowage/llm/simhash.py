@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,44 +21,74 @@ PIVOTS = 32
 BITS_AT_ONCE = 100_000
 
 
-def fingerprint_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
+def streams(hashes: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    """The hashes, and `words` - 1 further ones that are mixed from them."""
+    yield hashes
+    for k in range(1, words):
+        h = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        yield h ^ (h >> np.uint64(31))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BITS_AT_ONCE):
+        bits = np.unpackbits(hashes[at : at + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # as many as a byte counts
+            ones += bits[k : k + 255].sum(0, dtype=np.uint8)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint_rows(batches: Iterator[pa.RecordBatch], width: int, words: int) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "row", *(f"f{k}" for k in range(words))]
     h = xxhash.xxh64_intdigest
     for batch in batches:
         fps = []
         for text in batch.column(1).cast(pa.binary()):
-            words = (text.as_py() or b"").lower().split()  # bytes: A-Z and ASCII white space alone
-            line, n = b" ".join(words), len(words)
-            if n <= width:
-                fps.append(h(line, 42) if n else 0)
+            parts = (text.as_py() or b"").lower().split()  # bytes: A-Z and ASCII white space alone
+            line, n = b" ".join(parts), len(parts)
+            if not n:
+                fps.append([0] * words)
                 continue
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            hashes = np.array([h(line[a:b], 42) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64)
-            ones = np.zeros(64, np.int64)
-            for at in range(0, len(hashes), BITS_AT_ONCE):
-                bits = np.unpackbits(hashes[at : at + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones += bits.sum(0, dtype=np.int64)
-            fps.append(sum(1 << k for k in np.flatnonzero(2 * ones > len(hashes)).tolist()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64))], schema=schema)
-
-
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, row, fp); row: a hash of id and text. A-Z lower-cased, ASCII white space between words,
-    `width`-word shingles with repeats, XXH64 of seed 42; a bit is 1 if set in
-    over half the hashes. Fewer words: the whole sequence is the one shingle.
-    No words, empty or null: 0."""
+            if n <= width:
+                hashes = np.array([h(line, 42)], np.uint64)
+            else:
+                ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1
+                starts = np.concatenate(([0], ends[:-1] + 1))
+                hashes = np.array([h(line[a:b], 42) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64)
+            fps.append([majority(x) for x in streams(hashes, words)])
+        columns = np.array(fps, np.uint64).reshape(-1, words).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(columns[:, k])) for k in range(words))], names=names)
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1) -> DataFrame:
+    """(doc_id, row, f0, ...); row: a hash of id and text; f0 and on: the
+    fingerprint, 64 bits each. A-Z lower-cased, ASCII white space between
+    words, `width`-word shingles with repeats, XXH64 of seed 42 (and mixes of
+    it beyond the first 64 bits); a bit is 1 if set in over half the hashes.
+    Fewer words: the whole sequence is the one shingle. No words, empty or
+    null: 0."""
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     cols = docs.select(doc_id.alias("doc_id"), text.alias("text"), row_hash(id_col, text_col).alias("row"))
-    return cols.mapInArrow(lambda batches: fingerprint_rows(batches, width), "doc_id long, row long, fp long")
+    return cols.mapInArrow(lambda batches: fingerprint_rows(batches, width, words), ", ".join(f"{c} long" for c in ["doc_id", "row", *columns_of(words)]))
+
+
+def columns_of(words: int) -> list[str]:
+    return [f"f{k}" for k in range(words)]
 
 
 def row_hash(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
-def pivots(n: int) -> np.ndarray:
-    return np.random.default_rng(7).integers(0, 1 << 64, n, np.uint64)
+def pivots(n: int, words: int) -> np.ndarray:
+    return np.random.default_rng(7).integers(0, 1 << 64, (n, words), np.uint64)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
 
 
 def blocks(bits: int) -> list[tuple[int, int, int, int]]:
@@ -90,27 +121,27 @@ def bucket_keys(fp, bits: int):
 class Linker:
     """Finds links among rows that are sorted by cell, a whole cell at a time."""
 
-    def __init__(self, bits: int, n_pivots: int):
-        self.bits, self.pivots = bits, pivots(n_pivots)
+    def __init__(self, bits: int, n_pivots: int, words: int):
+        self.bits, self.words, self.pivots = bits, words, pivots(n_pivots, words)
 
-    def links(self, cells: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def links(self, cells: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A spanning set of the links: pairs that are already joined by
-        others aren't verified again. cells: (n, 3), sorted."""
+        others aren't verified again. cells: (n, 3), sorted; fps: (n, words)."""
         n, d = len(fps), 1
         same = np.flatnonzero((cells[1:] == cells[:-1]).all(1))
         if not len(same):
-            return fps[:0], fps[:0]
+            return ids[:0], ids[:0]
         run = np.concatenate(([0], np.cumsum((cells[1:] != cells[:-1]).any(1))))
-        table = np.bitwise_count(fps[:, None] ^ self.pivots[None, :]).astype(np.int8)
+        table = np.stack([distances(fps, p) for p in self.pivots], 1)
         parent, left, right = np.arange(n), [], []
         while len(same):
             i = same[parent[same] != parent[same + d]]
             for k in range(0, table.shape[1], 8):  # a coordinate that differs by more than `bits` rules the pair out
                 i = i[(np.abs(table[i, k : k + 8] - table[i + d, k : k + 8]) <= self.bits).all(1)]
-            i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= self.bits]
+            i = i[distances(fps[i], fps[i + d]) <= self.bits]
             if len(i):
-                left.append(fps[i])
-                right.append(fps[i + d])
+                left.append(ids[i])
+                right.append(ids[i + d])
                 while True:
                     a, b = parent[i], parent[i + d]
                     open_ = a != b
@@ -122,42 +153,61 @@ class Linker:
             d += 1
             same = same[same + d < n]
             same = same[run[same] == run[same + d]]
-        return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
+        return (np.concatenate(left), np.concatenate(right)) if left else (ids[:0], ids[:0])
 
     def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        cells, fps = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
+        held = np.zeros((0, 4 + self.words), np.int64)
 
-        def found(u, v):
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
+        def found(x):
+            u, v = self.links(x[:, :3], x[:, 3], np.ascontiguousarray(x[:, 4:]).view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cells = np.concatenate((cells, np.stack(columns[:3], 1)))
-            fps = np.concatenate((fps, columns[3].view(np.uint64)))
-            if len(fps):
-                done = int(np.flatnonzero((cells != cells[-1]).any(1))[-1]) + 1 if (cells[0] != cells[-1]).any() else 0
-                if done:  # the last cell may go on in the next batch
-                    yield found(*self.links(cells[:done], fps[:done]))
-                    cells, fps = cells[done:], fps[done:]
-        yield found(*self.links(cells, fps))
-
-
-def linked(distinct: DataFrame, bits: int, bucket_rows: int, n_pivots: int) -> DataFrame:
-    """(u, v): links among the distinct `fp`, enough to join each component."""
-    keyed = distinct.select("fp", F.explode(bucket_keys(F.col("fp"), bits)).alias("key"))
+            held = np.concatenate((held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)))
+            if len(held) and (held[0, :3] != held[-1, :3]).any():  # the last cell may go on in the next batch
+                done = int(np.flatnonzero((held[:, :3] != held[-1, :3]).any(1))[-1]) + 1
+                yield found(held[:done])
+                held = held[done:]
+        yield found(held)
+
+
+def sampled_keys(distinct: DataFrame, words: int, tables: int, key_bits: int) -> DataFrame:
+    """`distinct` once for each table with the table's key: `key_bits` of the
+    fingerprint's bits, drawn once for all. Two fingerprints that differ in a
+    share p of their bits have a key in common with probability
+    1 - (1 - (1 - p) ** key_bits) ** tables: 0.99 at p = 0.15 for 64 tables of
+    16 bits."""
+    places = np.stack([np.random.default_rng(k).choice(64 * words, key_bits, replace=False) for k in range(tables)])
+    names = ["key", "id", *columns_of(words)]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                part = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.slice(at, 2000).columns], 1)
+                bits = np.unpackbits(np.ascontiguousarray(part[:, 1:]).view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+                keys = bits[:, places].astype(np.int64) @ (1 << np.arange(key_bits)) * tables + np.arange(tables)
+                repeated = [np.repeat(part[:, k], tables) for k in range(part.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, repeated)], names=names)
+
+    return distinct.select("id", *columns_of(words)).mapInArrow(rows, ", ".join(f"{c} long" for c in names))
+
+
+def linked(keyed: DataFrame, bits: int, bucket_rows: int, n_pivots: int, words: int) -> DataFrame:
+    """(u, v): links among the rows of `keyed` (key, id, f0, ...) that share a
+    key, enough to join each component."""
+    f = columns_of(words)
     full = keyed.groupBy("key").count().where(F.col("count") > bucket_rows)
     full = full.select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    cut = keyed.join(full, "key", "left").select("key", "fp", "chunks", chunk.alias("a"))
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    cut = keyed.join(full, "key", "left").select("key", "id", *f, "chunks", chunk.alias("a"))
     # a row of chunk a meets every other chunk in a cell of its own
     partners = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cut = cut.select("key", "fp", F.coalesce("a", F.lit(0)).alias("a"), F.col("chunks"), F.explode(partners).alias("b"))
+    cut = cut.select("key", "id", *f, F.coalesce("a", F.lit(0)).alias("a"), F.col("chunks"), F.explode(partners).alias("b"))
     cut = cut.where(F.col("chunks").isNull() | (F.col("a") != F.col("b")))
-    cut = cut.select("key", F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"), "fp")
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut.select("key", F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"), "id", *f)
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = cut.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return sorted_.mapInArrow(Linker(bits, n_pivots).rows, "u long, v long").distinct()
+    return sorted_.mapInArrow(Linker(bits, n_pivots, words).rows, "u long, v long").distinct()
 
 
 def near_duplicates(
@@ -186,19 +236,15 @@ def near_duplicates(
     component_id unless all in its component are null. An empty table gives
     no rows. Other columns are not read.
     """
-    fps, classes = classified(docs, id_col, text_col, width, bits, bucket_rows, n_pivots)
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return fps.join(classes, "fp", "left").select("doc_id", hexed, "component_id")
-
-
-def classified(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int, bucket_rows: int, n_pivots: int) -> tuple[DataFrame, DataFrame]:
-    """The rows' fingerprints, and each fingerprint's root and component_id."""
     fps = written(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(linked(least.select("fp"), bits, bucket_rows, n_pivots))
-    rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = written(fps.groupBy("f0").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    keyed = least.select(F.explode(bucket_keys(F.col("f0"), bits)).alias("key"), F.col("f0").alias("id"), "f0")
+    roots = connected_components(linked(keyed, bits, bucket_rows, n_pivots, 1))
+    rooted = least.join(roots, least.f0 == roots.node, "left").select("f0", "least", F.coalesce("root", "f0").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps, rooted.join(first, "root").select("fp", "root", "component_id")
+    classes = rooted.join(first, "root").select("f0", "component_id")
+    hexed = F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint")
+    return fps.join(classes, "f0", "left").select("doc_id", hexed, "component_id")
 
 
 def keep_first(
@@ -207,16 +253,33 @@ def keep_first(
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = 5,
-    bits: int = 3,
+    similarity: float = 0.8,
+    words: int = 4,
+    tables: int = 64,
+    key_bits: int = 16,
     bucket_rows: int = BUCKET_ROWS,
-    n_pivots: int = PIVOTS,
+    n_pivots: int = 8,
 ) -> DataFrame:
-    """`docs` less all but one row of each component: the one of the smallest
-    id (null ids last), and of rows with that id the one whose text hashes
-    least. Of wholly repeated rows one stays. All columns pass through."""
-    fps, classes = classified(docs, id_col, text_col, width, bits, bucket_rows, n_pivots)
+    """`docs` less all but one row of each component of near copies.
+
+    Fingerprints of `words` times 64 bits are linked if `similarity` of their
+    bits or more agree. That is a far wider radius than 3 of 64 bits, which
+    finds copies of a few changed letters but not of a few changed words:
+    there no set of blocks agrees for sure, and candidates are rows that share
+    one of `tables` sampled keys, found with the probability that
+    `sampled_keys` states; what is linked is verified.
+
+    Of a component the row of the smallest id stays (null ids last), and of
+    rows with that id the one whose text hashes least. Of wholly repeated rows
+    one stays. All columns pass through. An empty table gives no rows.
+    """
+    bits, f = math.floor((1 - similarity) * 64 * words + 1e-9), columns_of(words)
+    fps = written(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, words=words), "fingerprints")
+    distinct = written(fps.select(*f).distinct().withColumn("id", F.monotonically_increasing_id()), "distinct-fingerprints")
+    roots = connected_components(linked(sampled_keys(distinct, words, tables, key_bits), bits, bucket_rows, n_pivots, words))
+    classes = distinct.join(roots, distinct.id == roots.node, "left").select(*f, F.coalesce("root", "id").alias("root"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    kept = fps.join(classes, "fp").groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.row").alias("kept_row"))
+    kept = fps.join(classes, f).groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.row").alias("kept_row"))
     row = free_name(docs, "row_")
     out = docs.withColumn(row, row_hash(id_col, text_col)).join(kept, F.col(row) == kept.kept_row, "left_semi")
     if fps.groupBy("row").count().where("count > 1").limit(1).count():

@@ -1,8 +1,14 @@
-"""SentencePiece encoding and decoding of documents of any length."""
+"""SentencePiece encoding and decoding of documents of any length.
+
+The model is a byte-pair one: its segmentation isn't the one of the largest
+sum of piece scores. It is a path, though: a sequence of pieces is the model's
+if each two neighbours, encoded together, stay as they are. With that as the
+weight of a step (0, or minus infinity) the max-plus scan finds it.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -10,10 +16,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of a text that are encoded at once; longer texts are cut between words.
+from .common import written
+
+#: Texts of more characters are cut into chunks of so many.
 CHUNK = 1 << 16
 #: Rows whose ids are Python lists at once.
 ROWS = 128
+#: Pairs of pieces that a worker remembers as fitting or not.
+KEPT_PAIRS = 500_000
+SPACE, START = "▁", -1
+#: The score of a character without a piece, which is spelled in bytes.
+UNKNOWN = -1e5
+
+Span = tuple[int, int]
 
 
 @cache
@@ -24,47 +39,253 @@ def processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def chunks(text: str, size: int = CHUNK) -> list[str]:
-    """Cuts `text` before spaces that follow another character, into chunks of
-    `size` or, where there is no such space, more. The space that a chunk
-    would begin with is left out: encoding puts one there."""
-    out, at, n = [], 0, len(text)
-    while n - at > size:
-        cut = at + size
-        while cut < n and not (text[cut] == " " and text[cut - 1] != " "):
-            found = text.find(" ", cut + 1)
-            cut = n if found < 0 else found
-        if cut >= n:
-            break
-        out.append(text[at:cut])
-        at = cut + 1
-    return [*out, text[at:]]
+@cache
+def scanner(path: str) -> Scanner:
+    return Scanner(processor(path))
 
 
-def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, ids): array of the whole text's ids.
+class Scanner:
+    """The scan's steps over a text in the model's own form (a mark for each
+    space, and one before the text)."""
+
+    def __init__(self, sp):
+        self.sp = sp
+        plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+        self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
+        self.longest = max(map(len, self.scores))
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def plain_ids(self, text: str) -> list[int]:
+        """The ids of a stretch of text, as if nothing stood before it."""
+        if text.startswith(SPACE):
+            return self.sp.encode(text[1:].replace(SPACE, " "), num_threads=1)
+        return self.sp.encode("\n" + text.replace(SPACE, " "), num_threads=1)[2:]  # without the mark and the line break
+
+    def ids(self, piece: str) -> list[int]:
+        if piece in self.scores:
+            return [self.sp.piece_to_id(piece)]
+        return [self.sp.piece_to_id(f"<0x{b:02X}>") for b in piece.encode()]
+
+    def fits(self, a: str, b: str) -> bool:
+        """Whether two neighbouring pieces stay as they are."""
+        known = self.pairs.get((a, b))
+        if known is None:
+            known = self.plain_ids(a + b) == self.ids(a) + self.ids(b)
+            if len(self.pairs) < KEPT_PAIRS:
+                self.pairs[a, b] = known
+        return known
+
+    def states(self, text: str, at: int) -> Iterator[Span]:
+        """The pieces that may hold the character before the boundary `at`."""
+        for i in range(max(0, at - self.longest), at):
+            for j in range(at, min(i + self.longest, len(text)) + 1):
+                if j - i == 1 or text[i:j] in self.scores:
+                    yield i, j
+
+    def reach(self, text: str, origins: list[Span], end: int) -> dict[Span, dict[Span, tuple[float, Span]]]:
+        """Piece -> origin -> (score, the piece before it), for all pieces
+        that a fitting chain from an origin comes to; chains end with the
+        piece that holds the character before `end`."""
+        found: dict[Span, dict[Span, tuple[float, Span]]] = {o: {o: (0.0, o)} for o in origins}
+        by_end: dict[int, list[Span]] = {}
+        for o in origins:
+            by_end.setdefault(o[1], []).append(o)
+        for at in range(min(by_end, default=end), end):
+            for node in by_end.get(at, ()):
+                before = text[node[0] : node[1]]
+                for j in range(at + 1, min(at + self.longest, len(text)) + 1):
+                    piece = text[at:j]
+                    if (j > at + 1 and piece not in self.scores) or (before and not self.fits(before, piece)):
+                        continue
+                    step = self.scores.get(piece, UNKNOWN)
+                    if (at, j) not in found:
+                        found[at, j] = {}
+                        by_end.setdefault(j, []).append((at, j))
+                    for o, (score, _) in found[node].items():
+                        if score + step > found[at, j].get(o, (-float("inf"), node))[0]:
+                            found[at, j][o] = (score + step, node)
+        return found
+
+    def path(self, found: dict, origin: Span, last: Span) -> list[Span]:
+        """The pieces after `origin`, up to `last`."""
+        out = []
+        while last != origin:
+            out.append(last)
+            last = found[last][origin][1]
+        return out[::-1]
 
-    No piece of the model crosses from a character to a space after it, so
-    that cutting there changes no merge: chunks are encoded on their own and
-    their ids put together give what the whole text does. A null or empty text
-    has no ids. Rows with equal or null ids are documents of their own. An
-    empty table gives no rows. Other columns are not read.
+
+class Chunk:
+    """A chunk [at, end) of a text, with `longest` characters around it.
+
+    Where a space follows another character, no piece goes on and any two fit:
+    between the chunk's first and last such place the library encodes, and the
+    chunk's matrix is the outer sum of what comes before and behind.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def __init__(self, scan: Scanner, text: str, at: int, end: int, first: bool, last: bool):
+        self.scan, self.text, self.at, self.end, self.first, self.last = scan, text, at, end, first, last
+        places = (i for i in range(at + 1, end) if text[i] == SPACE and text[i - 1] != SPACE)
+        self.a = next(places, None)
+        self.b = next((i for i in range(end - 1, at, -1) if text[i] == SPACE and text[i - 1] != SPACE), None)
+
+    def name(self, span: Span, boundary: int) -> int:
+        return (boundary - span[0]) * 256 + span[1] - boundary
+
+    def span(self, name: int, boundary: int) -> Span:
+        return boundary - name // 256, boundary + name % 256
+
+    def entries(self) -> list[Span]:
+        return [(self.at, self.at)] if self.first else list(self.scan.states(self.text, self.at))
+
+    def exits(self, found: dict) -> list[Span]:
+        return [s for s in found if s[0] < self.end <= s[1] and (s[1] == self.end or not self.last)]
+
+    def matrix(self) -> list[tuple[int, int, float]]:
+        """(entry, exit, weight) of the finite cells."""
+        entry = lambda s: START if self.first else self.name(s, self.at)
+        if self.a is None:
+            found = self.scan.reach(self.text, self.entries(), self.end)
+            return [(entry(o), self.name(t, self.end), w) for t in self.exits(found) for o, (w, _) in found[t].items()]
+        head = self.scan.reach(self.text, self.entries(), self.a)
+        into: dict[Span, float] = {}
+        for t in head:
+            if t[1] == self.a:
+                for o, (w, _) in head[t].items():
+                    into[o] = max(w, into.get(o, w))
+        tail = self.scan.reach(self.text, [(self.b, self.b)], self.end)
+        return [(entry(o), self.name(t, self.end), w + tail[t][self.b, self.b][0]) for o, w in into.items() for t in self.exits(tail)]
+
+    def ids(self, entry: int, exit_: int) -> list[int]:
+        """The ids of the pieces that start in the chunk."""
+        origin, last = (self.at, self.at) if self.first else self.span(entry, self.at), self.span(exit_, self.end)
+        spelled = lambda spans: [i for s in spans for i in self.scan.ids(self.text[s[0] : s[1]])]
+        if self.a is None:
+            return spelled(self.scan.path(self.scan.reach(self.text, [origin], self.end), origin, last))
+        head = self.scan.reach(self.text, [origin], self.a)
+        ends = [t for t in head if t[1] == self.a]
+        best = max(ends, key=lambda t: head[t][origin][0])
+        tail, start = self.scan.reach(self.text, [(self.b, self.b)], self.end), (self.b, self.b)
+        middle = self.scan.plain_ids(self.text[self.a : self.b]) if self.a < self.b else []
+        return spelled(self.scan.path(head, origin, best)) + middle + spelled(self.scan.path(tail, start, last))
+
+
+def boundary_states(matrices: list[list[tuple[int, int, float]]]) -> list[int] | None:
+    """The states at the chunks' boundaries on the best path through the
+    matrices, from START; None if there is no path. The product of matrices is
+    associative; as the first has one row, it is folded from there."""
+    best, back = {START: 0.0}, []
+    for m in matrices:
+        step: dict[int, tuple[float, int]] = {}
+        for s, t, w in m:
+            if s in best and best[s] + w > step.get(t, (-float("inf"), s))[0]:
+                step[t] = (best[s] + w, s)
+        best = {t: w for t, (w, _) in step.items()}
+        back.append({t: s for t, (_, s) in step.items()})
+    if not best:
+        return None
+    out = [max(best, key=lambda t: (best[t], -t))]
+    for pointers in reversed(back):
+        out.append(pointers[out[-1]])
+    return out[::-1]
+
+
+PARTS = "rid long, doc_id long, k int, first boolean, last boolean, at int, end int, part string"
+
+
+def chunk_rows(giants: DataFrame, model: str, size: int) -> DataFrame:
+    """The chunks of long texts, with what they need of their neighbours."""
+    names = [x.split()[0] for x in PARTS.split(", ")]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longest = scanner(model).longest
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
+        for batch in batches:
+            for rid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                form = SPACE + text.replace(" ", SPACE)
+                starts = list(range(0, len(form), size))
+                for at in range(0, len(starts), 64):
+                    out = []
+                    for k in range(at, min(at + 64, len(starts))):
+                        p, q = starts[k], min(starts[k] + size, len(form))
+                        low = max(0, p - longest)
+                        out.append((rid, doc_id, k, k == 0, q == len(form), p - low, q - low, form[low : q + longest]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    cut = giants.mapInArrow(rows, PARTS)
+    return written(cut.repartition(int(giants.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid", "k"), "chunks")
+
+
+def encode_long(giants: DataFrame, model: str, size: int, states_of: Callable = boundary_states) -> DataFrame:
+    """(doc_id, ids) of long texts (rid, doc_id, text): a matrix for each
+    chunk, the states at their boundaries, each chunk's ids from these."""
+    parts = chunk_rows(giants, model, size)
+    fields = ["first", "last", "at", "end", "part"]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = scanner(model)
+        for batch in batches:
+            rid, k, first, last, at, end, part = (c.to_pylist() for c in batch.columns)
+            found = [Chunk(scan, *x).matrix() for x in zip(part, at, end, first, last)]
+            cells = [pa.array([[c[n] for c in m] for m in found], pa.list_(t)) for n, t in enumerate((pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], names=["rid", "k", "s", "t", "w"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                states = states_of([list(zip(c["s"], c["t"], c["w"])) for c in chunks])
+                n = len(chunks)
+                s, t = (states[:-1], states[1:]) if states else ([None] * n, [None] * n)
+                yield pa.RecordBatch.from_arrays([pa.array([rid] * n), pa.array(range(n), pa.int32()), pa.array(s, pa.int32()), pa.array(t, pa.int32())], names=["rid", "k", "s", "t"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = scanner(model)
+        for batch in batches:
+            rid, doc_id, k, first, last, at, end, part, s, t = (c.to_pylist() for c in batch.columns)
+            found = [Chunk(scan, *x[:5]).ids(*x[5:]) for x in zip(part, at, end, first, last, s, t)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], names=["rid", "doc_id", "k", "ids"])
+
+    weights = parts.select("rid", "k", *fields).mapInArrow(weigh, "rid long, k int, s array<int>, t array<int>, w array<double>")
+    chains = weights.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("k", "s", "t", "w"))).alias("chunks"))
+    states = written(chains.mapInArrow(fold, "rid long, k int, s int, t int"), "states")
+    joined = parts.join(states.where("t is not null"), ["rid", "k"]).select("rid", "doc_id", "k", *fields, "s", "t")
+    spelled = joined.mapInArrow(spell, "rid long, doc_id long, k int, ids array<int>")
+    whole = spelled.groupBy("rid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("c"))
+    done = whole.select("doc_id", F.flatten(F.transform("c", lambda x: x["ids"])).alias("ids"))
+    pathless = giants.join(states.where("t is null"), "rid", "left_semi")
+    return done.union(encode_short(pathless.select("doc_id", "text"), model))
+
+
+def encode_short(docs: DataFrame, model: str) -> DataFrame:
+    """(doc_id, ids) of (doc_id, text), each text at once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.slice(at, ROWS)
-                found = []
-                for text in part.column(1).to_pylist():
-                    pieces = [sp.encode(c, num_threads=1) for c in chunks(text or "", chunk)] if text else []
-                    found.append(pieces[0] if len(pieces) == 1 else [i for p in pieces for i in p])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], schema=schema)
+                found = [sp.encode(text, num_threads=1) if text else [] for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return docs.mapInArrow(rows, "doc_id long, ids array<int>")
 
+
+def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, ids): array of the whole text's ids.
+
+    Texts of up to `chunk` characters are encoded at once. Longer ones are cut
+    into chunks that are dealt to all tasks: each gives the matrix of its
+    boundary states, the matrices of a text are combined, and each chunk is
+    spelled from the states at its ends. Should a text have no path of fitting
+    pieces, it is encoded at once.
+
+    A null or empty text has no ids. Rows with equal or null ids are documents
+    of their own. An empty table gives no rows. Other columns are not read.
+    """
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(rows, "doc_id long, ids array<int>")
+    long = F.coalesce(F.length("text") > chunk, F.lit(False))
+    giants = written(cols.where(long).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "long-texts")
+    return encode_short(cols.where(~long), model).union(encode_long(giants, model, chunk))
 
 
 def with_decoded(encoded: DataFrame, model: str, *, ids_col: str = "ids") -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -144,7 +145,7 @@ def test_quality_cases(spark, docs, no_docs):
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
-@pytest.mark.parametrize("chunk", [7, 100, 1 << 16])
+@pytest.mark.parametrize("chunk", [60, 3000, 1 << 16])
 def test_pieces_equal_the_whole(docs, texts, chunk):
     import sentencepiece
 
@@ -153,10 +154,34 @@ def test_pieces_equal_the_whole(docs, texts, chunk):
     assert got == {k: sp.encode(t) if t else [] for k, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("size", [1, 4, 37, 400])
+def test_scan_equals_the_whole(texts, size):
+    """Whatever the boundaries fall on: spaces, runs of them, words without an end, bytes."""
+    scan, sp, rng = pieces.scanner(MODEL), pieces.processor(MODEL), random.Random(3)
+    odd = ["x" * 300, "ab" * 150, "🙂é" * 60, "日本語テキスト" * 30, "a  b   c    " * 20, "\n\n" * 40, " " * 70, "▁a▁▁b", "aaaaab" * 50, "1234567890" * 20]
+    odd += ["".join(rng.choices("etaoinshr", k=700)), "".join(rng.choices("etaoins ", k=700)), "".join((texts[0] or "").split())[:700]]
+    for text in [*odd, *[t[:900] for t in texts if t]]:
+        form = pieces.SPACE + text.replace(" ", pieces.SPACE)
+        chunks = []
+        for p in range(0, len(form), size):
+            q, low = min(p + size, len(form)), max(0, p - scan.longest)
+            chunks.append(pieces.Chunk(scan, form[low : q + scan.longest], p - low, q - low, p == 0, q == len(form)))
+        states = pieces.boundary_states([c.matrix() for c in chunks])
+        assert [i for c, s, t in zip(chunks, states, states[1:]) for i in c.ids(s, t)] == sp.encode(text), text
+    assert pieces.boundary_states([[(pieces.START, 5, 0.0)], [(4, 0, 0.0)]]) is None
+
+
+def test_a_text_without_a_path_is_encoded_at_once(spark):
+    text = "some words " * 50
+    giants = spark.createDataFrame([(0, 1, text)], "rid long, doc_id long, text string")
+    got = pieces.encode_long(giants, MODEL, 100, states_of=lambda matrices: None).collect()
+    assert [r.ids for r in got] == [pieces.processor(MODEL).encode(text)]
+
+
 def test_pieces_decode(spark, docs, texts, no_docs):
     odd = [" a  b   ", "  two", "x\n y", "a b\n\n  c ", "   "]
     more = spark.createDataFrame(list(enumerate(odd, 1000)), "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
-    got = {r.doc_id: r.text for r in pieces.with_decoded(pieces.encode(more, MODEL, chunk=5), MODEL).collect()}
+    got = {r.doc_id: r.text for r in pieces.with_decoded(pieces.encode(more, MODEL, chunk=200), MODEL).collect()}
     for k, t in [*enumerate(odd, 1000), *enumerate(texts)]:
         assert got[k] == (t or ""), t
     assert pieces.encode(no_docs, MODEL).count() == 0

@@ -31,7 +31,7 @@ PIECES = T.StructType(
 ARROW = pa.schema([(f.name, pa.binary() if f.name == "ids" else pa.int64()) for f in PIECES])
 
 #: Distinct words and letter runs that a worker keeps; later ones are encoded anew each time.
-KEPT_WORDS, KEPT_RUNS = 600_000, 900_000
+KEPT_WORDS, KEPT_RUNS = 200_000, 450_000
 
 
 class WordIds(dict):
@@ -226,7 +226,8 @@ def pack(
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 packer.add(doc_id, words.ids(text.as_py() or b"") + end)
-                yield from packer.out(1000)
+                yield from packer.out(500)
+            pa.default_memory_pool().release_unused()
         packer.pack(True)
         yield from packer.out(1)
 

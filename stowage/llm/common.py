@@ -22,7 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="stowage-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return qualified(spark, base.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI, so that tasks which open it by themselves reach the
+    same store as Spark does."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return uri if "://" in uri else uri.replace("file:/", "file:///", 1)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

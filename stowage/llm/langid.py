@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 #: Hashed n-grams of 1 to ORDERS characters fall into 2 ** BUCKET_BITS buckets.
 ORDERS, BUCKET_BITS = 3, 13
 #: Learned languages at most: the most frequent ones. It bounds what the driver collects and broadcasts.
@@ -92,8 +94,9 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ma
 
     cols = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
     sums = cols.mapInArrow(rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    kept = sums.groupBy("lang").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
-    found = sums.join(kept, "lang").toPandas() if max_languages < MAX_LANGUAGES else sums.toPandas()
+    sums = written(sums, "language-counts")
+    kept = sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
+    found = sums.join(kept, "lang").toPandas()
     languages = sorted(set(found["lang"]))
     table = np.full((len(languages), 1 << BUCKET_BITS), smoothing)
     at = {lang: k for k, lang in enumerate(languages)}

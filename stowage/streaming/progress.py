@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INTERVAL_MS = 100
 DEBOUNCE_MS = 400
+#: A key's time is taken in stretches of so many milliseconds.
+SPAN_MS = 3_600_000
+
+
+def numbered_runs(rows: DataFrame, key: str, ms: str, order: str, carried: list[str], starts: Callable[[Column], Column], span_ms: int = SPAN_MS) -> DataFrame:
+    """`rows` and `run_`: a number that goes up, within a key and in order of
+    time, at each row for which `starts` holds of the row before it (a struct
+    of ms, order and `carried`; null for a key's first row).
+
+    A key's rows needn't fit one task: windows go over a key's stretch of
+    `span_ms`, and a stretch's last row and number of starts are handed on
+    between stretches. Rows without a key or a time are left out.
+    """
+    taken = Window.partitionBy(key, "stretch_").orderBy(ms, order)
+    along = Window.partitionBy(key).orderBy("stretch_")
+    value = F.struct(F.col(ms).alias("ms"), F.col(order).alias("order"), *carried)
+    r = rows.where(F.col(key).isNotNull() & F.col(ms).isNotNull()).withColumn("stretch_", F.floor(F.col(ms) / span_ms))
+    lasts = r.groupBy(key, "stretch_").agg(F.max_by(value, F.struct(ms, order)).alias("last_"))
+    before = lasts.select(key, "stretch_", F.lag("last_").over(along).alias("before_"))
+    r = r.join(before, [key, "stretch_"]).withColumn("start_", starts(F.coalesce(F.lag(value).over(taken), F.col("before_"))).cast("int"))
+    counts = r.groupBy(key, "stretch_").agg(F.sum("start_").alias("n_"))
+    earlier = F.sum("n_").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(key, "stretch_", F.coalesce(earlier, F.lit(0)).alias("offset_"))
+    r = r.join(offsets, [key, "stretch_"]).withColumn("run_", F.col("offset_") + F.sum("start_").over(taken))
+    return r.drop("stretch_", "before_", "start_", "offset_")
 
 
 def throttle(events: DataFrame, *, job: str = "job_id", ms: str = "ms", entry: str = "entry", order: str = "event_id", interval_ms: int = INTERVAL_MS) -> DataFrame:
@@ -18,18 +43,19 @@ def throttle(events: DataFrame, *, job: str = "job_id", ms: str = "ms", entry: s
 
     An event that is kept back has the entry of the last forwarded one, so the
     events that change the entry, or follow a pause of the interval, are
-    forwarded whatever came before. They start stretches that don't depend on
-    each other; within one, the state is the time last forwarded.
+    forwarded whatever came before. They start runs that don't depend on each
+    other; within one, the state is the time last forwarded. Events without a
+    job or a time are left out.
     """
-    w = Window.partitionBy(job).orderBy(ms, order)
-    gap = F.col(ms) - F.lag(ms).over(w)
-    start = gap.isNull() | (gap >= interval_ms) | ~F.col(entry).eqNullSafe(F.lag(entry).over(w))
-    marked = events.withColumn("start_", start.cast("int")).withColumn("stretch_", F.sum("start_").over(w))
-    held = marked.groupBy(job, "stretch_").agg(F.array_sort(F.collect_list(F.struct(F.col(ms).alias("t"), F.col(order).alias("o")))).alias("ticks"))
+
+    def starts(prev: Column) -> Column:
+        return prev.isNull() | (F.col(ms) - prev["ms"] >= interval_ms) | ~F.col(entry).eqNullSafe(prev[entry])
+
+    runs = numbered_runs(events.select(job, ms, entry, order), job, ms, order, [entry], starts)
+    held = runs.groupBy(job, "run_").agg(F.array_sort(F.collect_list(F.struct(F.col(ms).cast("bigint").alias("t"), F.col(order).cast("bigint").alias("o")))).alias("ticks"))
     none = F.array().cast("array<struct<t: bigint, o: bigint>>")
-    typed = F.transform("ticks", lambda x: F.struct(x["t"].cast("bigint").alias("t"), x["o"].cast("bigint").alias("o")))
     sent = F.aggregate(
-        typed, none, lambda acc, x: F.when((F.size(acc) == 0) | (x["t"] - F.try_element_at(acc, F.lit(-1))["t"] >= interval_ms), F.concat(acc, F.array(x))).otherwise(acc)
+        "ticks", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["t"] - F.try_element_at(acc, F.lit(-1))["t"] >= interval_ms), F.concat(acc, F.array(x))).otherwise(acc)
     )
     kept = held.select(job, F.explode(sent).alias("x")).select(job, F.col("x.o").alias(order))
     return events.join(kept, [job, order], "left_semi")
@@ -73,9 +99,8 @@ def batches(requests: DataFrame, *, key: str = "key", ms: str = "ms", path: str
     """(`key`, batch, started, n_requests, paths): requests that follow each
     other within `debounce_ms` are one batch; its paths are distinct, in the
     order they first came."""
-    w = Window.partitionBy(key).orderBy(ms, order)
-    new = F.coalesce((F.col(ms) - F.lag(ms).over(w) > debounce_ms).cast("int"), F.lit(0))
-    numbered = requests.withColumn("new_", new).withColumn("batch", F.sum("new_").over(w))
+    late = lambda prev: F.coalesce(F.col(ms) - prev["ms"] > debounce_ms, F.lit(False))
+    numbered = numbered_runs(requests.select(key, ms, path, order), key, ms, order, [], late).withColumnRenamed("run_", "batch")
     firsts = numbered.groupBy(key, "batch", path).agg(F.min(F.struct(ms, order)).alias("at"), F.count("*").alias("n"))
     paths = F.transform(F.array_sort(F.collect_list(F.struct("at", path))), lambda x: x[path])
     return firsts.groupBy(key, "batch").agg(F.min(f"at.{ms}").alias("started"), F.sum("n").alias("n_requests"), paths.alias("paths"))

@@ -80,6 +80,14 @@ def test_throttle(spark):
     assert progress.throttle(e.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("span", [1, 90, 10_000])
+def test_runs_go_on_between_stretches(spark, span):
+    e = spark.createDataFrame(TICKS, "job_id long, event_id long, ms long, entry string")
+    late = lambda prev: prev.isNull() | (F.col("ms") - prev["ms"] >= 50)
+    got = {r.event_id: r.run_ for r in progress.numbered_runs(e, "job_id", "ms", "event_id", [], late, span).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 2, 5: 3, 6: 4, 7: 4, 8: 1, 9: 1, 10: 2}
+
+
 def test_throttle_stream(spark, tmp_path):
     schema = "job_id long, event_id long, ms long, entry string"
     for k, part in enumerate((TICKS[:4], TICKS[4:])):

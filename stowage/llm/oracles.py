@@ -58,4 +58,20 @@ SELECT k.doc_id, count(*) AS n_lines, count(r.key) AS n_dropped,
 FROM k LEFT JOIN r ON k.key = r.key GROUP BY k.doc_id
 """
 
-ORACLES = {"op2_warc": OP2, "op7_url_filter": OP7, "op8_line_dedup": OP8}
+OP10 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u
+), least AS (
+  SELECT u, min(w) AS component_id FROM reach GROUP BY u
+), n AS (
+  SELECT u, count(*) AS n_links FROM links GROUP BY u
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least ON vec_id = least.u LEFT JOIN n ON vec_id = n.u
+"""
+
+ORACLES = {"op10_embedding_dedup": OP10, "op2_warc": OP2, "op7_url_filter": OP7, "op8_line_dedup": OP8}

@@ -64,6 +64,19 @@ def lz4_encode(data: bytes, level: str) -> bytes:
     return lz4_stream(blocks, xxhash.xxh32_intdigest(data))
 
 
+#: Block sizes of a frame, and what its header calls them.
+LZ4_SIZES = {64 << 10: 0x40, 256 << 10: 0x50, 1 << 20: 0x60, 4 << 20: 0x70}
+
+
+def lz4_plain(data: bytes, size: int, level: str = "fast") -> bytes:
+    """A frame of independent blocks of `size` bytes without checksums, as
+    block encoders on devices write them."""
+    descriptor = bytes([0x60, LZ4_SIZES[size]])
+    check = (xxhash.xxh32_intdigest(descriptor) >> 8 & 0xFF).to_bytes(1, "little")
+    blocks = [lz4_block(data[at : at + size], level)[:-4] for at in range(0, len(data), size)]
+    return b"\x04\x22\x4d\x18" + descriptor + check + b"".join(blocks) + b"\0\0\0\0"
+
+
 def xz_encode(data: bytes, level: str) -> bytes:
     preset = LEVELS["xz"][level] | (lzma.PRESET_EXTREME if level == "edge" else 0)
     # a dictionary over the data's length gains nothing and costs each row its memory
@@ -134,6 +147,14 @@ def encode_column(df: DataFrame, source: str, target: str, codec: str, level: st
     return mapped(df, source, [T.StructField(target, T.BinaryType())], lambda data: (ENCODERS[codec](data, level),))
 
 
+def lz4_column(df: DataFrame, source: str, target: str, size: int, level: str = "fast") -> DataFrame:
+    """As `encode_column` for lz4 frames of blocks of `size` bytes (64 KiB,
+    256 KiB, 1 MiB or 4 MiB) without checksums."""
+    if size not in LZ4_SIZES:
+        raise ValueError(f"no lz4 block size: {size}")
+    return mapped(df, source, [T.StructField(target, T.BinaryType())], lambda data: (lz4_plain(data, size, level),))
+
+
 def decode_column(df: DataFrame, source: str, target: str, codec: str, mode: str = "permissive") -> DataFrame:
     """`df` with `target` (binary) and `target`_error (string): the decoded
     streams of `source`. A damaged stream gives null and `io`; with mode

@@ -70,6 +70,13 @@ def tree_rows(nodes: DataFrame, limit: int = 5000) -> DataFrame:
     return out.where(F.col("position") <= limit)
 
 
+def deepest_first(nodes: DataFrame) -> DataFrame:
+    """(archive, path, position) of folders, longest path first: a folder's
+    mode may forbid writing below it, so it is set after all that is there."""
+    order = Window.partitionBy("archive").orderBy(F.desc(F.length("path")), "path")
+    return nodes.where("is_dir").select("archive", "path", F.row_number().over(order).cast("long").alias("position"))
+
+
 def footer(entries: DataFrame, by: list[str]) -> DataFrame:
     """(`by`, files, original, average, label): totals of the entries that
     aren't folders; label: `File size` for a single one."""

@@ -126,3 +126,11 @@ def q_collect_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.collect_many(trees).select("rel", "size")
 
 
+
+
+@R.add(f"""
+WITH {SQL_TREE}
+SELECT archive, path, row_number() OVER (PARTITION BY archive ORDER BY length(path) DESC, path) AS position FROM tree WHERE is_dir""")
+def q_dir_mode_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders as their modes are set: the deepest first."""
+    return ops.deepest_first(ops.tree(page_entries(spark, sf_dir)))

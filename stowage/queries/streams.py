@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import digests
 from ..operators import archives, blocks, codecs
 from .common import Registry, table
 
@@ -170,3 +171,37 @@ def q_single_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = codecs.encode_column(docs(spark, sf_dir).where("raw is not null"), "raw", "data", "xz", "fast")
     e = archives.read_entries(d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt.xz")).alias("archive"), "data"), with_content=True)
     return e.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+@R.add(f"""
+WITH {SQL_DOCS} SELECT stem || '.tar' AS archive, count(*) AS n, sha256(string_agg('{{"path":"' || path || '","size":' || strlen(coalesce(text, '')) || ',"is_dir":false}}', ',' ORDER BY ordinal)) AS listing_sha256
+FROM d GROUP BY stem""")
+def q_listing_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive's listing as JSON: its entries' objects in stored order."""
+    e = archives.read_entries(_packed(spark, sf_dir, "tar", None, ".tar"))
+    entry = F.to_json(F.struct("path", "size", "is_dir"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", entry.alias("j")))), lambda x: x["j"])
+    return e.groupBy("archive").agg(F.count("*").alias("n"), F.sha2(F.array_join(rows, ","), 256).alias("listing_sha256"))
+
+
+@R.add("""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'mismatch' WHEN doc_id % 4 = 1 THEN 'absent' ELSE 'ok' END AS verdict FROM documents WHERE text IS NOT NULL""")
+def q_content_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream decodes to, against the digest that its sidecar states
+    for the content; the sidecar names the stream's own digest too."""
+    d = codecs.encode_column(docs(spark, sf_dir).where("raw is not null"), "raw", "data", "zstd", "fast")
+    i = F.col("doc_id")
+    stated = F.when(i % 4 == 0, F.sha2(F.lit("other"), 256)).when(i % 4 > 1, F.sha2("raw", 256))
+    d = d.select("doc_id", "data", digests.sidecar_text(F.sha2("data", 256), stated, F.lit("a.zst")).alias("sidecar"))
+    d = codecs.decode_column(d, "data", "content", "zstd").withColumn("p", digests.parse_sidecar(F.col("sidecar"), F.lit("a.zst")))
+    d = d.where(digests.verdict(F.col("p.artifact"), F.sha2("data", 256)) == "ok")
+    return d.select("doc_id", digests.verdict(F.col("p.content"), F.sha2("content", 256)).alias("verdict"))
+
+
+for _size in (64, 256):
+    R.queries[f"q_lz4_blocks_{_size}k"] = (
+        lambda spark, sf_dir, size=_size: codecs.decode_column(
+            codecs.lz4_column(docs(spark, sf_dir), "raw", "data", size << 10), "data", "out", "lz4", "failfast"
+        ).select("doc_id", F.sha2("out", 256).alias("sha256"))
+    )
+    R.oracles[f"q_lz4_blocks_{_size}k"] = "SELECT doc_id, sha256(text) AS sha256 FROM documents"

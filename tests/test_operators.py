@@ -52,6 +52,15 @@ def test_tools_read_streams(codec, tool):
         assert out.returncode == 0 and out.stdout == data
 
 
+@pytest.mark.parametrize("size", codecs.LZ4_SIZES)
+def test_plain_lz4_frames(size):
+    for data in streams().values():
+        frame = codecs.lz4_plain(data, size)
+        assert codecs.decode("lz4", frame) == data
+        if shutil.which("lz4"):
+            assert subprocess.run(["lz4", "-dc"], input=frame, capture_output=True, timeout=60).stdout == data
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, bytearray(b"abc"), "x"), (2, None, "y"), (3, bytearray(b""), "z")], "id long, raw binary, packed string")
     packed = codecs.encode_column(df, "raw", "packed", "zstd")

@@ -31,7 +31,8 @@ def unique_names(requests: DataFrame, existing: DataFrame) -> DataFrame:
 
     An existing name is read as the names it could take away: itself, and, if
     it ends in a number, that number of its stem. Both meet the requests by
-    equality, and the least free number is found among as many as are taken.
+    equality. Of a request's taken numbers in order, those that equal their
+    place are an unbroken run from 1; the next number is free.
     """
     known = existing.select("dir", "name").distinct()
     asked = requests.select("dir", "stem", "ext").distinct()
@@ -41,11 +42,12 @@ def unique_names(requests: DataFrame, existing: DataFrame) -> DataFrame:
     taken = cut.select("dir", "ext", F.col("body").alias("stem"), F.lit(1).alias("k")).union(
         cut.where(number != "").select("dir", "ext", F.left("body", F.length("body") - F.length(number) - 1).alias("stem"), number.cast("int").alias("k")).where("k > 1")
     )
-    used = taken.join(asked, ["dir", "stem", "ext"], "left_semi").groupBy("dir", "stem", "ext").agg(F.collect_set("k").alias("used"))
-    out = requests.join(used, ["dir", "stem", "ext"], "left")
-    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("used") + 1), "used"))
-    k = F.coalesce(free, F.lit(1))
-    return out.withColumn("name", F.concat("stem", F.when(k > 1, F.concat(F.lit(" "), k.cast("string"))).otherwise(F.lit("")), "ext")).drop("used")
+    used = taken.join(asked, ["dir", "stem", "ext"], "left_semi").distinct()
+    place = F.row_number().over(Window.partitionBy("dir", "stem", "ext").orderBy("k"))
+    run = used.withColumn("place", place).groupBy("dir", "stem", "ext").agg((F.count_if(F.col("k") == F.col("place")) + 1).alias("free"))
+    out = requests.join(run, ["dir", "stem", "ext"], "left")
+    k = F.coalesce("free", F.lit(1))
+    return out.withColumn("name", F.concat("stem", F.when(k > 1, F.concat(F.lit(" "), k.cast("string"))).otherwise(F.lit("")), "ext")).drop("free")
 
 
 def plan_compress(requests: DataFrame, existing: DataFrame) -> DataFrame:

@@ -76,8 +76,8 @@ def page_of(name: str | None):
 def resolve_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, digest_hex, refers_to): of equal payloads of
     `min_bytes` bytes or more, rows with a smaller page_id refer to the
-    largest; refers_to is null for the rest. Equality is that of SHA-1 and
-    length. Rows repeated with the largest page_id are all responses; a null
+    largest; refers_to is null for the rest. Equality is that of SHA-1. Rows
+    repeated with the largest page_id are all responses; a null
     page_id is a response too.
     """
     p = pages.select(

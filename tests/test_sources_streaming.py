@@ -116,3 +116,18 @@ def test_batch_stream(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.n_requests, r.paths) for r in spark.table("closed").collect()) == [(1, ["c"]), (2, ["a", "b"])]
+
+
+def test_files_in_and_out(spark, tmp_path):
+    """Archives as files: read as blobs, listed, extracted, packed anew, written and read again."""
+    from stowage.operators import archives
+
+    register(spark)
+    rows = [("a", 0, "docs/guide/x.md", bytearray(b"x"), "file", None, None, None), ("a", 1, "top.txt", bytearray(b"t"), "file", None, None, None)]
+    schema = "archive string, ordinal long, path string, content binary, kind string, mode int, mtime long, link_target string"
+    packed = archives.pack(spark.createDataFrame(rows, schema), "tar", "zstd", "edge").withColumn("archive", F.lit("a.tar.zst"))
+    packed.write.format("archives").mode("append").save(str(tmp_path / "out"))
+    blobs = spark.read.format("binaryFile").load(str(tmp_path / "out")).select(F.col("path").alias("archive"), F.col("content").alias("data"))
+    files = archives.extract(archives.read_entries(blobs, with_content=True), ["docs/guide"]).collect()
+    assert [(r.path, bytes(r.content), r.error) for r in files] == [("guide/x.md", b"x", None)]
+    assert sorted(r.path for r in archives.read_entries(blobs).collect()) == ["docs/guide/x.md", "top.txt"]

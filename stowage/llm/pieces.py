@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -288,6 +289,30 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
     return encode_short(cols.where(~long), model).union(encode_long(giants, model, chunk))
 
 
+class Spelling:
+    """Ids -> text, by a table of the bytes of each piece."""
+
+    def __init__(self, sp):
+        self.sp = sp
+        n = sp.get_piece_size()
+        self.special = np.array([sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)])
+        self.bytes = np.empty(n, object)
+        self.bytes[:] = [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
+
+    def text(self, ids: np.ndarray) -> str:
+        if len(ids) and not self.special[ids].any():
+            try:
+                return b"".join(self.bytes[ids].tolist()).decode().removeprefix(" ")  # the space that encoding puts first
+            except UnicodeDecodeError:  # bytes that are no character
+                pass
+        return self.sp.decode(ids.tolist())
+
+
+@cache
+def spelling(path: str) -> Spelling:
+    return Spelling(processor(path))
+
+
 def with_decoded(encoded: DataFrame, model: str, *, ids_col: str = "ids") -> DataFrame:
     """`encoded` and the text of each row's ids; no ids or null: empty. Other
     columns pass through; one named text is replaced."""
@@ -296,11 +321,11 @@ def with_decoded(encoded: DataFrame, model: str, *, ids_col: str = "ids") -> Dat
     at = encoded.columns.index(ids_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = processor(model)
+        spell = spelling(model)
         for batch in batches:
             for k in range(0, len(batch), ROWS):
                 part = batch.slice(k, ROWS)
-                texts = [sp.decode(ids) if ids else "" for ids in part.column(at).to_pylist()]
+                texts = [spell.text(x.values.to_numpy()) if x.is_valid else "" for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(rows, schema)

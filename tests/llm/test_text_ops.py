@@ -187,6 +187,15 @@ def test_pieces_decode(spark, docs, texts, no_docs):
     assert pieces.encode(no_docs, MODEL).count() == 0
 
 
+def test_spelling_equals_the_library(spark):
+    sp, rng = pieces.processor(MODEL), random.Random(6)
+    n = sp.get_piece_size()
+    rows = [(k, [rng.randrange(n) for _ in range(rng.randrange(1, 30))]) for k in range(400)] + [(1000, []), (1001, None), (1002, [0, 5, 1]), (1003, [200, 150])]
+    rows += [(2000 + k, [rng.randrange(3, 259) for _ in range(12)]) for k in range(50)]
+    got = {r.doc_id: r.text for r in pieces.with_decoded(spark.createDataFrame(rows, "doc_id long, ids array<int>"), MODEL).collect()}
+    assert got == {k: sp.decode(ids) if ids else "" for k, ids in rows}
+
+
 # token counts
 
 def test_tokens_are_attributed(spark, docs, texts, no_docs):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, written
+from .common import free_name, fresh_path, written
 
 #: Batches that a table is taken in as, and runs of a level that are compacted into one of the next.
 BATCHES, FAN_IN = 4, 2
@@ -186,8 +186,6 @@ def drop_repeated_lines(
 
 def with_own_hashes(docs: DataFrame, repeated: DataFrame, text_col: str, min_chars: int) -> DataFrame:
     """`docs` and an array of those repeated hashes that the row's text has."""
-    from .common import free_name
-
     text, hashes = free_name(docs, "text_"), free_name(docs, "hashes_")
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

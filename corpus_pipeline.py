@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import langid, lines, packing, quality, simhash
-from stowage.llm.common import written
+from stowage.llm.common import short_batches, written
 
 WORD_IDS = public_tokenizers.path("word_bpe_49k.json")
 #: A document whose language scores less is in none of the learned ones.
@@ -17,16 +17,19 @@ MIN_LANGUAGE_SCORE = 0.5
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that pass the base rule and are near enough to their
     language's references, which are learned from `docs`."""
+    short_batches(spark)
     return quality.judge(docs, quality.learn(docs), only_kept=True)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a language that is learned from the labels of `docs`."""
+    short_batches(spark)
     return langid.predict(docs, langid.train(docs), keep=MIN_LANGUAGE_SCORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that ten documents or more share; n_chars follows the text."""
+    short_batches(spark)
     kept = lines.drop_repeated_lines(docs).drop("n_lines", "n_dropped")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
@@ -34,10 +37,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: those whose five-word
     fingerprints agree in 0.8 of their bits or more."""
+    short_batches(spark)
     return simhash.keep_first(docs, width=5, similarity=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return packing.pack(docs, WORD_IDS)
 
 

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,11 +51,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_batches(
-    df: DataFrame, columns: list, schema: T.StructType | str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-) -> DataFrame:
-    """Only `columns` of `df` go to Python, as Arrow batches."""
-    return df.select(*columns).mapInArrow(rows, schema)
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows of whole documents go to Python `rows` at a time at most: Spark's
+    10,000 are tens of MB, held on both sides by each task. Sets
+    `spark.sql.execution.arrow.maxRecordsPerBatch` unless it is less already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:

@@ -28,9 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that ten documents or more share; n_chars follows the text."""
+    """Drops lines that ten documents of different texts or more share;
+    n_chars follows the text. Copies are left to near_dedup, which keeps one."""
     short_batches(spark)
-    kept = lines.drop_repeated_lines(docs).drop("n_lines", "n_dropped")
+    kept = lines.drop_repeated_lines(docs, count_copies=False).drop("n_lines", "n_dropped")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -117,9 +117,44 @@ def line_counts(docs: DataFrame, text_col: str, min_chars: int, batches: int) ->
     return docs.sparkSession.read.schema("h long, n long, batch int").parquet(path)
 
 
-def repeated_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES) -> DataFrame:
-    """(h) as a written table: hashes of lines in `min_docs` rows or more."""
-    counts = line_counts(docs, text_col, min_chars, batches)
+def distinct_line_counts(docs: DataFrame, text_col: str, min_chars: int, batches: int) -> DataFrame:
+    """(batch, h, n) as `line_counts`, but each distinct text counts once
+    however many rows have it. Texts are told apart by 128 bits of XXH3; a
+    digest and its line hashes are shuffled, not the text."""
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            digests, hashes = [], []
+            for text in part.column(0).cast(pa.binary()):
+                body = text.as_py() or b""
+                digests.append(xxhash.xxh3_128_digest(body))
+                hashes.append(np.array(list(keyed(body, min_chars)), np.uint64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(hashes, pa.binary())], names=["d", "hs"])
+
+    def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("batch", pa.int32()), ("h", pa.int64()), ("n", pa.int64())])
+        for part in parts:
+            held: list[list[bytes]] = [[] for _ in range(batches)]
+            for d, hs in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                held[d[0] % batches].append(hs)
+            for b in range(batches):
+                h, n = np.unique(np.frombuffer(b"".join(held[b]), np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b, np.int32)), pa.array(h), pa.array(n.astype(np.int64))], schema=schema)
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(rows, "d binary, hs binary")
+    # equal texts have equal hashes
+    counts = texts.groupBy("d").agg(F.first("hs").alias("hs")).mapInArrow(summed, "batch int, h long, n long")
+    path = fresh_path(docs.sparkSession, "line-counts")
+    counts.write.partitionBy("batch").parquet(path)
+    return docs.sparkSession.read.schema("h long, n long, batch int").parquet(path)
+
+
+def repeated_lines(
+    docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, count_copies: bool = True
+) -> DataFrame:
+    """(h) as a written table: hashes of lines in `min_docs` rows or more, or
+    without `count_copies` in so many distinct texts."""
+    counts = (line_counts if count_copies else distinct_line_counts)(docs, text_col, min_chars, batches)
     runs = LineRuns(docs.sparkSession, min_docs)
     for b in range(batches):
         runs.add(counts.where(F.col("batch") == b).select("h", "n"))
@@ -145,21 +180,24 @@ def drop_repeated_lines(
     min_chars: int = 1,
     batches: int = BATCHES,
     broadcast_lines: int = BROADCAST_LINES,
+    count_copies: bool = True,
 ) -> DataFrame:
     """`docs` with its text less the lines whose key is in `min_docs` rows or
     more, and with n_lines (before) and n_dropped.
 
     The key is the line without ASCII white space at its ends, A-Z in lower
     case; keys under `min_chars` code points are never dropped. Keys are told
-    apart by 64 bits of XXH3. Each row is a document, whatever its id. A null
-    text is one empty line and becomes an empty text. Other columns pass
+    apart by 64 bits of XXH3. Each row is a document, whatever its id; without
+    `count_copies` rows of one text are a single document, so that copies
+    alone don't make a line repeated. A null text is one empty line and
+    becomes an empty text. Other columns pass
     through; columns named n_lines or n_dropped are replaced. An empty table
     gives no rows.
 
     Repeated lines are broadcast up to `broadcast_lines`; beyond, each row
     gets its own share of them by a join on hashes.
     """
-    repeated = repeated_lines(docs, text_col=text_col, min_docs=min_docs, min_chars=min_chars, batches=batches)
+    repeated = repeated_lines(docs, text_col=text_col, min_docs=min_docs, min_chars=min_chars, batches=batches, count_copies=count_copies)
     docs = docs.drop("n_lines", "n_dropped")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at, width = docs.columns.index(text_col), len(docs.columns)

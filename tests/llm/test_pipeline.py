@@ -103,3 +103,14 @@ def test_stages(spark, corpus):
 
     whole = corpus_pipeline.run(spark, folder).collect()
     assert {p.doc_id for p in whole} == {r[0] for r in left} and sum(p.length for p in whole) == sum(len(ids) for v in pieces.values() for _, ids in v)
+
+
+def test_copies_leave_one_whole_document(spark):
+    """Twenty copies don't make their own lines repeated; ten different texts do."""
+    text = "\n".join(f"line {k} of a text that is often copied" for k in range(12))
+    shared = [f"own line {k}\nshared line\nanother line of {k}" for k in range(10)]
+    rows = [(k, t, "en", "src", len(t)) for k, t in enumerate([text] * 20 + shared)]
+    cut = stage(spark, "line_dedup", rows, None)
+    assert cut[:20] == rows[:20] and [r[1] for r in cut[20:]] == [t.replace("shared line\n", "") for t in shared]
+    left = stage(spark, "near_dedup", cut, None)
+    assert [r for r in left if r[0] < 20] == rows[:1]

@@ -10,7 +10,7 @@ from stowage.llm import langid, lines, packing, quality, simhash
 from stowage.llm.common import short_batches, written
 
 WORD_IDS = public_tokenizers.path("word_bpe_49k.json")
-#: A document whose language scores less is in none of the learned ones.
+#: A document whose nearest language scores less lies between learned ones. Those that are in none go by the model's floors.
 MIN_LANGUAGE_SCORE = 0.5
 
 
@@ -22,9 +22,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a language that is learned from the labels of `docs`."""
+    """Keeps documents of a language that is learned from the labels of `docs`:
+    near one, and as probable in it as its own documents are."""
     short_batches(spark)
-    return langid.predict(docs, langid.train(docs), keep=MIN_LANGUAGE_SCORE)
+    return langid.predict(docs, langid.train(docs, floors=True), keep=MIN_LANGUAGE_SCORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

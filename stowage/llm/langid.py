@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -23,14 +24,19 @@ EVIDENCE = 60.0
 #: Characters that are hashed at once.
 CHARS_AT_ONCE = 1 << 19
 UNDETERMINED = "und"
+#: A text is in no learned language if its log-probability per n-gram is so many spreads under the mean of its nearest
+#: language's own documents. A spread counts as LEAST_SPREAD at least: few documents may be alike by chance.
+SPREADS, LEAST_SPREAD = 12.0, 0.1
 
 
 @dataclass
 class Model:
-    """languages, sorted; their log-probabilities, (language, bucket)."""
+    """languages, sorted; their log-probabilities, (language, bucket); and, if
+    learned, the least log-probability per n-gram of a text in each."""
 
     languages: list[str]
     log_probabilities: np.ndarray
+    floors: np.ndarray | None = None
 
 
 @cache
@@ -72,9 +78,11 @@ def counted(text: str) -> np.ndarray:
     return total
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES, smoothing: float = 0.5) -> Model:
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES, smoothing: float = 0.5, floors: bool = False) -> Model:
     """Counts n-grams in all rows with a text and a language; each task sends
-    its sums alone, and the driver gets languages x buckets numbers.
+    its sums alone, and the driver gets languages x buckets numbers. With
+    `floors` these rows are read again to learn how probable texts of each
+    language are.
 
     Rows with a null text or language teach nothing. No rows: no languages,
     and every prediction is `und`.
@@ -101,32 +109,75 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ma
     table = np.full((len(languages), 1 << BUCKET_BITS), smoothing)
     at = {lang: k for k, lang in enumerate(languages)}
     table[[at[x] for x in found["lang"]], found["bucket"]] += found["n"].to_numpy()
-    return Model(languages, np.log(table) - np.log(table.sum(1, keepdims=True)))
+    return Model(languages, np.log(table) - np.log(table.sum(1, keepdims=True)), learn_floors(cols, languages, table) if floors else None)
 
 
-def scored(text: str | None, model: Model) -> tuple[str, float]:
-    """(language, probability). Equal priors; the earlier name wins a tie."""
+def own_log_probability(counts: np.ndarray, table: np.ndarray) -> float:
+    """Per n-gram, in a language whose `table` has the text's counts in it:
+    they are taken out first, so that the text doesn't vouch for itself."""
+    at = np.flatnonzero(counts)
+    n = counts[at].sum()
+    return float((np.log(table[at] - counts[at]) @ counts[at]) / n - np.log(table.sum() - n))
+
+
+def learn_floors(cols: DataFrame, languages: list[str], table: np.ndarray) -> np.ndarray:
+    """Mean less SPREADS spreads of the log-probabilities of each language's
+    own rows. cols: (text, lang), no nulls. Sums are of whole thousandths, so
+    that their order doesn't matter."""
+    shared = cols.sparkSession.sparkContext.broadcast(table)
+    at = {lang: k for k, lang in enumerate(languages)}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(at), 3), np.int64)
+        for batch in batches:
+            for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+                if lang in at and has_letter(text):
+                    x = round(1000 * own_log_probability(counted(text), shared.value[at[lang]]))
+                    sums[at[lang]] += (1, x, x * x)
+        k = np.flatnonzero(sums[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(sums[k, c]) for c in range(3))], names=["k", "n", "x", "xx"])
+
+    floors = np.full(len(at), -np.inf)
+    found = cols.mapInArrow(rows, "k long, n long, x long, xx long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("xx").alias("xx"))
+    for r in found.collect():
+        spread = math.sqrt(max(0, r.n * r.xx - r.x * r.x)) / r.n / 1000
+        floors[r.k] = r.x / r.n / 1000 - SPREADS * max(spread, LEAST_SPREAD)
+    return floors
+
+
+def placed(text: str | None, model: Model) -> tuple[str, float, bool]:
+    """(language, probability, whether the text is in that language at all:
+    its log-probability per n-gram isn't under the language's floor)."""
     if not model.languages or not has_letter(text):
-        return UNDETERMINED, 0.0
+        return UNDETERMINED, 0.0, False
     counts = counted(text)
     at = np.flatnonzero(counts)  # a text's n-grams are few: a sparse product
-    log = model.log_probabilities[:, at] @ counts[at]
-    log = (log - log.max()) * min(1.0, EVIDENCE / counts[at].sum())
-    p = np.exp(log)
+    log, n = model.log_probabilities[:, at] @ counts[at], counts[at].sum()
     best = int(log.argmax())
-    return model.languages[best], float(p[best] / p.sum())
+    fits = model.floors is None or bool(log[best] / n >= model.floors[best])
+    log = (log - log.max()) * min(1.0, EVIDENCE / n)
+    p = np.exp(log)
+    return model.languages[best], float(p[best] / p.sum()), fits
+
+
+def scored(text: str | None, model: Model) -> tuple[str, float]:
+    """(language, probability). Equal priors; the earlier name wins a tie."""
+    return placed(text, model)[:2]
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: float | None = None) -> DataFrame:
     """`docs` with lang_pred and score; or, with `keep`, `docs` without rows
-    whose language is undetermined or whose score is under `keep`.
+    whose language is undetermined, whose score is under `keep`, or whose
+    text is too improbable in its nearest language if the model has floors.
+    (The score alone says which learned language is nearest, not whether the
+    text is in one of them.)
 
     Null texts and texts without a letter are `und`, score 0. Only the text is
     looked at; other columns pass through, whatever their names; columns named
     as the two new ones are replaced. An empty table gives no rows. The model
     (languages x 8192 numbers, at most 32 MB) is broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_probabilities))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_probabilities, model.floors))
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if keep is None:
         docs = docs.drop("lang_pred", "score")
@@ -135,11 +186,11 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: floa
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for batch in batches:
-            found = [scored(x.as_py(), m) for x in batch.column(at)]
+            found = [placed(x.as_py(), m) for x in batch.column(at)]
             if keep is None:
                 arrays = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "lang_pred", "score"])
             else:
-                yield batch.filter(pa.array([f[0] != UNDETERMINED and f[1] >= keep for f in found], pa.bool_()))
+                yield batch.filter(pa.array([f[0] != UNDETERMINED and f[1] >= keep and f[2] for f in found], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema if keep is not None else T.StructType([*docs.schema.fields, *new]))

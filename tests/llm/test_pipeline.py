@@ -114,3 +114,21 @@ def test_copies_leave_one_whole_document(spark):
     assert cut[:20] == rows[:20] and [r[1] for r in cut[20:]] == [t.replace("shared line\n", "") for t in shared]
     left = stage(spark, "near_dedup", cut, None)
     assert [r for r in left if r[0] < 20] == rows[:1]
+
+
+def test_foreign_and_random_texts_go(spark, corpus):
+    """The nearest learned language scores high for them too, but they are improbable in it."""
+    rng = np.random.default_rng(4)
+    clean = [r for r in corpus[0] if r[0] < 120]
+    letters = lambda some: " ".join("".join(rng.choice(list(some), int(rng.integers(3, 9)))) for _ in range(80))
+    foreign = [
+        "中国是世界上历史最悠久的国家之一 各族人民共同创造了光辉灿烂的文化 " * 12,
+        "Все люди рождаются свободными и равными в своём достоинстве и правах " * 8,
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw " * 8,
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan " * 8,
+        letters("bcdfghjklmnpqrstvwxz"), letters("abcdefghijklmnopqrstuvwxyz"),
+    ]
+    rows = clean + [(1000 + k, t, None, "src", len(t)) for k, t in enumerate(foreign)]
+    assert stage(spark, "language", rows, None) == clean
+    model = langid.train(spark.createDataFrame(clean, DOCUMENTS))
+    assert sum(langid.scored(t, model)[1] >= 0.5 for t in foreign) >= 4  # the score doesn't see it

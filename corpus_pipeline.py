@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import langid, lines, packing, quality, simhash
+from stowage.llm import langid, lines, packing, quality, shingles
 from stowage.llm.common import short_batches, written
 
 WORD_IDS = public_tokenizers.path("word_bpe_49k.json")
@@ -37,10 +37,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: those whose five-word
-    fingerprints agree in 0.8 of their bits or more."""
+    """Keeps one document of each group of near copies: those whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more."""
     short_batches(spark)
-    return simhash.keep_first(docs, width=5, similarity=0.8)
+    return shingles.keep_first(docs, width=5, similarity=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,23 +41,28 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def shingle_hashes(body: bytes, width: int) -> np.ndarray:
+    """XXH64 of seed 42 of the `width`-word shingles, with repeats; fewer
+    words are one shingle, no words none."""
+    h = xxhash.xxh64_intdigest
+    parts = body.lower().split()  # bytes: A-Z and ASCII white space alone
+    line, n = b" ".join(parts), len(parts)
+    if n <= width:
+        return np.array([h(line, 42)] if n else [], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([h(line[a:b], 42) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64)
+
+
 def fingerprint_rows(batches: Iterator[pa.RecordBatch], width: int, words: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "row", *(f"f{k}" for k in range(words))]
-    h = xxhash.xxh64_intdigest
     for batch in batches:
         fps = []
         for text in batch.column(1).cast(pa.binary()):
-            parts = (text.as_py() or b"").lower().split()  # bytes: A-Z and ASCII white space alone
-            line, n = b" ".join(parts), len(parts)
-            if not n:
+            hashes = shingle_hashes(text.as_py() or b"", width)
+            if not len(hashes):
                 fps.append([0] * words)
                 continue
-            if n <= width:
-                hashes = np.array([h(line, 42)], np.uint64)
-            else:
-                ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1
-                starts = np.concatenate(([0], ends[:-1] + 1))
-                hashes = np.array([h(line[a:b], 42) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64)
             fps.append([majority(x) for x in streams(hashes, words)])
         columns = np.array(fps, np.uint64).reshape(-1, words).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(columns[:, k])) for k in range(words))], names=names)
@@ -124,6 +129,15 @@ class Linker:
     def __init__(self, bits: int, n_pivots: int, words: int):
         self.bits, self.words, self.pivots = bits, words, pivots(n_pivots, words)
 
+    def table(self, fps: np.ndarray) -> np.ndarray:
+        return np.stack([distances(fps, p) for p in self.pivots], 1)
+
+    def near(self, i: np.ndarray, d: int, fps: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Those of `i` whose row is linked with the one `d` further on."""
+        for k in range(0, table.shape[1], 8):  # a coordinate that differs by more than `bits` rules the pair out
+            i = i[(np.abs(table[i, k : k + 8] - table[i + d, k : k + 8]) <= self.bits).all(1)]
+        return i[distances(fps[i], fps[i + d]) <= self.bits]
+
     def links(self, cells: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A spanning set of the links: pairs that are already joined by
         others aren't verified again. cells: (n, 3), sorted; fps: (n, words)."""
@@ -132,13 +146,11 @@ class Linker:
         if not len(same):
             return ids[:0], ids[:0]
         run = np.concatenate(([0], np.cumsum((cells[1:] != cells[:-1]).any(1))))
-        table = np.stack([distances(fps, p) for p in self.pivots], 1)
+        table = self.table(fps)
         parent, left, right = np.arange(n), [], []
         while len(same):
             i = same[parent[same] != parent[same + d]]
-            for k in range(0, table.shape[1], 8):  # a coordinate that differs by more than `bits` rules the pair out
-                i = i[(np.abs(table[i, k : k + 8] - table[i + d, k : k + 8]) <= self.bits).all(1)]
-            i = i[distances(fps[i], fps[i + d]) <= self.bits]
+            i = self.near(i, d, fps, table)
             if len(i):
                 left.append(ids[i])
                 right.append(ids[i + d])
@@ -192,22 +204,29 @@ def sampled_keys(distinct: DataFrame, words: int, tables: int, key_bits: int) ->
     return distinct.select("id", *columns_of(words)).mapInArrow(rows, ", ".join(f"{c} long" for c in names))
 
 
-def linked(keyed: DataFrame, bits: int, bucket_rows: int, n_pivots: int, words: int) -> DataFrame:
-    """(u, v): links among the rows of `keyed` (key, id, f0, ...) that share a
-    key, enough to join each component."""
-    f = columns_of(words)
+def in_cells(keyed: DataFrame, bucket_rows: int) -> DataFrame:
+    """The rows of `keyed` (key, id, ...) as (key, a, b, id, ...), sorted by
+    cell (key, a, b), a cell in one partition. A key of up to `bucket_rows`
+    rows is one cell; of a fuller one any two rows meet in some cell."""
+    rest = [c for c in keyed.columns if c not in ("key", "id")]
     full = keyed.groupBy("key").count().where(F.col("count") > bucket_rows)
     full = full.select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    cut = keyed.join(full, "key", "left").select("key", "id", *f, "chunks", chunk.alias("a"))
+    cut = keyed.join(full, "key", "left").select("key", "id", *rest, "chunks", chunk.alias("a"))
     # a row of chunk a meets every other chunk in a cell of its own
     partners = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cut = cut.select("key", "id", *f, F.coalesce("a", F.lit(0)).alias("a"), F.col("chunks"), F.explode(partners).alias("b"))
+    cut = cut.select("key", "id", *rest, F.coalesce("a", F.lit(0)).alias("a"), F.col("chunks"), F.explode(partners).alias("b"))
     cut = cut.where(F.col("chunks").isNull() | (F.col("a") != F.col("b")))
-    cut = cut.select("key", F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"), "id", *f)
+    cut = cut.select("key", F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"), "id", *rest)
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = cut.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return sorted_.mapInArrow(Linker(bits, n_pivots, words).rows, "u long, v long").distinct()
+    return cut.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+
+def linked(keyed: DataFrame, bits: int, bucket_rows: int, n_pivots: int, words: int) -> DataFrame:
+    """(u, v): links among the rows of `keyed` (key, id, f0, ...) that share a
+    key, enough to join each component."""
+    cells = in_cells(keyed.select("key", "id", *columns_of(words)), bucket_rows)
+    return cells.mapInArrow(Linker(bits, n_pivots, words).rows, "u long, v long").distinct()
 
 
 def near_duplicates(
@@ -267,7 +286,9 @@ def keep_first(
     finds copies of a few changed letters but not of a few changed words:
     there no set of blocks agrees for sure, and candidates are rows that share
     one of `tables` sampled keys, found with the probability that
-    `sampled_keys` states; what is linked is verified.
+    `sampled_keys` states (at the radius itself, a fifth of the bits, 0.84);
+    their bits are verified, not their shingles. `shingles.keep_first` loses
+    no pair.
 
     Of a component the row of the smallest id stays (null ids last), and of
     rows with that id the one whose text hashes least. Of wholly repeated rows
@@ -278,10 +299,16 @@ def keep_first(
     distinct = written(fps.select(*f).distinct().withColumn("id", F.monotonically_increasing_id()), "distinct-fingerprints")
     roots = connected_components(linked(sampled_keys(distinct, words, tables, key_bits), bits, bucket_rows, n_pivots, words))
     classes = distinct.join(roots, distinct.id == roots.node, "left").select(*f, F.coalesce("root", "id").alias("root"))
+    return first_rows(docs, fps.join(classes, f), id_col, text_col)
+
+
+def first_rows(docs: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` that are the first of their root. rooted: (doc_id,
+    row, root), a row for each of `docs`."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    kept = fps.join(classes, f).groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.row").alias("kept_row"))
+    kept = rooted.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.row").alias("kept_row"))
     row = free_name(docs, "row_")
     out = docs.withColumn(row, row_hash(id_col, text_col)).join(kept, F.col(row) == kept.kept_row, "left_semi")
-    if fps.groupBy("row").count().where("count > 1").limit(1).count():
+    if rooted.groupBy("row").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates([row])
     return out.drop(row)

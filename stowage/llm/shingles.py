@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of their sets of shingles, exactly."""
+"""Word shingles of a text: hashes, sets, set prefixes, and similar sets."""
 
 from __future__ import annotations
 
@@ -11,15 +11,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
-from .simhash import BUCKET_ROWS, Linker, first_rows, in_cells, row_hash, shingle_hashes
+#: For the order of hashes: SAMPLE texts, or SAMPLE_ROOT times the root of their number if that is more, are looked at; a
+#: hash is common if COMMON_IN of them have it; the most frequent MOST_COMMON of these are broadcast (8 bytes each).
+SAMPLE, SAMPLE_ROOT, COMMON_IN, MOST_COMMON = 4000, 40, 3, 500_000
+#: Columns of a table of sets and hashes that are in memory at once.
+COLUMNS_AT_ONCE = 1 << 15
 
-#: Sets of one candidate group that are compared in one task; larger groups are cut into chunks that meet pairwise.
-GROUP_ROWS = 512
-#: For the order of hashes: texts that are sampled, in how many of them a hash is common, and common ones at most.
-SAMPLE, COMMON_IN, MOST_COMMON = 4000, 3, 200_000
-#: A set's profile: how many of its hashes fall into each of 32 ranges, a byte each.
-PROFILE = ["p0", "p1", "p2", "p3"]
+
+def shingle_hashes(body: bytes, width: int) -> np.ndarray:
+    """XXH64 of seed 42 of the `width`-word shingles, with repeats; fewer
+    words are one shingle, no words none."""
+    h = xxhash.xxh64_intdigest
+    parts = body.lower().split()  # bytes: A-Z and ASCII white space alone
+    line, n = b" ".join(parts), len(parts)
+    if n <= width:
+        return np.array([h(line, 42)] if n else [], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([h(line[a:b], 42) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64)
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -27,73 +36,61 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text or b"", width))
 
 
-def set_id(hashes: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
-
-
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """So many of the first hashes that two sets of this similarity or more
-    have one in common: the larger can miss n - ceil(similarity * n). `common`
-    ones come last. Any order that all sets share loses no pair; this one
-    keeps texts apart that have a passage in common."""
+    """So many of the first hashes that two sets of this Jaccard similarity or
+    more have one in common: the larger can miss n - ceil(similarity * n).
+    `common` ones (sorted) come last. Any order that all sets share loses no
+    pair; this one keeps texts apart that have a passage in common."""
     n = len(hashes)
-    late = np.isin(hashes, common, assume_unique=True)
-    return np.concatenate((hashes[~late], hashes[late]))[: n - math.ceil(similarity * n - 1e-9) + 1] if n else hashes
+    if not n:
+        return hashes
+    late = np.zeros(n, bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+    return np.concatenate((hashes[~late], hashes[late]))[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
-def common_hashes(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """Hashes that COMMON_IN or more of about SAMPLE different texts have; the
-    most frequent MOST_COMMON at most. They only order the hashes, so what
-    the sample misses costs time alone."""
+def common_hashes(texts: DataFrame, width: int) -> np.ndarray:
+    """Hashes, sorted, that are common in a sample of `texts` (text). They only order
+    the hashes, so what the sample misses costs time alone."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), width).view(np.int64))], names=["h"])
 
-    text = F.col(text_col).cast("string")
-    sample = docs.select(text.alias("text")).where(F.pmod(F.xxhash64(text), F.lit(max(1, docs.count() // SAMPLE))) == 0).distinct()
-    counts = sample.mapInArrow(rows, "h long").groupBy("h").count().where(F.col("count") >= COMMON_IN)
-    return counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toPandas()["h"].to_numpy(np.int64).view(np.uint64)
-
-
-def profile(hashes: np.ndarray) -> np.ndarray:
-    counts = np.bincount((hashes >> np.uint64(59)).astype(np.int64), minlength=32)
-    return np.minimum(counts, 255).astype(np.uint8).view(np.int64)
-
-
-def set_rows(batches: Iterator[pa.RecordBatch], width: int, similarity: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, sizes, profiles, prefixes = [], [], [], []
-        for text in batch.column(1).cast(pa.binary()):
-            hashes = shingle_set(text.as_py(), width)
-            ids.append(set_id(hashes))
-            sizes.append(len(hashes))
-            profiles.append(profile(hashes))
-            prefixes.append(prefix(hashes, similarity, common).tobytes())
-        columns = np.array(profiles, np.int64).reshape(-1, 4)
-        arrays = [batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())]
-        arrays += [pa.array(np.ascontiguousarray(columns[:, k])) for k in range(4)] + [pa.array(prefixes, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "id", "n", *PROFILE, "prefix"])
+    n = texts.count()
+    share = F.pmod(F.xxhash64("text"), F.lit(max(1, n // max(SAMPLE, SAMPLE_ROOT * math.isqrt(n)))))
+    counts = texts.where(share == 0).distinct().mapInArrow(rows, "h long").groupBy("h").count().where(F.col("count") >= COMMON_IN)
+    return np.sort(counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
 def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id) for each hash of the prefix."""
+    """(key, id) for each hash of the prefix; a task gives a set's once."""
+    seen: set[int] = set()
     for batch in batches:
         for at in range(0, len(batch), 500):
-            part = batch.slice(at, 500)
-            bodies = part.column(1).to_pylist()
-            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(b) // 8 for b in bodies])
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(bodies), np.int64)), pa.array(ids)], names=["key", "id"])
+            ids, bodies = [], []
+            for i, body in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
+                if i not in seen:
+                    if len(seen) >= 1_000_000:
+                        seen.clear()  # what is given twice is dropped later
+                    seen.add(i)
+                    ids.append(i)
+                    bodies.append(body)
+            repeated = np.repeat(np.array(ids, np.int64), [len(b) // 8 for b in bodies])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(bodies), np.int64)), pa.array(repeated)], names=["key", "id"])
 
 
 def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key those whose key another row has too."""
+    """Of rows (key, id), sorted, those whose key another id has too, each once."""
     keys, ids, flag = np.zeros(0, np.int64), np.zeros(0, np.int64), False
     for batch in batches:
         if not len(batch):
             continue
         keys, ids = (np.concatenate((x, c.to_numpy(zero_copy_only=False))) for x, c in zip((keys, ids), batch.columns))
+        again = np.concatenate(([False], (keys[1:] == keys[:-1]) & (ids[1:] == ids[:-1])))
+        keys, ids = keys[~again], ids[~again]
         same, shared = keys[1:] == keys[:-1], np.zeros(len(keys), bool)
         shared[0] = flag
         shared[1:] |= same
@@ -105,48 +102,42 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
 
 
-class PossibleLinker(Linker):
-    """Links rows (size, profile) whose sets may be similar: no similar pair
-    has sizes further apart, or profiles that differ in more hashes."""
-
-    def __init__(self, similarity: float):
-        super().__init__(0, 0, 1 + len(PROFILE))
-        self.similarity = similarity
-
-    def table(self, fps: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(fps[:, 1:]).view(np.uint8).astype(np.int16)
-
-    def near(self, i, d, fps, table):
-        t = self.similarity
-        a, b = fps[i, 0].astype(np.int64), fps[i + d, 0].astype(np.int64)
-        i = i[np.minimum(a, b) >= t * np.maximum(a, b) - 1e-6]
-        n = fps[i, 0].astype(np.int64) + fps[i + d, 0].astype(np.int64)
-        return i[np.abs(table[i] - table[i + d]).sum(1, dtype=np.int64) <= n * (1 - t) / (1 + t) + 1e-6]
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two sets have in common, (n, n), by bit tables of
+    the hashes that two sets or more have."""
+    n = len(sets)
+    at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    keep = counts[at] > 1
+    row, at = row[keep], (np.cumsum(counts > 1) - 1)[at[keep]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    common = np.zeros((n, n), np.int64)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS_AT_ONCE):
+        a, b = np.searchsorted(at, [low, low + COLUMNS_AT_ONCE])
+        table = np.zeros((n, min(COLUMNS_AT_ONCE, int(at[-1]) + 1 - low)), bool)
+        table[row[a:b], at[a:b] - low] = True
+        bits = np.packbits(table, axis=1)
+        words = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+        for i in range(n - 1):
+            common[i, i + 1 :] += np.bitwise_count(words[i] & words[i + 1 :]).sum(1, dtype=np.int64)
+    return common + common.T
 
 
 def similar(ids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of ids whose sets' Jaccard similarity is `similarity` or more,
-    enough to join each component."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    at = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    mark, root, out = np.zeros(int(at.max()) + 1, bool), np.arange(len(ids)), []
-    for i in range(len(ids) - 1):
-        if (root[i + 1 :] == root[i]).all():
-            continue
-        own = at[starts[i] : starts[i] + sizes[i]]
-        mark[own] = True
-        common = np.add.reduceat(mark[at[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
-        mark[own] = False
-        union = sizes[i] + sizes[i + 1 :] - common
-        for j in (i + 1 + np.flatnonzero(common >= similarity * union - 1e-6)).tolist():
-            if root[i] != root[j]:
-                out.append((ids[i], ids[j]))
-                root[root == root[j]] = root[i]
-    return out
-
-
-def verified_rows(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of ids that join the components of those whose sets' Jaccard
+    similarity is `similarity` or more."""
+    sizes, common = np.array([len(x) for x in sets], np.int64), intersections(sets)
+    linked = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
+    np.fill_diagonal(linked, True)
+    label, before = np.arange(len(ids)), None
+    while before is None or (label != before).any():
+        before = label
+        label = np.where(linked, label[None, :], len(ids)).min(1)
+    return [(ids[i], ids[k]) for i, k in enumerate(label.tolist()) if i != k]
+
+
+def verified_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """(u, v) of rows (key, a, b, id, hashes) that are sorted by cell."""
     cell, ids, sets = None, [], []
 
@@ -162,58 +153,3 @@ def verified_rows(batches: Iterator[pa.RecordBatch], width: int, similarity: flo
             ids.append(i)
             sets.append(np.frombuffer(body, np.uint64))
     yield found()
-
-
-def keep_first(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    similarity: float = 0.8,
-    bucket_rows: int = BUCKET_ROWS,
-    group_rows: int = GROUP_ROWS,
-) -> DataFrame:
-    """`docs` less all but one row of each component of near copies: texts are
-    linked if the Jaccard similarity of their sets of `width`-word shingles is
-    `similarity` or more. No such pair is lost, and no other is linked
-    (shingles are told apart by 64 bits of XXH64, sets by 64 of XXH3).
-
-    Two sets that similar have one of their first hashes in common
-    (`prefix`). Sets that share one and whose sizes and profiles allow the
-    similarity are joined to candidate groups; within each group the sets
-    themselves are compared.
-
-    Of a component the row of the smallest id stays (null ids last), and of
-    rows with that id the one whose text hashes least. Of wholly repeated rows
-    one stays. Texts without words (null, empty, white space) are equal. All
-    columns pass through. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(common_hashes(docs, text_col, width))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text, row = F.col(text_col).cast("string").alias("text"), row_hash(id_col, text_col).alias("row")
-    schema = f"doc_id long, row long, id long, n long, {', '.join(f'{p} long' for p in PROFILE)}, prefix binary"
-    sets = docs.select(F.col(id_col).cast("long").alias("doc_id"), text, row).mapInArrow(lambda x: set_rows(x, width, similarity, common.value), schema)
-    sets = written(sets, "shingle-sets")
-    distinct = sets.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", *PROFILE)), F.min("row").alias("row"))
-    distinct = written(distinct, "distinct-sets")
-    one = sets.join(distinct.select("id", "row"), ["id", "row"], "left_semi").select("id", "prefix")
-    keys = one.mapInArrow(key_rows, "key long, id long").repartition(n, "key").sortWithinPartitions("key")
-    shared = written(keys.mapInArrow(shared_rows, "key long, id long").distinct(), "shared-keys")
-    keyed = shared.join(distinct.select("id", "n", *PROFILE), "id").select("key", "id", "n", *PROFILE)
-    possible = in_cells(keyed, bucket_rows).mapInArrow(PossibleLinker(similarity).rows, "u long, v long").distinct()
-    groups = written(connected_components(possible), "candidate-groups")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = [shingle_set(x.as_py(), width).tobytes() for x in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], names=["key", "id", "hashes"])
-
-    chosen = groups.join(distinct, groups.node == distinct.id).select(F.col("root").alias("key"), "id", F.col("row"))
-    members = docs.select(text, row).join(chosen, "row").select("key", "id", "text").mapInArrow(hashed, "key long, id long, hashes binary")
-    members = written(members.dropDuplicates(["id"]), "candidate-sets")
-    links = in_cells(members, group_rows).mapInArrow(lambda x: verified_rows(x, width, similarity), "u long, v long").distinct()
-    roots = connected_components(links)
-    rooted = sets.select("doc_id", "row", "id").join(roots, sets.id == roots.node, "left").select("doc_id", "row", F.coalesce("root", "id").alias("root"))
-    return first_rows(docs, rooted, id_col, text_col)

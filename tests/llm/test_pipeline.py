@@ -11,7 +11,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from stowage.llm import langid, quality
 
-from .test_simhash import components, wide
+from .test_shingles import linked, shingle_set
+from .test_simhash import components
 from .test_text_ops import brute_base, brute_lines
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -89,8 +90,8 @@ def test_stages(spark, corpus):
     cut = stage(spark, "line_dedup", found, folder)
     assert cut == want and sum(len(a[1]) > len(b[1]) for a, b in zip(found, cut)) >= 20
 
-    fps = [wide(r[1]) for r in cut]
-    roots = components(len(cut), [(a, b) for a in range(len(cut)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 51])
+    sets = [shingle_set(r[1]) for r in cut]
+    roots = components(len(cut), [(a, b) for a in range(len(cut)) for b in range(a) if linked(sets[a], sets[b])])
     left = stage(spark, "near_dedup", cut, folder)
     assert left == [cut[k] for k in sorted(set(roots))] and not {120 + k for k in range(16)} & {r[0] for r in left}
 

@@ -1,46 +1,14 @@
-"""What the operators share: the shared folder, written tables, components."""
+"""What the operators share: written tables (`stowage.shared`), free names, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`.
-
-    Only where the session names none (tests, a laptop) a temporary one is
-    made and set, which is right for a single machine alone.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="stowage-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return qualified(spark, base.rstrip("/"))
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path as a URI, so that tasks which open it by themselves reach the
-    same store as Spark does."""
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    uri = p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
-    return uri if "://" in uri else uri.replace("file:/", "file:///", 1)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from ..shared import discard, fresh_path, written
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: its lineage ends there,
-    and a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "discard", "free_name", "fresh_path", "short_batches", "written"]
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -66,8 +34,9 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each
     is an aggregate and an equi-join, and the number of rounds grows with the
-    logarithm of the component's size. Each round ends in a written table. An
-    edge of a node with itself, or with null, is ignored; no edges, no rows.
+    logarithm of the component's size. Each round ends in a written table, the
+    one before it is deleted. An edge of a node with itself, or with null, is
+    ignored; no edges, no rows.
     """
     e = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -82,6 +51,7 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = written(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = e, written(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -329,12 +329,13 @@ def keep_first(
     sets = written(sets, "shingle-sets")
     keyed = shared_keys(sets.select("id", "prefix").mapInArrow(shingles.key_rows, "key long, id long"))
     keyed = written(keyed, "candidate-keys")
-    candidates = sets.join(keyed.select("id").distinct(), "id", "left_semi")
-    candidates = candidates.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", *columns_of(SET_WORDS))), F.min(F.struct("row", "row2")).alias("at"))
+    # one row a set, before the join: copies of a text are many
+    each = sets.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", *columns_of(SET_WORDS))), F.min("row").alias("row"), F.min_by("row2", "row").alias("row2"))
+    candidates = each.join(keyed.select("id").distinct(), "id", "left_semi")
     candidates = written(candidates, "candidate-sets")
     drawn = candidates.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select(*columns_of(SET_WORDS)).collect()
     references = np.array([tuple(r) for r in drawn] or [(0,) * SET_WORDS], np.int64).view(np.uint64)
-    tabled = with_table(candidates.drop("at"), references)
+    tabled = with_table(candidates.drop("row", "row2"), references)
     cells = in_cells(keyed.join(tabled, "id").select("key", "id", "n", "t", *columns_of(SET_WORDS)), bucket_rows)
     possible = cells.mapInArrow(Linker(bits, SET_WORDS, similarity).rows, "u long, v long").distinct()
     groups = connected_components(possible)
@@ -344,7 +345,7 @@ def keep_first(
             bodies = [shingles.shingle_set(x.as_py(), width).tobytes() for x in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], names=["key", "id", "hashes"])
 
-    chosen = groups.join(candidates, groups.node == candidates.id).select(F.col("root").alias("key"), "id", "at.row", "at.row2")
+    chosen = groups.join(candidates, groups.node == candidates.id).select(F.col("root").alias("key"), "id", "row", "row2")
     members = docs.select(text, *rows).join(chosen, ["row", "row2"]).select("key", "id", "text").mapInArrow(hashed, "key long, id long, hashes binary")
     members = written(members.dropDuplicates(["id"]), "group-sets")
     roots = connected_components(in_cells(members, group_rows).mapInArrow(lambda x: shingles.verified_rows(x, similarity), "u long, v long").distinct())

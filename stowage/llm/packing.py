@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import cache
@@ -34,13 +35,21 @@ ARROW = pa.schema([(f.name, pa.binary() if f.name == "ids" else pa.int64()) for
 KEPT_WORDS, KEPT_RUNS = 200_000, 450_000
 
 
+# The normaliser, the pattern and the rest of the pre-tokenizer of a vocabulary whose texts can be encoded word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class WordIds(dict):
     """Word (UTF-8, without ASCII white space) -> its ids as uint32 bytes.
 
-    The tokenizer drops white space and never merges across it, so a text's
-    ids are its words' ids one after the other. Words of ASCII or Latin-1
-    letters are split into runs by the tokenizer's own pattern and go to its
-    BPE model directly; any other goes through the whole tokenizer.
+    A tokenizer with the normaliser and the pattern above drops white space
+    and never merges across it, so a text's ids are its words' ids one after
+    the other. Words of ASCII or Latin-1 letters are split into runs by the
+    pattern and go to the BPE model directly; any other, and words that hold
+    the string of an added token, go through the whole tokenizer. So does the
+    whole text if the vocabulary is of another kind.
     """
 
     def __init__(self, path: str):
@@ -48,16 +57,25 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        # Fixed value: the pattern of the vocabulary's pre-tokenizer.
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        known = json.loads(self.tokenizer.to_str())
+        added = known["added_tokens"]
+        split = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+        self.by_word = (
+            known["normalizer"] == NORMALIZER and known["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [split, BYTE_LEVEL]}
+            and known["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in added)
+        )
+        self.added = [t["content"] for t in added]
+        self.pattern = regex.compile(PATTERN)
         self.plain = regex.compile(r"[!-~¡-ÿ]+")
         shown = {b for r in (range(33, 127), range(161, 173), range(174, 256)) for b in r}
         hidden = iter(range(256, 512))
         self.letters = [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
         self.runs: dict[str, bytes] = {}
 
+    def whole(self, text: str) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
     def run(self, piece: str) -> bytes:
         ids = self.runs.get(piece)
         if ids is None:
@@ -69,16 +87,16 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.plain.fullmatch(text):
+        if self.plain.fullmatch(text) and not any(t in text for t in self.added):
             ids = b"".join(map(self.run, self.pattern.findall(text.lower())))
         else:
-            ids = b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+            ids = self.whole(text)
         if len(self) < KEPT_WORDS:
             self[word] = ids
         return ids
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, text.split())) if self.by_word else self.whole(text.decode())
 
 
 @cache
@@ -215,9 +233,12 @@ def pack(
     rests in memory. A task's last sequence may be short of its window; all
     others are exactly full. Repeating a task gives the same rows.
 
-    A null or empty text has `end_id` alone. Rows with equal or null ids are
-    documents of their own. An empty table gives no rows. Other columns of
-    `docs` are not read.
+    A null or empty text has `end_id` alone. A text is encoded whole, however
+    long, as the tokenizer by itself does without special tokens added: strings
+    of its added tokens in a text become these. Rows with equal or null ids,
+    or repeated, are documents of their own; pieces of equal length are taken
+    in the order in which they came. An empty table gives no rows. Other
+    columns of `docs` are not read.
     """
 
     def rows(batches):

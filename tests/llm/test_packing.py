@@ -12,9 +12,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def whole(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 1]
+    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def test_every_id_lies_in_one_piece(docs, texts):
@@ -60,3 +58,18 @@ def test_repeats_and_empty(spark, docs, no_docs):
     rows = packing.pack(odd.coalesce(1), PATH).select("doc_id", "doc_tokens", F.crc32("ids").alias("c")).collect()
     assert sorted((r.doc_id or 0, r.doc_tokens) for r in rows)[0] == (0, 1) and len({r.sequence_id for r in packing.pack(odd.coalesce(1), PATH).collect()}) == 1
     assert {r.c for r in rows if r.doc_id is None} == {zlib.crc32(b"\1\0\0\0")}
+
+
+def test_ids_are_the_plain_tokenizers(spark):
+    """Strings of added tokens, alone and within words; another vocabulary is encoded text by text."""
+    odd = ["<|endoftext|> a", "x<|endoftext|>y", "<|ENDOFTEXT|> b", "a <|startoftext|><|endoftext|>", "ünïcode<|endoftext|>é", "<|endoftext |>", "Iİ ß\u00a0x don't 12"]
+    words = packing.word_ids(PATH)
+    assert words.by_word and np.frombuffer(words.ids(b"<|endoftext|> a"), "<u4").tolist() == [49407, 320]
+    other = packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.by_word
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in odd:
+        assert np.frombuffer(words.ids(t.encode()), "<u4").tolist() + [1] == whole(t)
+        assert np.frombuffer(other.ids(t.encode()), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    rows = packing.pack(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), PATH).collect()
+    assert all(np.frombuffer(bytes(r.ids), "<u4").tolist() == whole(odd[r.doc_id]) for r in rows)

@@ -9,16 +9,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import free_name, written
 
 #: Hashed n-grams of 1 to ORDERS characters fall into 2 ** BUCKET_BITS buckets.
 ORDERS, BUCKET_BITS = 3, 13
-#: Learned languages at most: the most frequent ones. It bounds what the driver collects and broadcasts.
-MAX_LANGUAGES = 512
+#: Languages of one broadcast matrix (16 MB at most) and of one pass over the texts; more languages take more of both.
+BLOCK_LANGUAGES = 256
 #: The score of a long text is that of one of so many n-grams, so that it doesn't saturate.
 EVIDENCE = 60.0
 #: Characters that are hashed at once.
@@ -30,7 +31,7 @@ SPREADS, LEAST_SPREAD = 12.0, 0.1
 
 
 @dataclass
-class Model:
+class Block:
     """languages, sorted; their log-probabilities, (language, bucket); and, if
     learned, the least log-probability per n-gram of a text in each."""
 
@@ -39,6 +40,17 @@ class Model:
     floors: np.ndarray | None = None
 
 
+@dataclass
+class Model:
+    """Broadcast blocks of languages, in order of name."""
+
+    blocks: list[Broadcast]
+
+    @property
+    def languages(self) -> list[str]:
+        return [x for b in self.blocks for x in b.value.languages]
+
+
 @cache
 def folded() -> np.ndarray:
     """Code point -> its lower-case letter's code point, or a space's."""
@@ -78,14 +90,18 @@ def counted(text: str) -> np.ndarray:
     return total
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES, smoothing: float = 0.5, floors: bool = False) -> Model:
+def train(
+    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", block_languages: int = BLOCK_LANGUAGES, smoothing: float = 0.5, floors: bool = False
+) -> Model:
     """Counts n-grams in all rows with a text and a language; each task sends
-    its sums alone, and the driver gets languages x buckets numbers. With
-    `floors` these rows are read again to learn how probable texts of each
-    language are.
-
-    Rows with a null text or language teach nothing. No rows: no languages,
-    and every prediction is `und`.
+    its sums alone, and the driver gets languages x buckets numbers, those of
+    `block_languages` at a time, and broadcasts them. With `floors` the rows
+    are read again to learn how probable texts of each language are.
+
+    Every label is learned. Rows with a null text or language, or an empty
+    text, teach nothing; repeated rows count as often as they occur.
+    Texts are counted whole, however long. An empty table, or no labels: no
+    languages, and every prediction is `und`. Other columns are not read.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,13 +119,17 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ma
     cols = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
     sums = cols.mapInArrow(rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     sums = written(sums, "language-counts")
-    kept = sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
-    found = sums.join(kept, "lang").toPandas()
-    languages = sorted(set(found["lang"]))
-    table = np.full((len(languages), 1 << BUCKET_BITS), smoothing)
-    at = {lang: k for k, lang in enumerate(languages)}
-    table[[at[x] for x in found["lang"]], found["bucket"]] += found["n"].to_numpy()
-    return Model(languages, np.log(table) - np.log(table.sum(1, keepdims=True)), learn_floors(cols, languages, table) if floors else None)
+    languages = sorted(r.lang for r in sums.select("lang").distinct().collect())
+    blocks = []
+    for k in range(0, len(languages), block_languages):
+        block = languages[k : k + block_languages]
+        found = sums.where(F.col("lang").between(block[0], block[-1])).toPandas()
+        table = np.full((len(block), 1 << BUCKET_BITS), smoothing)
+        at = {lang: k for k, lang in enumerate(block)}
+        table[[at[x] for x in found["lang"]], found["bucket"]] += found["n"].to_numpy()
+        own = learn_floors(cols, block, table) if floors else None
+        blocks.append(docs.sparkSession.sparkContext.broadcast(Block(block, np.log(table) - np.log(table.sum(1, keepdims=True)), own)))
+    return Model(blocks)
 
 
 def own_log_probability(counts: np.ndarray, table: np.ndarray) -> float:
@@ -145,24 +165,30 @@ def learn_floors(cols: DataFrame, languages: list[str], table: np.ndarray) -> np
     return floors
 
 
-def placed(text: str | None, model: Model) -> tuple[str, float, bool]:
-    """(language, probability, whether the text is in that language at all:
-    its log-probability per n-gram isn't under the language's floor)."""
-    if not model.languages or not has_letter(text):
-        return UNDETERMINED, 0.0, False
+#: What is known of a text after some blocks: its language so far, that one's log-probability, the sum of all languages'
+#: probabilities relative to it, and whether it isn't under that language's floor.
+Found = tuple[str, float, float, bool]
+NOTHING: Found = (UNDETERMINED, -math.inf, 0.0, False)
+
+
+def placed(text: str | None, block: Block, before: Found = NOTHING) -> Found:
+    """The text's best language among `block` and those before it. Equal
+    priors; the earlier name wins a tie. A text without a letter has none."""
+    if not block.languages or not has_letter(text):
+        return before
     counts = counted(text)
     at = np.flatnonzero(counts)  # a text's n-grams are few: a sparse product
-    log, n = model.log_probabilities[:, at] @ counts[at], counts[at].sum()
+    log, n = block.log_probabilities[:, at] @ counts[at], counts[at].sum()
     best = int(log.argmax())
-    fits = model.floors is None or bool(log[best] / n >= model.floors[best])
-    log = (log - log.max()) * min(1.0, EVIDENCE / n)
-    p = np.exp(log)
-    return model.languages[best], float(p[best] / p.sum()), fits
+    name, top, fits = block.languages[best], float(log[best]), block.floors is None or bool(log[best] / n >= block.floors[best])
+    if top <= before[1]:
+        name, top, fits = before[0], before[1], before[3]
+    evidence = min(1.0, EVIDENCE / n)
+    return name, top, float(np.exp((log - top) * evidence).sum()) + before[2] * math.exp((before[1] - top) * evidence), fits
 
 
-def scored(text: str | None, model: Model) -> tuple[str, float]:
-    """(language, probability). Equal priors; the earlier name wins a tie."""
-    return placed(text, model)[:2]
+def probability(found: Found) -> float:
+    return 1 / found[2] if found[2] else 0.0
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: float | None = None) -> DataFrame:
@@ -172,25 +198,43 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: floa
     (The score alone says which learned language is nearest, not whether the
     text is in one of them.)
 
-    Null texts and texts without a letter are `und`, score 0. Only the text is
-    looked at; other columns pass through, whatever their names; columns named
-    as the two new ones are replaced. An empty table gives no rows. The model
-    (languages x 8192 numbers, at most 32 MB) is broadcast.
+    Null and empty texts, and texts without a letter, are `und`, score 0. Of
+    languages that are equally probable the earlier name is taken. Only the
+    text is looked at, whole, however long; other columns and repeated rows
+    pass through, whatever their names; columns named as the two new ones are
+    replaced. An empty table gives no rows. The model's blocks (256 x 8192
+    numbers, 16 MB, at most) are broadcast; each is a pass over the texts, and
+    hands on four numbers a row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_probabilities, model.floors))
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if keep is None:
         docs = docs.drop("lang_pred", "score")
-    at = docs.columns.index(text_col)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
-        for batch in batches:
-            found = [placed(x.as_py(), m) for x in batch.column(at)]
-            if keep is None:
-                arrays = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "lang_pred", "score"])
-            else:
-                yield batch.filter(pa.array([f[0] != UNDETERMINED and f[1] >= keep and f[2] for f in found], pa.bool_()))
-
-    return docs.mapInArrow(rows, docs.schema if keep is not None else T.StructType([*docs.schema.fields, *new]))
+    at, width = docs.columns.index(text_col), len(docs.columns)
+    final = docs.schema if keep is not None else T.StructType([*docs.schema.fields, *new])
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
+    handed = T.StructType([*docs.schema.fields, *(T.StructField(free_name(docs, f"found{k}_"), kind) for k, kind in enumerate(kinds))])
+
+    def passed(shared: Broadcast | None, first: bool, last: bool):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = shared.value if shared else Block([], np.zeros((0, 1)))
+            for batch in batches:
+                columns = batch.columns[:width]
+                before = [NOTHING] * len(batch) if first else list(zip(*(c.to_pylist() for c in batch.columns[width:])))
+                found = [placed(x.as_py(), block, b) for x, b in zip(columns[at], before)]
+                if not last:
+                    arrays = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
+                    yield pa.RecordBatch.from_arrays([*columns, *arrays], names=handed.names)
+                elif keep is None:
+                    arrays = [pa.array([f[0] for f in found], pa.string()), pa.array(list(map(probability, found)), pa.float64())]
+                    yield pa.RecordBatch.from_arrays([*columns, *arrays], names=final.names)
+                else:
+                    kept = pa.RecordBatch.from_arrays(columns, names=final.names)
+                    yield kept.filter(pa.array([f[0] != UNDETERMINED and probability(f) >= keep and f[3] for f in found], pa.bool_()))
+
+        return rows
+
+    blocks = model.blocks or [None]
+    for k, shared in enumerate(blocks):
+        last = k == len(blocks) - 1
+        docs = docs.mapInArrow(passed(shared, k == 0, last), final if last else handed)
+    return docs

@@ -9,11 +9,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import free_name, written
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -21,15 +23,17 @@ SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\r\x0b\x0c"
 #: Character classes: lower-case ASCII, upper-case ASCII, digits, white space, sentence marks, symbols, other ASCII, other.
 CLASSES = 8
-#: A language's reference holds its COMMON most frequent words of up to COMMON_BYTES bytes.
-COMMON, COMMON_BYTES = 64, 6
-#: Languages with references at most, those with the most words: it bounds what the driver collects and broadcasts.
-MAX_LANGUAGES = 512
+#: A language's reference holds its COMMON most frequent words. Words of more than KEY_BYTES bytes are told apart by a digest.
+COMMON, KEY_BYTES = 64, 24
+#: Languages whose references are broadcast together (some 5 KB each); more languages take more broadcasts and passes.
+BLOCK_LANGUAGES = 1024
+#: Distinct words that a task counts before it hands the counts on.
+WORDS_AT_ONCE = 300_000
 #: Under so many characters or words a histogram isn't judged.
 GUARD_CHARS, GUARD_WORDS = 200, 50
 #: A text is rejected beyond a Jensen-Shannon distance (square root of base-2 divergence) of limit + noise / sqrt(words):
 #: a histogram of few words strays from its own source by about that. (limit, noise) for classes and for words.
-CLASS_LIMIT, WORD_LIMIT = (0.20, 1.0), (0.28, 1.3)
+CLASS_LIMIT, WORD_LIMIT = (0.20, 1.0), (0.28, 1.5)
 
 
 def class_table() -> bytes:
@@ -61,19 +65,32 @@ def class_counts(text: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(text.translate(CLASS_OF), np.uint8), minlength=CLASSES)
 
 
+def word_key(word: bytes) -> bytes:
+    """The word; of a long one a digest, after a byte that no text has."""
+    return word if len(word) <= KEY_BYTES else b"\xff" + xxhash.xxh3_128_digest(word)
+
+
 @dataclass
 class References:
-    """classes[lang]: shares of the classes. words[lang]: word -> share of all
-    words, for the common ones."""
+    """classes[lang]: shares of the classes. words[lang]: word's key -> share
+    of all words, for the common ones."""
 
     classes: dict[str, np.ndarray]
     words: dict[str, dict[bytes, float]]
 
 
-def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", common: int = COMMON) -> References:
+def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", common: int = COMMON, block_languages: int = BLOCK_LANGUAGES) -> list[Broadcast]:
     """References over all rows with a text and a language: the languages'
-    class counts and most frequent short words. Tasks send sums; the driver
-    gets `common` words a language."""
+    class counts and most frequent words, of any length. Tasks send sums; the
+    driver gets `common` words a language, those of `block_languages` at a
+    time, and broadcasts them.
+
+    Every label gets references. Rows with a null text or language teach
+    nothing, nor do empty texts; repeated rows count as often as they occur.
+    Of equally frequent words the first in order of bytes is taken. Texts are
+    counted whole, however long. An empty table, or no labels: no references,
+    and nothing is judged by distance. Other columns are not read.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("key", pa.binary()), ("n", pa.int64())])
@@ -94,8 +111,8 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", co
                 classes[lang] = classes.get(lang, 0) + class_counts(body)
                 all_words = body.lower().split()
                 totals[lang] += len(all_words)
-                words.setdefault(lang, Counter()).update([w for w in all_words if len(w) <= COMMON_BYTES])
-            if sum(map(len, words.values())) > 500_000:
+                words.setdefault(lang, Counter()).update(map(word_key, all_words))
+            if sum(map(len, words.values())) > WORDS_AT_ONCE:
                 yield from drained()
         yield from drained()
         for lang, n in classes.items():
@@ -107,23 +124,27 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", co
     cols = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
     sums = cols.mapInArrow(rows, "lang string, key binary, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     sums = written(sums, "quality-counts")
-    kept = sums.where(F.col("key") == F.lit(b"t")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
-    sums = sums.join(kept, "lang")
     is_word = F.substring("key", 1, 1) == F.lit(b"w")
     # a partition sends its own `common` best of a language alone
     best = Window.partitionBy("lang", is_word).orderBy(F.desc("n"), "key")
     top = sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(common, CLASSES + 1))
-    found: dict[str, dict[bytes, int]] = {}
-    for r in top.select("lang", "key", "n").collect():
-        found.setdefault(r.lang, {})[bytes(r.key)] = r.n
-    classes, words = {}, {}
-    for lang, keys in found.items():
-        n = np.array([keys[b"c%d" % k] for k in range(CLASSES)], np.float64)
-        if n.sum():
-            classes[lang] = n / n.sum()
-            ranked = sorted((k for k in keys if k[:1] == b"w"), key=lambda k: (-keys[k], k))[:common]
-            words[lang] = {k[1:]: keys[k] / keys[b"t"] for k in ranked}
-    return References(classes, words)
+    top = written(top.select("lang", "key", "n"), "quality-references")
+    languages = sorted(r.lang for r in top.select("lang").distinct().collect())
+    blocks = []
+    for at in range(0, len(languages), block_languages):
+        block = languages[at : at + block_languages]
+        found: dict[str, dict[bytes, int]] = {}
+        for r in top.where(F.col("lang").between(block[0], block[-1])).collect():
+            found.setdefault(r.lang, {})[bytes(r.key)] = r.n
+        classes, words = {}, {}
+        for lang, keys in found.items():
+            n = np.array([keys[b"c%d" % k] for k in range(CLASSES)], np.float64)
+            if n.sum():
+                classes[lang] = n / n.sum()
+                ranked = sorted((k for k in keys if k[:1] == b"w"), key=lambda k: (-keys[k], k))[:common]
+                words[lang] = {k[1:]: keys[k] / keys[b"t"] for k in ranked}
+        blocks.append(docs.sparkSession.sparkContext.broadcast(References(classes, words)))
+    return blocks
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -169,25 +190,34 @@ def base(text: bytes) -> tuple[int, int, int, int, int, bool]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated, failed
 
 
-def divergence(text: bytes, lang: str | None, refs: References) -> tuple[float | None, float | None]:
-    """(class distance, word distance) from the language's references, or from
-    the nearest ones if the language is null or has none. None: too short to
-    be judged, or nothing was learned."""
-    langs = [lang] if lang in refs.classes else sorted(refs.classes)
-    counts, by_class, by_word = class_counts(text).astype(np.float64), None, None
-    if langs and counts.sum() >= GUARD_CHARS:
-        by_class = min(distance(counts / counts.sum(), refs.classes[x]) for x in langs)
+#: (class distance, word distance, whether they are from the text's own language); a distance is null if not judged.
+Distances = tuple[float | None, float | None, bool]
+UNJUDGED: Distances = (None, None, False)
+
+
+def divergence(text: bytes, lang: str | None, refs: References, before: Distances = UNJUDGED) -> Distances:
+    """Distances from the language's references, or from the nearest ones,
+    those before included, if the language is null or has none. Too short
+    texts aren't judged."""
+    own = lang in refs.classes
+    if before[2] or not refs.classes:
+        return before
+    langs = [lang] if own else list(refs.classes)
+    counts, by_class, by_word = class_counts(text).astype(np.float64), [], []
+    if counts.sum() >= GUARD_CHARS:
+        by_class = [distance(counts / counts.sum(), refs.classes[x]) for x in langs]
     words = text.lower().split()
-    if langs and len(words) >= GUARD_WORDS:
-        found = []
+    if len(words) >= GUARD_WORDS:
+        held = Counter(map(word_key, words))
         for x in langs:
             shares = refs.words[x]
-            hits = Counter([w for w in words if w in shares])
-            p = np.array([hits[w] for w in shares], np.float64) / len(words)
+            p = np.array([held[w] for w in shares], np.float64) / len(words)
             q = np.fromiter(shares.values(), np.float64, len(shares))
-            found.append(distance(np.append(p, 1 - p.sum()), np.append(q, 1 - q.sum())))
-        by_word = min(found)
-    return by_class, by_word
+            by_word.append(distance(np.append(p, 1 - p.sum()), np.append(q, 1 - q.sum())))
+    if not own:
+        by_class += [before[0]] * (before[0] is not None)
+        by_word += [before[1]] * (before[1] is not None)
+    return min(by_class, default=None), min(by_word, default=None), own
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -203,16 +233,9 @@ def within(distance: float | None, limit: tuple[float, float], n_words: int) ->
     return distance is None or distance <= limit[0] + limit[1] / math.sqrt(max(1, n_words))
 
 
-def judged(text: bytes, lang: str | None, refs: References, class_limit: tuple[float, float], word_limit: tuple[float, float]) -> tuple:
-    counts = base(text)
-    by_class, by_word = divergence(text, lang, refs)
-    kept = not counts[-1] and within(by_class, class_limit, counts[0]) and within(by_word, word_limit, counts[0])
-    return *counts, by_class, by_word, kept
-
-
 def judge(
     docs: DataFrame,
-    refs: References,
+    refs: list[Broadcast],
     *,
     text_col: str = "text",
     lang_col: str = "lang",
@@ -224,25 +247,50 @@ def judge(
     `docs` that are kept.
 
     A row is kept if it passes the base rule and neither of its histograms is
-    farther from its language's reference than allowed. A null text counts as
-    an empty one and fails. Other columns pass through, whatever their names;
-    columns named as new ones are replaced. An empty table gives no rows. The
-    references (at most 512 languages x 72 numbers) are broadcast.
+    farther from its language's reference than allowed; a row without a
+    language, or of one without references, is held against the nearest. A
+    null text counts as an empty one and fails. Texts are read whole, however
+    long. Repeated rows are judged each; a distance that equals its limit is
+    within it. Other columns pass through, whatever their names; columns named
+    as new ones are replaced. An empty table gives no rows. The references
+    (`learn`) are broadcast in blocks; each block but the last is a pass that
+    hands on two distances a row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((refs.classes, refs.words))
     if not only_kept:
         docs = docs.drop(*VERDICT)
-    at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = References(*shared.value)
-        for batch in batches:
-            texts, langs = batch.column(at).cast(pa.binary()), batch.column(lang_at).to_pylist()
-            found = [judged(x.as_py() or b"", lang, known, class_limit, word_limit) for x, lang in zip(texts, langs)]
-            if only_kept:
-                yield batch.filter(pa.array([f[-1] for f in found], pa.bool_()))
-            else:
-                new = [pa.array([f[k] for f in found], t) for k, t in enumerate(ARROW)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *VERDICT])
-
-    return docs.mapInArrow(rows, docs.schema if only_kept else T.StructType([*docs.schema.fields, *FIELDS]))
+    at, lang_at, width = docs.columns.index(text_col), docs.columns.index(lang_col), len(docs.columns)
+    final = docs.schema if only_kept else T.StructType([*docs.schema.fields, *FIELDS])
+    kinds = (T.DoubleType(), T.DoubleType(), T.BooleanType())
+    handed = T.StructType([*docs.schema.fields, *(T.StructField(free_name(docs, f"found{k}_"), kind) for k, kind in enumerate(kinds))])
+
+    def verdict(text: bytes, lang: str | None, known: References, before: Distances) -> tuple:
+        counts = base(text)
+        by_class, by_word, _ = divergence(text, lang, known, before)
+        return *counts, by_class, by_word, not counts[-1] and within(by_class, class_limit, counts[0]) and within(by_word, word_limit, counts[0])
+
+    def passed(shared: Broadcast | None, first: bool, last: bool):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value if shared else References({}, {})
+            for batch in batches:
+                columns = batch.columns[:width]
+                texts, langs = columns[at].cast(pa.binary()), columns[lang_at].cast(pa.string()).to_pylist()
+                before = [UNJUDGED] * len(batch) if first else list(zip(*(c.to_pylist() for c in batch.columns[width:])))
+                cases = ((x.as_py() or b"", lang, known, b) for x, lang, b in zip(texts, langs, before))
+                if not last:
+                    found = [divergence(*x) for x in cases]
+                    arrays = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.float64(), pa.float64(), pa.bool_()))]
+                    yield pa.RecordBatch.from_arrays([*columns, *arrays], names=handed.names)
+                elif only_kept:
+                    yield pa.RecordBatch.from_arrays(columns, names=final.names).filter(pa.array([verdict(*x)[-1] for x in cases], pa.bool_()))
+                else:
+                    found = [verdict(*x) for x in cases]
+                    new = [pa.array([f[k] for f in found], t) for k, t in enumerate(ARROW)]
+                    yield pa.RecordBatch.from_arrays([*columns, *new], names=final.names)
+
+        return rows
+
+    blocks = refs or [None]
+    for k, shared in enumerate(blocks):
+        last = k == len(blocks) - 1
+        docs = docs.mapInArrow(passed(shared, k == 0, last), final if last else handed)
+    return docs

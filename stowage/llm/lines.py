@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, fresh_path, written
+from .common import discard, free_name, fresh_path, written
 
-#: Batches that a table is taken in as, and runs of a level that are compacted into one of the next.
-BATCHES, FAN_IN = 4, 2
-#: So many repeated lines are broadcast at most (8 bytes each); more are joined by shuffle.
-BROADCAST_LINES = 1_000_000
+#: Batches that a table is taken in as.
+BATCHES = 4
 
 
 def key(line: bytes) -> bytes:
@@ -34,57 +33,56 @@ def keyed(text: bytes, min_chars: int) -> dict[int, None]:
 class LineRuns:
     """How many documents hold each line, in sorted runs by level.
 
-    `add` counts the lines of a new batch, leaves out those that a run already
-    knows to be repeated often enough (a merge anti-join: both sides are
-    sorted by hash), and adds the rest as a run of level 0. `FAN_IN` runs of a
-    level are compacted into one of the next, where their counts add up and
-    lines that reach `min_docs` move to a run of known ones. A batch thus
-    costs its own size, and a line is rewritten once a level.
+    A run is a table (h, n) that is bucketed and sorted by hash, so that runs
+    meet bucket by bucket without a shuffle. `add` counts the lines of a new
+    batch, leaves out those that a run already knows to be repeated often
+    enough (a merge anti-join), and adds the rest as a run of level 0. Two
+    runs of a level are compacted into one of the next by a merge join, which
+    adds their counts up. A batch thus costs its own size and a join with as
+    many runs as there are levels, and a line is rewritten once a level.
+    `drop` removes the runs' tables and files.
     """
 
     def __init__(self, spark: SparkSession, min_docs: int):
         self.spark, self.min_docs = spark, min_docs
-        self.known: list[DataFrame] = []
-        self.levels: list[list[DataFrame]] = [[]]
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[DataFrame | None] = []
+        self.tables: list[str] = []
+
+    def run(self, counts: DataFrame) -> DataFrame:
+        name = f"line_run_{uuid.uuid4().hex}"
+        path = fresh_path(self.spark, "line-run")
+        counts.select("h", "n").write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
 
     def add(self, counts: DataFrame) -> None:
         """counts: (h, n), a hash any number of times."""
-        for known in self.known:
-            counts = counts.join(known, "h", "left_anti")
-        self.put(counts, 0)
-
-    def put(self, counts: DataFrame, level: int) -> None:
-        run = counts.groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h")
-        if level:
-            run = written(run, f"run-{level}")
-            self.known.append(run.where(F.col("n") >= self.min_docs).select("h"))
-            run = run.where(F.col("n") < self.min_docs)
-        else:
-            run = written(run, "run-0")
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) == FAN_IN:
-            first, *rest = self.levels[level]
-            self.levels[level] = []
-            for x in rest:
-                first = first.union(x)
-            self.put(first, level + 1)
+        counts = counts.groupBy("h").agg(F.sum("n").alias("n"))
+        for run in self.levels:
+            if run is not None:
+                counts = counts.join(run.where(F.col("n") >= self.min_docs).select("h"), "h", "left_anti")
+        run, level = self.run(counts), 0
+        while level < len(self.levels) and self.levels[level] is not None:
+            older = self.levels[level].withColumnRenamed("n", "m")
+            both = older.join(run, "h", "full").select("h", (F.coalesce("m", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"))
+            run, self.levels[level] = self.run(both), None
+            level += 1
+        self.levels += [None] * (level + 1 - len(self.levels))
+        self.levels[level] = run
 
     def repeated(self) -> DataFrame:
         """(h): lines of `min_docs` documents or more."""
-        runs = [run for level in self.levels for run in level]
         out = None
-        if len(runs) == 1:
-            out = runs[0].where(F.col("n") >= self.min_docs).select("h")
-        elif runs:
-            both = runs[0]
-            for x in runs[1:]:
-                both = both.union(x)
-            out = both.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs).select("h")
-        for known in self.known:
-            out = known if out is None else out.union(known)
-        return out.distinct() if out is not None else self.spark.createDataFrame([], "h long")
+        for run in (r for r in self.levels if r is not None):
+            older = run.withColumnRenamed("n", "m")
+            out = run if out is None else out.join(older, "h", "full").select("h", (F.coalesce("m", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"))
+        return out.where(F.col("n") >= self.min_docs).select("h") if out is not None else self.spark.createDataFrame([], "h long")
+
+    def drop(self) -> None:
+        for name in self.tables:
+            discard(self.spark.table(name))
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def line_counts(docs: DataFrame, text_col: str, min_chars: int, batches: int) -> DataFrame:
@@ -158,7 +156,9 @@ def repeated_lines(
     runs = LineRuns(docs.sparkSession, min_docs)
     for b in range(batches):
         runs.add(counts.where(F.col("batch") == b).select("h", "n"))
-    return written(runs.repeated(), "repeated-lines")
+    out = written(runs.repeated(), "repeated-lines")
+    runs.drop()
+    return out
 
 
 def split_lines(text: bytes, repeated, min_chars: int) -> tuple[int, int, bytes]:
@@ -179,63 +179,60 @@ def drop_repeated_lines(
     min_docs: int = 10,
     min_chars: int = 1,
     batches: int = BATCHES,
-    broadcast_lines: int = BROADCAST_LINES,
     count_copies: bool = True,
+    with_counts: bool = True,
 ) -> DataFrame:
     """`docs` with its text less the lines whose key is in `min_docs` rows or
-    more, and with n_lines (before) and n_dropped.
+    more, and, with `with_counts`, n_lines (before) and n_dropped.
 
     The key is the line without ASCII white space at its ends, A-Z in lower
     case; keys under `min_chars` code points are never dropped. Keys are told
-    apart by 64 bits of XXH3. Each row is a document, whatever its id; without
-    `count_copies` rows of one text are a single document, so that copies
-    alone don't make a line repeated. A null text is one empty line and
-    becomes an empty text. Other columns pass
-    through; columns named n_lines or n_dropped are replaced. An empty table
-    gives no rows.
-
-    Repeated lines are broadcast up to `broadcast_lines`; beyond, each row
-    gets its own share of them by a join on hashes.
+    apart by 64 bits of XXH3. Each row is a document, whatever its id, also if
+    it is repeated; without `count_copies` rows of one text are a single
+    document, so that copies alone don't make a line repeated. A null text is
+    one empty line and becomes an empty text. Texts are split whole, however
+    long. Other columns pass through, whatever their names; columns named as
+    new ones are replaced. An empty table gives no rows.
+
+    A text gets the hashes of its own repeated lines by a join.
     """
     repeated = repeated_lines(docs, text_col=text_col, min_docs=min_docs, min_chars=min_chars, batches=batches, count_copies=count_copies)
-    docs = docs.drop("n_lines", "n_dropped")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    if with_counts:
+        docs = docs.drop("n_lines", "n_dropped")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_dropped") if with_counts)])
     at, width = docs.columns.index(text_col), len(docs.columns)
-    few = repeated.limit(broadcast_lines + 1).count() <= broadcast_lines
-    if few:
-        found = np.array([r.h for r in repeated.collect()], np.int64).view(np.uint64)
-        shared = docs.sparkSession.sparkContext.broadcast(found)
-    else:
-        docs = with_own_hashes(docs, repeated, text_col, min_chars)
+    docs = with_own_hashes(docs, repeated, text_col, min_chars)
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        everywhere = set(shared.value.tolist()) if few else None
         for part in parts:
             texts = part.column(at).cast(pa.binary())
-            own = [everywhere] * len(texts) if few else [set(np.array(x.as_py() or [], np.int64).view(np.uint64).tolist()) for x in part.column(width)]
+            own = [set(np.array(x.as_py() or [], np.int64).view(np.uint64).tolist()) for x in part.column(width)]
             done = [split_lines(x.as_py() or b"", h, min_chars) for x, h in zip(texts, own)]
             columns = list(part.columns[:width])
             columns[at] = pa.array([d[2] for d in done], pa.binary()).cast(pa.string())
-            columns += [pa.array([d[k] for d in done], pa.int64()) for k in (0, 1)]
+            columns += [pa.array([d[k] for d in done], pa.int64()) for k in (0, 1) if with_counts]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(rows, schema)
 
 
 def with_own_hashes(docs: DataFrame, repeated: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """`docs` and an array of those repeated hashes that the row's text has."""
-    text, hashes = free_name(docs, "text_"), free_name(docs, "hashes_")
+    """`docs` and an array of those repeated hashes that the row's text has;
+    null if none. Texts are told apart by 128 bits."""
+    own_names = [free_name(docs, c) for c in ("own1_", "own2_", "hashes_")]
+    names = [free_name(docs, c) for c in ("text1_", "text2_")]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    digests = [F.xxhash64(text), F.xxhash64(F.lit(1), text, F.length(text))]
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("t", pa.string()), ("h", pa.int64())])
         for part in parts:
-            for digest, body in zip(part.column(0), part.column(1).cast(pa.binary())):
-                h = np.array(list(keyed(body.as_py() or b"", min_chars)), np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([digest.as_py()] * len(h), pa.string()), pa.array(h)], schema=schema)
-
-    # equal texts have equal hashes: one row for each text
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    texts = docs.select(digest.alias("t"), F.col(text_col).alias("x")).groupBy("t").agg(F.min("x").alias("x"))
-    pairs = texts.mapInArrow(rows, "t string, h long").join(repeated, "h", "left_semi")
-    own = pairs.groupBy("t").agg(F.collect_list("h").alias(hashes)).withColumnRenamed("t", text)
-    return docs.join(own, digest == own[text], "left").drop(text)
+            hashes = [np.array(list(keyed(body.as_py() or b"", min_chars)), np.uint64).view(np.int64) for body in part.column(2).cast(pa.binary())]
+            sizes = [len(h) for h in hashes]
+            ids = [pa.array(np.repeat(part.column(k).to_numpy(), sizes)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], names=["t1", "t2", "h"])
+
+    pairs = docs.select(*digests, text).mapInArrow(rows, "t1 long, t2 long, h long").join(repeated, "h", "left_semi")
+    own = pairs.groupBy("t1", "t2").agg(F.collect_set("h")).toDF(*own_names)
+    docs = docs.withColumns(dict(zip(names, digests)))
+    found = [F.col(x) == F.col(y) for x, y in zip(names, own_names)]
+    return docs.join(own, found, "left").drop(*names, *own_names[:2])

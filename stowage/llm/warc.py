@@ -36,6 +36,8 @@ RECORDS_ARROW = pa.schema(
 
 ROLL_BYTES = 128 << 20
 GAP_BYTES = 64 << 10
+#: A payload is hot if more than one row in so many has it: there are fewer such payloads than that.
+HOT_SHARE = 20_000
 READ_BYTES = 8 << 20
 #: Fixed value: all records of one table carry one date, so that equal input gives equal archives.
 DATE = "1970-01-01T00:00:00Z"
@@ -73,22 +75,51 @@ def page_of(name: str | None):
     return int(x) if x and x != "None" else None
 
 
+def digested(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, payload, digest_hex, n) of (page_id, url, payload). A
+    payload that another row of the batch, with a larger page_id, has too is
+    left out: its row will refer to that one, or to a later one."""
+    names = ["page_id", "url", "payload", "digest_hex", "n"]
+    for batch in batches:
+        ids, payloads = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        digests, last = [hashlib.sha1(p).hexdigest() for p in payloads], {}
+        for i, d in zip(ids, digests):
+            if i is not None and i > last.get(d, i - 1):
+                last[d] = i
+        sizes = [len(p) for p in payloads]
+        kept = [p if i is None or n < min_bytes or i == last[d] else None for i, d, n, p in zip(ids, digests, sizes, payloads)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64())], names=names)
+
+
 def resolve_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, digest_hex, refers_to): of equal payloads of
+    """(page_id, url, payload, digest_hex, n, refers_to): of equal payloads of
     `min_bytes` bytes or more, rows with a smaller page_id refer to the
-    largest; refers_to is null for the rest. Equality is that of SHA-1. Rows
-    repeated with the largest page_id are all responses; a null
-    page_id is a response too.
+    largest; refers_to is null for the rest. Equality is that of SHA-1. n: the
+    payload's bytes; a row that refers to another may lack the payload itself.
+    Rows repeated with the largest page_id are all responses; a null page_id
+    is a response too.
+
+    Digests that occur once need no partner. Those of more than one row in
+    HOT_SHARE, fewer than HOT_SHARE digests, are broadcast; the others are
+    joined by shuffle.
     """
     p = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
-    p = p.select("*", F.sha1("payload").alias("digest_hex"), F.octet_length("payload").cast("long").alias("n"))
-    shared = p.where(F.col("n") >= min_bytes).groupBy("digest_hex").agg(F.max("page_id").alias("last"), F.count("*").alias("copies"))
-    shared = shared.where("copies > 1").select("digest_hex", "last")  # a digest that occurs once needs no partner
-    refers = F.when((F.col("n") >= min_bytes) & (F.col("page_id") < F.col("last")), F.col("last"))
-    return p.join(shared, "digest_hex", "left").select("page_id", "url", "payload", "digest_hex", refers.alias("refers_to"))
+    digests = p.where(F.octet_length("payload") >= min_bytes).groupBy(F.sha1("payload").alias("digest_hex"))
+    shared = written(digests.agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1"), "repeated-digests")
+    rows = p.mapInArrow(lambda batches: digested(batches, min_bytes), "page_id long, url string, payload binary, digest_hex string, n long")
+    hot = F.col("copies") > pages.count() // HOT_SHARE
+    often = shared.where(hot).select(F.col("digest_hex").alias("hot_hex"), F.col("last").alias("hot_last"))
+    rows = rows.join(F.broadcast(often), F.col("digest_hex") == F.col("hot_hex"), "left")
+    # rows that are resolved already are dealt evenly
+    key = F.when(F.col("hot_hex").isNull(), F.col("digest_hex")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    seldom = shared.where(~hot).select(F.col("digest_hex").alias("key"), "last")
+    rows = rows.withColumn("key", key).join(seldom, "key", "left")
+    last = F.coalesce("hot_last", "last")
+    refers = F.when((F.col("n") >= min_bytes) & (F.col("page_id") < last), last)
+    return rows.select("page_id", "url", "payload", "digest_hex", "n", refers.alias("refers_to"))
 
 
 def write_archives(resolved: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -106,7 +137,7 @@ def write_archives(resolved: DataFrame, folder: str, *, roll_bytes: int = ROLL_B
         out, name, at, n_files = None, "", 0, 0
         for batch in batches:
             entries = []
-            for page_id, url, payload, hexed, refers in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, payload, hexed, n, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None or at >= roll_bytes:
                     if out is not None:
                         out.close()
@@ -116,17 +147,17 @@ def write_archives(resolved: DataFrame, folder: str, *, roll_bytes: int = ROLL_B
                 kind = "response" if refers is None else "revisit"
                 digest = base64.b32encode(bytes.fromhex(hexed)).decode()
                 body = payload if refers is None else b""
-                record = header(page_id, url, kind, digest, len(payload), refers, len(body)) + body + b"\r\n\r\n"
+                record = header(page_id, url, kind, digest, n, refers, len(body)) + body + b"\r\n\r\n"
                 member = gzip.compress(record, 1, mtime=0)
                 out.write(member)
-                entries.append((page_id, url, name, at, len(member), len(payload), digest, kind, refers))
+                entries.append((page_id, url, name, at, len(member), n, digest, kind, refers))
                 at += len(member)
             if entries:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*entries), INDEX_ARROW)], schema=INDEX_ARROW)
         if out is not None:
             out.close()
 
-    return written(resolved.select("page_id", "url", "payload", "digest_hex", "refers_to").mapInArrow(rows, INDEX), "warc-index")
+    return written(resolved.select("page_id", "url", "payload", "digest_hex", "n", "refers_to").mapInArrow(rows, INDEX), "warc-index")
 
 
 def ranges(entries: list[tuple[int, int]], gap: int = GAP_BYTES, most: int = READ_BYTES) -> Iterator[tuple[int, int, list[int]]]:
@@ -191,9 +222,11 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 def write_index(pages: DataFrame, folder: str, **columns) -> DataFrame:
     """Writes `pages` into `folder` and returns the index.
 
-    A null payload is an empty one. An empty table writes no file and gives an
-    empty index. Null page ids and urls, and rows repeated, are records like
-    others. Other columns are not read.
+    A null payload is an empty one; payloads are written whole, however long.
+    An empty table writes no file and gives an empty index. Null page ids and
+    urls, and rows repeated, are records like others; of equal payloads the
+    rows of the largest page_id, all of them on a tie, are responses. Other
+    columns are not read.
     """
     return write_archives(resolve_revisits(pages, **columns), folder)
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ends each label of a reversed host; LAST sorts right after it, so that [k + "", k with LAST) holds a host and its subdomains.
-LABEL_END, LAST = "\x01", "\x02"
+from .common import written
+
+#: Ends each label of a reversed host; ESCAPE stands before these two where a label itself has them.
+LABEL_END, ESCAPE = "\x01", "\x02"
 
 
 def host_of(url):
@@ -22,35 +24,70 @@ def path_of(url):
 
 
 def reversed_key(host):
-    """`a.example.org` as org|example|a|, with a mark after each label: a
-    host's subdomains are the keys that start with its own."""
-    labels = F.reverse(F.split(host, r"\."))
-    return F.concat(F.array_join(labels, LABEL_END), F.lit(LABEL_END))
+    """`a.example.org` as org|example|a|, in UTF-8, with a mark after each
+    label: a host's subdomains are the keys that start with its own."""
+    plain = F.replace(F.replace(host, F.lit(ESCAPE), F.lit(ESCAPE * 2)), F.lit(LABEL_END), F.lit(ESCAPE + LABEL_END))
+    return F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), LABEL_END), F.lit(LABEL_END)).cast("binary")
+
+
+def after(key):
+    """Sorts after all keys that start with `key` and before all others that
+    sort after it: no UTF-8 text has the byte."""
+    return F.concat(key, F.lit(b"\xff"))
+
+
+def swept(rows: DataFrame, order: list[str], state: str) -> DataFrame:
+    """`rows` with `state`, where it is null, taken from the last row before,
+    in the `order`, that has one.
+
+    Rows are dealt by ranges of the order, so that no task gets more than its
+    share however often a key occurs (the order's last column must tell rows
+    apart), and each range starts from the state that the ranges before it
+    ended with: a row for each range is all that passes between them.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "sweep")
+    ends = dealt.groupBy("range").agg(F.max_by(state, F.when(F.col(state).isNotNull(), F.struct(*order))).alias("ended"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    begun = ends.select("range", F.last("ended", ignorenulls=True).over(before).alias("begun"))
+    along = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = F.coalesce(F.last(state, ignorenulls=True).over(along), "begun")
+    return dealt.join(F.broadcast(begun), "range").withColumn(state, found).drop("range", "begun")  # as many rows as partitions
 
 
-def rule_events(rules: DataFrame) -> DataFrame:
-    """(key, stack): from `key` on, `stack` holds the rules that are active.
+def host_events(rules: DataFrame) -> DataFrame:
+    """(key, stack): from `key` on, `stack` holds the active rule hosts.
 
     A rule host opens an interval at its key and closes it after the last key
-    that starts so; intervals nest or are disjoint. The stack of a host is the
-    rules of it and of the hosts that enclose it, found by an equi-join of
-    each host's suffixes. At a close, the enclosing host's stack returns.
+    that starts so; intervals nest or are disjoint. A stack is a host and the
+    rule hosts that enclose it, at most as many as it has labels, found by an
+    equi-join of its suffixes. At a close, the enclosing host's stack returns.
     """
-    r = rules.select(F.col("host").alias("r_host"), F.struct(F.col("host").alias("host"), "path", "verdict").alias("rule"))
     own = rules.select("host").distinct()
     n = F.size(F.split("host", r"\."))
-    suffix = F.expr("substring_index(host, '.', n)")
-    ancestors = own.withColumn("n", F.explode(F.sequence(F.lit(-1), -n, F.lit(-1)))).select("host", "n", suffix.alias("r_host"))
-    found = ancestors.join(r, "r_host")
-    stack = found.groupBy("host").agg(F.collect_list("rule").alias("stack"))
-    outer = found.where(F.col("r_host") != F.col("host")).groupBy("host").agg(F.collect_list("rule").alias("stack"))
-    opens = stack.select(reversed_key(F.col("host")).alias("key"), F.lit(0).alias("kind"), F.lit(0).alias("depth"), "stack")
+    suffixes = own.withColumn("n", F.explode(F.sequence(F.lit(1), n))).select("host", F.expr("substring_index(host, '.', -n)").alias("outer"))
+    stacks = suffixes.join(own.withColumnRenamed("host", "outer"), "outer").groupBy("host").agg(F.collect_list("outer").alias("stack"))
     key = reversed_key(F.col("host"))
-    # closes that share a key: the outermost comes last
-    closes = own.join(outer, "host", "left").select(
-        F.concat(key.substr(F.lit(1), F.length(key) - 1), F.lit(LAST)).alias("key"), F.lit(0).alias("kind"),
-        (-F.size(F.split("host", r"\."))).alias("depth"), F.coalesce("stack", F.array().cast(stack.schema["stack"].dataType)).alias("stack"),
-    )
+    opens = stacks.select(key.alias("key"), "stack")
+    closes = stacks.select(after(key).alias("key"), F.filter("stack", lambda h: h != F.col("host")).alias("stack"))
+    return opens.union(closes)
+
+
+def path_events(rules: DataFrame) -> DataFrame:
+    """(within, key, top): from `key` on, `top` is the innermost active rule
+    of the host `within`, with nulls in it where none is. A rule's path opens
+    an interval likewise; at its close the longest rule path that is a part of
+    it returns."""
+    rule = rules.select("host", "path", F.struct("host", "path", "verdict").alias("rule"))
+    parts = rules.select("host", "path", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n"))
+    parts = parts.where(F.col("n") < F.length("path")).select("host", "path", F.col("path").substr(F.lit(1), F.col("n")).alias("part"))
+    outer = rule.select("host", F.col("path").alias("part"), F.col("rule").alias("outer"))
+    outer = parts.join(outer, ["host", "part"]).groupBy("host", "path").agg(F.max_by("outer", F.length("part")).alias("outer"))
+    none = F.lit(None).cast("string")
+    none = F.struct(none.alias("host"), none.alias("path"), none.alias("verdict"))
+    key = F.col("path").cast("binary")
+    opens = rule.select(F.col("host").alias("within"), key.alias("key"), F.col("rule").alias("top"))
+    closes = rule.join(outer, ["host", "path"], "left").select(F.col("host").alias("within"), after(key).alias("key"), F.coalesce("outer", none).alias("top"))
     return opens.union(closes)
 
 
@@ -62,46 +99,38 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     one of the longest host and path together wins, on a tie the one of the
     longer host, then `block`. No rule: null and `default`.
 
-    Urls and the ends of the rules' host intervals are sorted together by the
-    reversed host; the last end before a url has its stack of active rules.
-    Each of `spark.sql.shuffle.partitions` shares of the urls, dealt by hash,
-    is swept on its own, so that no host, however common, falls to one task;
-    each share gets all rules.
-
-    A null url, or one without `://`, has an empty host and path. Repeated
-    rows and null ids stay as they are. An empty table gives no rows, an empty
-    rule table the default for all. Rules with a null in a column or an empty
-    host fit nothing. Other columns are not read.
+    Two sorted sweeps. Urls and the ends of the rule hosts' intervals are
+    sorted by the reversed host: each url gets the stack of rule hosts that
+    enclose it. For each of these, its path and the ends of that host's path
+    intervals are sorted: it gets the innermost rule, the longest that fits
+    there. (A rule's path holds for all subdomains, whose keys lie apart, so
+    that host and path together are no single interval.) Rules are dealt like
+    urls, none is copied to all tasks.
+
+    A null url, or one without `://`, has an empty host and path. Urls are
+    read whole, however long. Repeated rows and null ids stay as they are. An
+    empty table gives no rows, an empty rule table the default for all. Rules
+    with a null in a column or an empty host fit nothing; of equal ones with
+    both verdicts `block` holds. Other columns are not read.
     """
-    shares = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rules = rules.select("host", "path", "verdict").dropna().where("host <> ''").distinct()
+    rules = rules.select("host", "path", "verdict").dropna().where("host <> ''")
+    rules = rules.groupBy("host", "path").agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "verdict")).alias("v")).select("host", "path", "v.verdict")
     url = F.col(url_col).cast("string")
-    urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    events = rule_events(rules)
-    kind = events.schema["stack"].dataType
-    urls = urls.select(
-        F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(shares)).alias("share"), reversed_key(F.col("host")).alias("key"), F.lit(1).alias("kind"),
-        F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("stack"), "page_id", "host", "path",
-    )
-    ends = events.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"), "key", "kind", "depth", "stack",
-        F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"),
+    urls = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    hosts = host_events(rules)
+    asked = urls.select(reversed_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("array<string>").alias("stack"), "rid", "page_id", "host", "path")
+    ends = hosts.select("key", F.lit(0).alias("kind"), "stack", *(F.lit(None).cast(kind).alias(c) for c, kind in urls.dtypes))
+    urls = swept(ends.union(asked), ["key", "kind", "rid"], "stack").where("kind = 1").select("rid", "page_id", "host", "path", "stack")
+
+    paths = path_events(rules)
+    asked = urls.select(F.explode_outer("stack").alias("within"), F.col("path").cast("binary").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(paths.schema["top"].dataType).alias("top"), "rid", "page_id", "host", "path")
+    ends = paths.select("within", "key", F.lit(0).alias("kind"), "top", *(F.lit(None).cast(kind).alias(c) for c, kind in urls.drop("stack").dtypes))
+    probed = swept(ends.union(asked), ["within", "key", "kind", "rid"], "top").where("kind = 1")
+    rank = F.struct(
+        (F.length("top.host") + F.length("top.path")).alias("n"), F.length("top.host").alias("h"), (F.col("top.verdict") == "block").alias("b"),
+        F.col("top.host").alias("host"), F.col("top.path").alias("path"), F.col("top.verdict").alias("verdict"),
     )
-    swept = Window.partitionBy("share").orderBy("key", "kind", "depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    active = F.last("stack", ignorenulls=True).over(swept)
-    judged = urls.union(ends).withColumn("active", active).where("kind = 1")
-
-    def fits(r):
-        inside = (F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))
-        return inside & F.startswith(F.col("path"), r["path"])
-
-    def rank(r):
-        return F.struct(
-            (F.length(r["host"]) + F.length(r["path"])).alias("n"), F.length(r["host"]).alias("h"), (r["verdict"] == "block").alias("b"),
-            r["host"].alias("host"), r["path"].alias("path"), r["verdict"].alias("verdict"),
-        )
-
-    best = F.array_max(F.transform(F.filter("active", fits), rank))
-    judged = judged.select("page_id", "host", "path", best.alias("best"))
+    fits = F.col("within").isNotNull() & F.col("top.host").isNotNull()
+    best = probed.groupBy("rid", "page_id", "host", "path").agg(F.max(F.when(fits, rank)).alias("best"))
     rule = F.concat(F.col("best.host"), F.col("best.path"))
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return best.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +12,15 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, written
 
-#: Vectors that partition the space, taken by the hash of their components.
-PIVOTS = 32
+#: A pivot for so many vectors, MOST_PIVOTS at most (they are broadcast, 8 bytes a component): cells that hold more vectors
+#: are cut into chunks.
+CELL_ROWS, MOST_PIVOTS = 8192, 2048
 #: A cell's own vectors, and all that it is compared with, are cut into chunks of so many.
-OWN_ROWS, OTHER_ROWS = 4096, 16384
-#: Vectors that are multiplied at once with a chunk.
-BLOCK = 2048
-#: The slack of bounds in floating point; and how near to the threshold a product is done again.
-SLACK, NEAR = 1e-6, 1e-9
+OWN_ROWS, OTHER_ROWS = 8192, 32768
+#: Vectors that are multiplied at once with a chunk; products of vectors and pivots that are in memory at once.
+BLOCK, PRODUCTS = 2048, 1 << 20
+#: The slack of bounds in floating point.
+SLACK = 1e-6
 
 
 def units(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -28,23 +30,27 @@ def units(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x / np.linalg.norm(x, axis=1, keepdims=True), x
 
 
-def cells(dim: int, vectors: list, pivots: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(home, reach): each vector's nearest pivot; whether it must also meet
-    the cell of each later pivot.
+def cells(dim: int, vectors: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[np.ndarray, list[list[int]]]:
+    """(home, visits): each vector's nearest pivot, and the later pivots whose
+    cells it must also meet.
 
     A vector within the chord r of a point nearer to q than to its home h is
     within r of the plane between the two, whose distance is (<x,h> - <x,q>) /
     |h - q|: beyond r, no vector of q's cell can be linked with it.
     """
-    x = units(vectors, dim)[0]
-    near = x @ pivots.T
-    home = near.argmax(1)
     apart = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        plane = (near[np.arange(len(x)), home][:, None] - near) / apart[home]
     r = np.sqrt(max(0.0, 2 - 2 * threshold))
-    reach = ~(plane > r + SLACK) & (np.arange(len(pivots))[None, :] > home[:, None])
-    return home, reach
+    homes, visits, step = [], [], max(1, PRODUCTS // len(pivots))
+    for at in range(0, len(vectors), step):
+        x = units(vectors[at : at + step], dim)[0]
+        near = x @ pivots.T
+        home = near.argmax(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (near[np.arange(len(x)), home][:, None] - near) / apart[home]
+        reach = ~(plane > r + SLACK) & (np.arange(len(pivots))[None, :] > home[:, None])
+        homes.append(home)
+        visits += [np.flatnonzero(row).tolist() for row in reach]
+    return np.concatenate(homes), visits
 
 
 class Cell:
@@ -59,9 +65,10 @@ class Cell:
     def compare(self, own_ids, own, others_ids, others, visiting) -> None:
         for at in range(0, len(others), BLOCK):
             ids, visit = others_ids[at : at + BLOCK], visiting[at : at + BLOCK]
-            s = own[0] @ others[0][at : at + BLOCK].T
+            s = own[0] @ others[0][at : at + BLOCK].T  # in single precision; what is near the threshold is done again in double
+            near = (own[0].shape[1] + 8) * 1.2e-7
             hit = s >= self.threshold
-            for i, j in zip(*np.nonzero(np.abs(s - self.threshold) < NEAR)):
+            for i, j in zip(*np.nonzero(np.abs(s - np.float32(self.threshold)) < near)):
                 a, b = own[1][i], others[1][at + j]
                 hit[i, j] = a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= self.threshold
             rows, cols = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
@@ -106,6 +113,7 @@ def compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
             return
         unit, raw = units(vectors, group[0])
         cell = Cell(threshold)
+        unit = unit.astype(np.float32)
         cell.compare(ids[own], (unit[own], raw[own]), ids[other], (unit[other], raw[other]), kinds[other] == 2)
         keys = np.fromiter(cell.counts.keys(), np.int64, len(cell.counts))
         n = np.fromiter(cell.counts.values(), np.int64, len(cell.counts))
@@ -131,34 +139,40 @@ def compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
 
 
 def near_duplicates(
-    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, pivots: int = PIVOTS
+    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept): all rows are compared by cosine
     in double precision and linked at `threshold` (over 0) or more.
 
-    Pivots partition the vectors of their dimension; a vector visits the later
-    cells whose vectors it may be linked with by the triangle inequality, so
-    each pair meets once, or can't be linked. Cells join on their own, in
-    chunks; a cell that holds many rows, or a dimension without a pivot, is
-    cut into more of them. Chunks give counts and spanning links.
+    Pivots, different vectors, one for `cell_rows` rows, partition the vectors
+    of their dimension; a vector visits the later cells whose vectors it may
+    be linked with by the triangle inequality, so each pair meets once, or
+    can't be linked. Cells join on their own, in chunks; a cell that holds
+    many rows, or a dimension without a pivot, is cut into more of them.
+    Chunks give counts and spanning links.
 
     Vectors that are null, empty, zero or hold null or non-finite components,
     and vectors of different lengths, aren't linked. Rows with one id are
     vectors of their own, each counts as a link of the other if they are
-    linked, and they get one component_id if their vectors are. kept: vec_id =
-    component_id; null for a null id. An empty table gives no rows. Other
-    columns are not read.
+    linked, and they get one component_id if their vectors are. A cosine that
+    equals the threshold links. kept: vec_id = component_id; null for a null
+    id. An empty table gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"))
+    kind = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"  # as they are stored: half the bytes to shuffle
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("e"))
     finite = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
     good = F.col("e").isNotNull() & finite & F.exists("e", lambda c: c != 0)
     v = written(v.select(F.monotonically_increasing_id().alias("rid"), "vec_id", F.when(good, F.col("e")).alias("e")), "vectors")
     usable = v.where("e is not null").select("rid", "e", F.size("e").alias("dim"))
 
+    n_rows = v.count()
+    pivots = min(MOST_PIVOTS, max(1, math.ceil(n_rows / cell_rows)))
     chosen = usable.groupBy("dim").agg(F.min(F.struct(F.xxhash64("e").alias("h"), "e")).alias("p"))  # every dimension has one at least
-    picked = [r.e for r in usable.select("e", F.xxhash64("e").alias("h")).orderBy("h", "e").limit(pivots).collect()]
-    picked += [r.e for r in chosen.orderBy("dim").limit(pivots).select("p.e").collect()]
+    # about eight times as many as are wanted, by hash, so that a vector that is often repeated is one candidate
+    some = usable.select("e", F.xxhash64("e").alias("h")).where(F.pmod("h", F.lit(max(1, n_rows // (8 * pivots)))) == 0).distinct()
+    picked = [r.e for r in some.orderBy(F.xxhash64("h"), "e").limit(pivots).collect()]
+    picked += [r.e for r in chosen.orderBy("dim").limit(MOST_PIVOTS).select("p.e").collect()]
     by_dim: dict[int, np.ndarray] = {}
     for dim in sorted({len(p) for p in picked}):
         by_dim[dim] = np.unique(units([p for p in picked if len(p) == dim], dim)[0], axis=0)
@@ -173,12 +187,12 @@ def near_duplicates(
                 if dim in shared.value:
                     at = np.flatnonzero(dims == dim)
                     flat = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
-                    homes[at], reach = cells(dim, flat, shared.value[dim], threshold)
-                    for k, row in zip(at.tolist(), reach):
-                        visits[k] = np.flatnonzero(row).tolist()
+                    homes[at], found = cells(dim, flat, shared.value[dim], threshold)
+                    for k, row in zip(at.tolist(), found):
+                        visits[k] = row
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(homes), pa.array(visits, pa.list_(pa.int32()))], names=names)
 
-    placed = written(usable.mapInArrow(dealt, "rid long, e array<double>, dim int, home int, visits array<int>"), "cells")
+    placed = written(usable.mapInArrow(dealt, f"rid long, e array<{kind}>, dim int, home int, visits array<int>"), "cells")
     # as many rows as dimensions times pivots
     sizes = placed.select("dim", F.explode(F.concat(F.array("home"), "visits")).alias("cell"), "home").groupBy("dim", "cell").agg(
         F.sum((F.col("home") == F.col("cell")).cast("long")).alias("own"), F.count("*").alias("all")
@@ -207,4 +221,4 @@ def near_duplicates(
 def small(by_dim: dict[int, np.ndarray]) -> bool:
     """Whether the table of cell sizes, a row for each pivot at most and one
     for each dimension without, is small: no dimension lacks a pivot."""
-    return len(by_dim) < PIVOTS
+    return len(by_dim) < MOST_PIVOTS

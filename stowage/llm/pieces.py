@@ -2,14 +2,15 @@
 
 The model is a byte-pair one: its segmentation isn't the one of the largest
 sum of piece scores. It is a path, though: a sequence of pieces is the model's
-if each two neighbours, encoded together, stay as they are. With that as the
-weight of a step (0, or minus infinity) the max-plus scan finds it.
+if each two neighbours, encoded together, stay as they are, and each text has
+one such path. With that as the weight of a step (minus infinity if they
+don't) the max-plus scan finds it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import cache
+from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,11 @@ from pyspark.sql import types as T
 from .common import written
 
 #: Texts of more characters are cut into chunks of so many.
-CHUNK = 1 << 16
+CHUNK = 1 << 15
+#: Neighbouring matrices that a task multiplies at once.
+FAN_IN = 8
+#: Words that a worker remembers with their pieces.
+KEPT_WORDS = 200_000
 #: Rows whose ids are Python lists at once.
 ROWS = 128
 #: Pairs of pieces that a worker remembers as fitting or not.
@@ -55,6 +60,7 @@ class Scanner:
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
         self.longest = max(map(len, self.scores))
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.words: dict[str, list[int]] = {}
 
     def plain_ids(self, text: str) -> list[int]:
         """The ids of a stretch of text, as if nothing stood before it."""
@@ -107,6 +113,17 @@ class Scanner:
                             found[at, j][o] = (score + step, node)
         return found
 
+    def word(self, text: str) -> list[int]:
+        """The ids of a stretch between two places where no piece goes on."""
+        ids = self.words.get(text)
+        if ids is None:
+            found = self.reach(text, [(0, 0)], len(text))
+            last = max((t for t in found if t[1] == len(text)), key=lambda t: found[t][0, 0][0])
+            ids = [i for a, b in self.path(found, (0, 0), last) for i in self.ids(text[a:b])]
+            if len(self.words) < KEPT_WORDS and len(text) < 100:
+                self.words[text] = ids
+        return ids
+
     def path(self, found: dict, origin: Span, last: Span) -> list[Span]:
         """The pieces after `origin`, up to `last`."""
         out = []
@@ -120,15 +137,15 @@ class Chunk:
     """A chunk [at, end) of a text, with `longest` characters around it.
 
     Where a space follows another character, no piece goes on and any two fit:
-    between the chunk's first and last such place the library encodes, and the
-    chunk's matrix is the outer sum of what comes before and behind.
+    there is one state. Between the chunk's first and last such place each
+    word is scanned on its own, whatever the states at the chunk's ends, and
+    the chunk's matrix is the outer sum of what comes before and behind.
     """
 
     def __init__(self, scan: Scanner, text: str, at: int, end: int, first: bool, last: bool):
         self.scan, self.text, self.at, self.end, self.first, self.last = scan, text, at, end, first, last
-        places = (i for i in range(at + 1, end) if text[i] == SPACE and text[i - 1] != SPACE)
-        self.a = next(places, None)
-        self.b = next((i for i in range(end - 1, at, -1) if text[i] == SPACE and text[i - 1] != SPACE), None)
+        self.places = [i for i in range(at + 1, end) if text[i] == SPACE and text[i - 1] != SPACE]
+        self.a, self.b = (self.places[0], self.places[-1]) if self.places else (None, None)
 
     def name(self, span: Span, boundary: int) -> int:
         return (boundary - span[0]) * 256 + span[1] - boundary
@@ -167,15 +184,31 @@ class Chunk:
         ends = [t for t in head if t[1] == self.a]
         best = max(ends, key=lambda t: head[t][origin][0])
         tail, start = self.scan.reach(self.text, [(self.b, self.b)], self.end), (self.b, self.b)
-        middle = self.scan.plain_ids(self.text[self.a : self.b]) if self.a < self.b else []
+        middle = [i for x, y in zip(self.places, self.places[1:]) for i in self.scan.word(self.text[x:y])]
         return spelled(self.scan.path(head, origin, best)) + middle + spelled(self.scan.path(tail, start, last))
 
 
-def boundary_states(matrices: list[list[tuple[int, int, float]]]) -> list[int] | None:
-    """The states at the chunks' boundaries on the best path through the
-    matrices, from START; None if there is no path. The product of matrices is
-    associative; as the first has one row, it is folded from there."""
-    best, back = {START: 0.0}, []
+Matrix = list[tuple[int, int, float]]
+
+
+def product(left: Matrix, right: Matrix) -> Matrix:
+    """The max-plus product, which is associative: (entry of the left, exit of
+    the right, weight of the best way between)."""
+    rows: dict[int, list[tuple[int, float]]] = {}
+    for s, t, w in right:
+        rows.setdefault(s, []).append((t, w))
+    best: dict[tuple[int, int], float] = {}
+    for s, m, w in left:
+        for t, v in rows.get(m, ()):
+            if w + v > best.get((s, t), -float("inf")):
+                best[s, t] = w + v
+    return [(s, t, w) for (s, t), w in best.items()]
+
+
+def between(matrices: list[Matrix], entry: int, exit_: int) -> list[int]:
+    """The states at the boundaries of neighbouring matrices on the best way
+    from `entry` to `exit_`, these two included."""
+    best, back = {entry: 0.0}, []
     for m in matrices:
         step: dict[int, tuple[float, int]] = {}
         for s, t, w in m:
@@ -183,15 +216,13 @@ def boundary_states(matrices: list[list[tuple[int, int, float]]]) -> list[int] |
                 step[t] = (best[s] + w, s)
         best = {t: w for t, (w, _) in step.items()}
         back.append({t: s for t, (_, s) in step.items()})
-    if not best:
-        return None
-    out = [max(best, key=lambda t: (best[t], -t))]
+    out = [exit_]
     for pointers in reversed(back):
         out.append(pointers[out[-1]])
     return out[::-1]
 
 
-PARTS = "rid long, doc_id long, k int, first boolean, last boolean, at int, end int, part string"
+PARTS = "rid long, doc_id long, k long, first boolean, last boolean, at int, end int, part string"
 
 
 def chunk_rows(giants: DataFrame, model: str, size: int) -> DataFrame:
@@ -200,7 +231,7 @@ def chunk_rows(giants: DataFrame, model: str, size: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = scanner(model).longest
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
             for rid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 form = SPACE + text.replace(" ", SPACE)
@@ -217,7 +248,80 @@ def chunk_rows(giants: DataFrame, model: str, size: int) -> DataFrame:
     return written(cut.repartition(int(giants.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid", "k"), "chunks")
 
 
-def encode_long(giants: DataFrame, model: str, size: int, states_of: Callable = boundary_states) -> DataFrame:
+MATRICES = "rid long, k long, s array<int>, t array<int>, w array<double>"
+CELLS = ((0, pa.int32()), (1, pa.int32()), (2, pa.float64()))
+
+
+def matrix_rows(rids: list[int], ks: list[int], matrices: list[Matrix]) -> pa.RecordBatch:
+    cells = [pa.array([[c[n] for c in m] for m in matrices], pa.list_(t)) for n, t in CELLS]
+    return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ks, pa.int64()), *cells], names=["rid", "k", "s", "t", "w"])
+
+
+def matrix_of(row: dict) -> Matrix:
+    return list(zip(row["s"], row["t"], row["w"]))
+
+
+def in_groups(matrices: DataFrame, fan_in: int) -> DataFrame:
+    """(rid, p, group): neighbouring matrices, `fan_in` at most, in order."""
+    return matrices.groupBy("rid", F.expr(f"k div {fan_in}").alias("p")).agg(F.array_sort(F.collect_list(F.struct("k", "s", "t", "w"))).alias("group"))
+
+
+def combined(matrices: DataFrame, fan_in: int) -> DataFrame:
+    """The level above: the product of each group of neighbours."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids, ps, groups = (c.to_pylist() for c in batch.columns)
+            yield matrix_rows(rids, ps, [reduce(product, map(matrix_of, g)) for g in groups])
+
+    return written(in_groups(matrices, fan_in).mapInArrow(rows, MATRICES), "matrices")
+
+
+def boundary_states(matrices: DataFrame, n_chunks: int, fan_in: int = FAN_IN) -> DataFrame:
+    """(rid, k, s, t): the states before and after each chunk on its text's
+    best path, from the chunks' `matrices`, `n_chunks` of a text at most.
+
+    Matrices are combined group by group, level by level, to one a text; its
+    best exit is chosen, and each level hands the states at a group's ends
+    down to the level below. No task holds more than a group.
+    """
+    levels = [matrices]
+    while n_chunks > 1:
+        levels.append(combined(levels[-1], fan_in))
+        n_chunks = -(-n_chunks // fan_in)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                ways = [c for c in matrix_of(r) if c[0] == START]
+                if not ways:
+                    raise ValueError("the model has no path of fitting pieces through a text")
+                out.append((r["rid"], r["k"], START, max(ways, key=lambda c: (c[2], -c[1]))[1]))
+            yield state_rows(out)
+
+    def handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rid, group, s, t in zip(*(c.to_pylist() for c in batch.columns)):
+                states = between(list(map(matrix_of, group)), s, t)
+                out += [(rid, m["k"], a, b) for m, a, b in zip(group, states, states[1:])]
+            yield state_rows(out)
+
+    schema = "rid long, k long, s int, t int"
+    states = levels[-1].mapInArrow(chosen, schema)
+    for below in reversed(levels[:-1]):
+        above = written(states, "states").withColumnRenamed("k", "p")
+        states = in_groups(below, fan_in).join(above, ["rid", "p"]).select("rid", "group", "s", "t").mapInArrow(handed, schema)
+    return written(states, "states")
+
+
+def state_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(types)], names=["rid", "k", "s", "t"])
+
+
+def encode_long(giants: DataFrame, model: str, size: int, fan_in: int = FAN_IN) -> DataFrame:
     """(doc_id, ids) of long texts (rid, doc_id, text): a matrix for each
     chunk, the states at their boundaries, each chunk's ids from these."""
     parts = chunk_rows(giants, model, size)
@@ -227,34 +331,24 @@ def encode_long(giants: DataFrame, model: str, size: int, states_of: Callable =
         scan = scanner(model)
         for batch in batches:
             rid, k, first, last, at, end, part = (c.to_pylist() for c in batch.columns)
-            found = [Chunk(scan, *x).matrix() for x in zip(part, at, end, first, last)]
-            cells = [pa.array([[c[n] for c in m] for m in found], pa.list_(t)) for n, t in enumerate((pa.int32(), pa.int32(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], names=["rid", "k", "s", "t", "w"])
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rid, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                states = states_of([list(zip(c["s"], c["t"], c["w"])) for c in chunks])
-                n = len(chunks)
-                s, t = (states[:-1], states[1:]) if states else ([None] * n, [None] * n)
-                yield pa.RecordBatch.from_arrays([pa.array([rid] * n), pa.array(range(n), pa.int32()), pa.array(s, pa.int32()), pa.array(t, pa.int32())], names=["rid", "k", "s", "t"])
+            yield matrix_rows(rid, k, [Chunk(scan, *x).matrix() for x in zip(part, at, end, first, last)])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(model)
         for batch in batches:
-            rid, doc_id, k, first, last, at, end, part, s, t = (c.to_pylist() for c in batch.columns)
-            found = [Chunk(scan, *x[:5]).ids(*x[5:]) for x in zip(part, at, end, first, last, s, t)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], names=["rid", "doc_id", "k", "ids"])
-
-    weights = parts.select("rid", "k", *fields).mapInArrow(weigh, "rid long, k int, s array<int>, t array<int>, w array<double>")
-    chains = weights.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("k", "s", "t", "w"))).alias("chunks"))
-    states = written(chains.mapInArrow(fold, "rid long, k int, s int, t int"), "states")
-    joined = parts.join(states.where("t is not null"), ["rid", "k"]).select("rid", "doc_id", "k", *fields, "s", "t")
-    spelled = joined.mapInArrow(spell, "rid long, doc_id long, k int, ids array<int>")
+            for at in range(0, len(batch), ROWS):
+                some = batch.slice(at, ROWS)
+                cols = [c.to_pylist() for c in some.columns[3:]]
+                found = [Chunk(scan, part, a, end, first, last).ids(s, t) for first, last, a, end, part, s, t in zip(*cols)]
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(found, pa.list_(pa.int32()))], names=["rid", "doc_id", "k", "ids"])
+
+    matrices = written(parts.select("rid", "k", *fields).mapInArrow(weigh, MATRICES), "matrices")
+    most = parts.agg(F.max("k")).first()[0]
+    states = boundary_states(matrices, (most or 0) + 1, fan_in)
+    joined = parts.join(states, ["rid", "k"]).select("rid", "doc_id", "k", *fields, "s", "t")
+    spelled = joined.mapInArrow(spell, "rid long, doc_id long, k long, ids array<int>")
     whole = spelled.groupBy("rid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("c"))
-    done = whole.select("doc_id", F.flatten(F.transform("c", lambda x: x["ids"])).alias("ids"))
-    pathless = giants.join(states.where("t is null"), "rid", "left_semi")
-    return done.union(encode_short(pathless.select("doc_id", "text"), model))
+    return whole.select("doc_id", F.flatten(F.transform("c", lambda x: x["ids"])).alias("ids"))
 
 
 def encode_short(docs: DataFrame, model: str) -> DataFrame:
@@ -276,12 +370,13 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
 
     Texts of up to `chunk` characters are encoded at once. Longer ones are cut
     into chunks that are dealt to all tasks: each gives the matrix of its
-    boundary states, the matrices of a text are combined, and each chunk is
-    spelled from the states at its ends. Should a text have no path of fitting
-    pieces, it is encoded at once.
+    boundary states, the matrices of a text are combined level by level, and
+    each chunk is spelled from the states at its ends. Ways of equal weight
+    don't occur, as a text has one path of fitting pieces.
 
-    A null or empty text has no ids. Rows with equal or null ids are documents
-    of their own. An empty table gives no rows. Other columns are not read.
+    A null or empty text has no ids. Rows with equal or null ids, or repeated,
+    are documents of their own. An empty table gives no rows. Other columns
+    are not read.
     """
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     long = F.coalesce(F.length("text") > chunk, F.lit(False))

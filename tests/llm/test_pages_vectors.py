@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -18,8 +19,9 @@ def pages(spark):
     return rows, spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
-@pytest.mark.parametrize("least", [0, 9])
-def test_round_trip(spark, least):
+@pytest.mark.parametrize("least,hot", [(0, 20_000), (9, 20_000), (0, 10), (0, 2)])
+def test_round_trip(spark, monkeypatch, least, hot):
+    monkeypatch.setattr(warc, "HOT_SHARE", hot)  # so few that some or all payloads are joined by shuffle
     rows, df = pages(spark)
     last = {}
     for k, _, h in rows:
@@ -45,6 +47,20 @@ def test_index_selects_and_rolls(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_copies_travel_once_a_batch(spark):
+    """Of a payload that all rows share, a batch hands one on."""
+    import pyarrow as pa
+
+    n = 500
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(n - 2), None, n - 3]), pa.array([""] * n), pa.array([b"<same>"] * n, pa.binary())], names=["page_id", "url", "payload"])
+    out = next(warc.digested(iter([batch]), 0))
+    held = [i for i, p in zip(out.column(0).to_pylist(), out.column(2).to_pylist()) if p is not None]
+    assert held == [n - 3, None, n - 3] and set(out.column(4).to_pylist()) == {6}
+    same = spark.range(3000).selectExpr("id AS page_id", "'u' AS url", "if(id % 3 = 0, NULL, 'page') AS html")
+    got = warc.round_trip(same).groupBy("record_type", "refers_to").count().collect()
+    assert sorted((r.record_type, r.refers_to or 0, r["count"]) for r in got) == [("response", 0, 2), ("revisit", 2997, 999), ("revisit", 2999, 1999)]
+
+
 def test_ranges_coalesce():
     assert list(warc.ranges([(0, 10), (10, 5), (100, 5), (200, 50)], gap=85, most=120)) == [(0, 105, [0, 1, 2]), (200, 250, [3])]
     assert list(warc.ranges([])) == []
@@ -119,7 +135,56 @@ def test_links_against_brute_force(spark, monkeypatch, own, others):
     least = {r: min((k for k in v if k is not None), default=None) for r, v in ids.items()}
     want = sorted((-1 if k is None else k, links[n], least[root(n)]) for n, (k, _) in enumerate(rows))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = embeddings.near_duplicates(df, pivots=6).collect()
+    got = embeddings.near_duplicates(df, cell_rows=40).collect()
     assert sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, r.component_id) for r in got) == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
     assert embeddings.near_duplicates(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_links_at_the_threshold(spark, kind):
+    """Cosines around 0.9 by less than single precision tells."""
+    rng, rows = np.random.default_rng(9), []
+    for k in range(60):
+        a, b = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        c = 0.9 + (k - 29.5) * 2e-9
+        rows += [(2 * k, a.tolist()), (2 * k + 1, (c * a + math.sqrt(1 - c * c) * b).tolist())]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    x = [np.array(r.embedding) for r in df.orderBy("vec_id").collect()]
+    want = {k for k in range(60) if x[2 * k] @ x[2 * k + 1] / (np.linalg.norm(x[2 * k]) * np.linalg.norm(x[2 * k + 1])) >= 0.9}
+    got = {r.vec_id // 2 for r in embeddings.near_duplicates(df).collect() if r.n_links}
+    assert got == want and 0 < len(want) < 60
+
+
+def test_repeated_vectors_are_one_pivot(spark, monkeypatch):
+    """Many rows of one vector leave the other pivots as they are: cells stay many, and clusters don't visit each other."""
+    rng = np.random.default_rng(3)
+    centres = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    x = np.concatenate([np.repeat(centres[:1], 2000, 0), *(c + rng.normal(size=(40, 24)) * 0.01 for c in centres)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen, real = [], embeddings.written
+
+    def spy(table, name):
+        out = real(table, name)
+        if name == "cells":
+            seen.append(out)
+        return out
+
+    monkeypatch.setattr(embeddings, "written", spy)
+    got = embeddings.near_duplicates(df, cell_rows=50).collect()
+    assert seen[0].select("home").distinct().count() >= 20
+    assert seen[0].selectExpr("avg(size(visits)) n").first().n < 4
+    assert len({r.component_id for r in got}) == 24 and sum(r.n_links for r in got) == 2040 * 2039 + 23 * 40 * 39
+
+
+def test_many_rules_of_one_host(spark):
+    """100,000 rules of a host, and urls of that host alone: no task gets all rules, no url an array of them."""
+    rules = spark.range(100_000).selectExpr("'big.org' AS host", "concat('/', id % 1000, '/', id) AS path", "if(id % 3 = 0, 'block', 'allow') AS verdict")
+    rules = rules.union(spark.createDataFrame([("big.org", "/7", "block"), ("org", "", "allow")], rules.schema))
+    urls = spark.range(3000).selectExpr("id AS page_id", "concat('http://', if(id % 2 = 0, 'a.', ''), 'big.org/', id % 1000, '/', id, if(id % 5 = 0, '', '/x')) AS url")
+    got = urlfilter.judge_urls(urls, rules)
+    for r in got.collect():
+        k = r.page_id
+        assert (r.rule, r.verdict) == (f"big.org/{k % 1000}/{k}", "block" if k % 3 == 0 else "allow")
+    other = spark.createDataFrame([(1, "http://big.org/7/x"), (2, "http://big.org/71"), (3, "http://big.org/8/x"), (4, "http://bigger.org/7")], "page_id long, url string")
+    assert {r.page_id: r.rule for r in urlfilter.judge_urls(other, rules).collect()} == {1: "big.org/7", 2: "big.org/7", 3: "org", 4: "org"}

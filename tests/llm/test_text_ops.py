@@ -2,6 +2,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
@@ -37,6 +38,58 @@ def test_language_cases(spark, docs, no_docs):
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"} and langid.predict(no_docs, model).count() == 0
 
 
+def brute_bayes(rows, text, smoothing=0.5):
+    """Multinomial naive Bayes over hashed 1- to 3-grams, one n-gram at a time: (language, score). rows: (text, lang)."""
+
+    def grams(t):
+        form = " " + "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in t)
+        for n in (1, 2, 3):
+            for i in range(len(form) - n + 1):
+                h = 0
+                for k, c in enumerate(form[i : i + n]):
+                    h = ord(c) if k == 0 else (h * 0x9E3779B1 + ord(c)) % 2**32
+                h = (h + n) * 0x85EBCA6B % 2**32
+                yield (h ^ h >> 15) % 8192
+
+    counts = defaultdict(Counter)
+    for t, lang in rows:
+        if t and lang is not None:
+            counts[lang].update(grams(t))
+    if not text or not any(map(str.isalpha, text)) or not counts:
+        return "und", 0.0
+    own, logs = Counter(grams(text)), {}
+    for lang, c in counts.items():
+        total = sum(c.values()) + 8192 * smoothing
+        logs[lang] = sum(n * math.log((c[g] + smoothing) / total) for g, n in own.items())
+    best = min(logs, key=lambda x: (-logs[x], x))
+    scale = min(1, langid.EVIDENCE / sum(own.values()))
+    return best, 1 / sum(math.exp((v - logs[best]) * scale) for v in logs.values())
+
+
+@pytest.mark.parametrize("block", [256, 1])
+def test_language_against_brute_force(spark, docs, texts, block):
+    rows = [(r.text, r.lang) for r in docs.collect()]
+    extra = [("¿qué?", "es"), ("über Öl", "de"), ("z", "zz"), ("z", "za")]
+    table = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(900 + k, *x) for k, x in enumerate(extra)], "doc_id long, text string, lang string"))
+    some = table.where("doc_id < 20 OR doc_id >= 60")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(some, langid.train(table, block_languages=block)).collect()}
+    every = dict(enumerate(texts)) | {900 + k: t for k, (t, _) in enumerate(extra)}
+    for k, (lang, score) in got.items():
+        want = brute_bayes([*rows, *extra], every[k]) if len(every[k] or "") < 20_000 else None
+        assert want is None or (lang == want[0] and math.isclose(score, want[1], rel_tol=1e-9)), every[k]
+    assert got[902][0] == "za"  # a tie
+
+
+def test_all_languages_are_learned(spark):
+    """Far more labels than any list of languages has, each with a word of its own, in three blocks."""
+    rows = [(k, f"w{k:04d}".translate(str.maketrans("0123456789", "abcdefghij")) * 8, f"l{k:04d}") for k in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table, floors=True)
+    assert len(model.languages) == 600 and len(model.blocks) == 3
+    assert sum(r.lang_pred == r.lang for r in langid.predict(table, model).collect()) >= 590
+    assert langid.predict(table, model, keep=0.0).columns == table.columns
+
+
 def test_stretches_count_as_one(monkeypatch):
     text = "Some wörds, ánd more of thèm. " * 50
     want = langid.counted(text)
@@ -58,15 +111,15 @@ def brute_lines(texts, min_docs, min_chars):
     return out
 
 
-@pytest.mark.parametrize("min_docs,min_chars,batches,broadcast", [(10, 1, 4, 1000), (2, 1, 5, 0), (3, 4, 1, 0), (2, 0, 8, 1000)])
-def test_lines_against_brute_force(docs, texts, min_docs, min_chars, batches, broadcast):
-    got = lines.drop_repeated_lines(docs, min_docs=min_docs, min_chars=min_chars, batches=batches, broadcast_lines=broadcast)
+@pytest.mark.parametrize("min_docs,min_chars,batches", [(10, 1, 4), (2, 1, 5), (3, 4, 1), (2, 0, 8)])
+def test_lines_against_brute_force(docs, texts, min_docs, min_chars, batches):
+    got = lines.drop_repeated_lines(docs, min_docs=min_docs, min_chars=min_chars, batches=batches)
     rows = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got.collect()}
     assert rows == dict(enumerate(brute_lines(texts, min_docs, min_chars)))
 
 
 def test_lines_cases(spark, no_docs):
-    odd = spark.createDataFrame([(None, "a\nb", "x")] * 3 + [(1, None, "y")], "n_lines long, text string, h string")
+    odd = spark.createDataFrame([(None, "a\nb", "x")] * 3 + [(1, None, "y")], "n_lines long, text string, hashes_ string")
     got = lines.drop_repeated_lines(odd, min_docs=3)
     assert sorted((r.text, r.n_lines, r.n_dropped) for r in got.collect()) == [("", 1, 0)] + [("", 2, 2)] * 3
     assert lines.drop_repeated_lines(no_docs).count() == 0
@@ -76,12 +129,30 @@ def test_runs_add_up(spark):
     runs, want = lines.LineRuns(spark, 4), Counter()
     for b in range(5):
         batch = [(h, 1) for h in range(20) if h % (b + 1) == 0] + [(100 + b, 9)]
-        want.update(dict.fromkeys([h for h, n in batch if n == 1], 0))
         for h, n in batch:
             want[h] += n
         runs.add(spark.createDataFrame(batch, "h long, n long"))
+    assert [r is not None for r in runs.levels] == [True, False, True]
     assert {r.h for r in runs.repeated().collect()} == {h for h, n in want.items() if n >= 4}
     assert lines.LineRuns(spark, 2).repeated().count() == 0
+    runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_runs_meet_without_a_shuffle(spark):
+    """Compaction and the anti-join read buckets as they lie."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        runs = lines.LineRuns(spark, 4)
+        a, b = (runs.run(spark.range(k, 9000, 2).select(F.col("id").alias("h"), F.lit(1).cast("long").alias("n"))) for k in (0, 1))
+        merged = a.withColumnRenamed("n", "m").join(b, "h", "full")
+        assert merged.count() == 9000 and "Exchange hashpartitioning" not in merged._jdf.queryExecution().executedPlan().toString()
+        batch = spark.range(9000).select(F.col("id").alias("h"), F.lit(1).alias("n")).groupBy("h").agg(F.sum("n").alias("n"))
+        left = batch.join(a.select("h"), "h", "left_anti")
+        assert left.count() == 4500 and left._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(h") <= 1
+        runs.drop()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 # quality
@@ -107,22 +178,91 @@ def test_base_counts(texts):
         assert quality.base((t or "").encode()) == brute_base(t), t
 
 
-def test_judge_against_plain_distance(spark, docs, texts):
-    refs = quality.learn(docs)
-    assert set(refs.classes) == {"en", "fr"}
-    en = [t for k, t in enumerate(texts) if k % 3 == 0 and t is not None]
-    counts = Counter(w for t in en for w in WORD.findall(t.lower()))
-    short = sorted((w for w in counts if len(w.encode()) <= quality.COMMON_BYTES), key=lambda w: (-counts[w], w.encode()))[: quality.COMMON]
-    assert {k.decode(): round(v, 12) for k, v in refs.words["en"].items()} == {w: round(counts[w] / sum(counts.values()), 12) for w in short}
-    for r in quality.judge(docs, refs).collect():
-        t = texts[r.doc_id]
+def brute_references(rows, common=64):
+    """Per language: shares of character classes, by byte, and of the most frequent words. rows: (text, lang)."""
+    out, by_lang = {}, defaultdict(list)
+    for t, lang in rows:
+        if t is not None and lang is not None:
+            by_lang[lang].append(t)
+    for lang, some in by_lang.items():
+        words = Counter(w for t in some for w in brute_words(t))
+        top = sorted(words, key=lambda w: (-words[w], w.encode()))[:common]
+        classes = Counter(brute_class(b) for t in some for b in t.encode())
+        if classes:
+            out[lang] = {k: n / sum(classes.values()) for k, n in classes.items()}, {w: words[w] / max(1, sum(words.values())) for w in top}
+    return out
+
+
+def brute_words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def brute_class(b):
+    c = chr(b)
+    if b >= 128:
+        return "other"
+    for name, some in (("lower", r"[a-z]"), ("upper", r"[A-Z]"), ("digit", r"[0-9]"), ("space", r"[\t-\r ]"), ("mark", r"[.,;:!?'\"()-]"), ("symbol", r"[#*$%&|<>]")):
+        if re.match(some, c):
+            return name
+    return "ascii"
+
+
+def brute_distance(p, q):
+    """Jensen-Shannon, term by term."""
+    d = 0.0
+    for k in {*p, *q}:
+        a, b = p.get(k, 0), q.get(k, 0)
+        d += sum(x * math.log2(x / ((a + b) / 2)) / 2 for x in (a, b) if x > 0)
+    return math.sqrt(max(0, d))
+
+
+def brute_distances(text, lang, refs):
+    text = text or ""
+    langs = [lang] if lang in refs else list(refs)
+    classes, words = Counter(brute_class(b) for b in text.encode()), brute_words(text)
+    by_class = [brute_distance({k: n / classes.total() for k, n in classes.items()}, refs[x][0]) for x in langs] if classes.total() >= 200 else []
+    by_word = []
+    for x in langs if len(words) >= 50 else []:
+        q = refs[x][1]
+        p = {w: n / len(words) for w, n in Counter(words).items() if w in q}
+        by_word.append(brute_distance({**p, None: 1 - sum(p.values())}, {**q, None: 1 - sum(q.values())}))
+    return min(by_class, default=None), min(by_word, default=None)
+
+
+def brute_kept(text, lang, refs):
+    n, failed = (f := brute_base(text))[0], f[-1]
+    a, b = brute_distances(text, lang, refs)
+    return not failed and (a or 0) <= 0.20 + n**-0.5 and (b or 0) <= 0.28 + 1.5 * n**-0.5
+
+
+@pytest.mark.parametrize("block", [1024, 1])
+def test_judge_against_plain_distance(spark, docs, texts, block):
+    more = [(700, "жизнь прекрасна и удивительна когда понимаешь " * 30, "ru"), (701, "жизнь прекрасна и удивительна " * 20 + "слово " * 20, None), (702, "a" * 5000 + " b" * 80, "en"), (703, "x" * 300, "fr")]
+    table = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(more, "doc_id long, text string, lang string"))
+    rows = {r.doc_id: (r.text, r.lang) for r in table.collect()}
+    refs, learned = brute_references(rows.values()), quality.learn(table, block_languages=block)
+    assert len(learned) == (3 if block == 1 else 1)
+    known = quality.References({k: v for b in learned for k, v in b.value.classes.items()}, {k: v for b in learned for k, v in b.value.words.items()})
+    assert set(known.classes) == set(refs) == {"en", "fr", "ru"}
+    assert {k.decode(): round(v, 12) for k, v in known.words["ru"].items()} == {w: round(v, 12) for w, v in refs["ru"][1].items()} and len(known.words["ru"]) == 6
+    assert {w for w in refs["en"][1]} == {k.decode() for k in known.words["en"]}
+    for r in quality.judge(table, learned).collect():
+        t, lang = rows[r.doc_id]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_base(t)
-        fits = (r.class_distance or 0) <= 0.20 + r.n_words**-0.5 and (r.word_distance or 0) <= 0.28 + 1.3 * r.n_words**-0.5 if r.n_words else True
-        assert r.kept == (not r.base_failed and fits)
+        for got, want in zip((r.class_distance, r.word_distance), brute_distances(t, lang, refs)):
+            assert (got is None) == (want is None) and math.isclose(got or 0, want or 0, abs_tol=1e-7)
+        assert r.kept == brute_kept(t, lang, refs)
     p, q = np.array([0.5, 0.5, 0]), np.array([0, 0.5, 0.5])
     assert math.isclose(quality.distance(p, q), math.sqrt(0.5)) and quality.distance(p, p) == 0
 
 
+def test_all_languages_have_references(spark):
+    rows = [(k, f"слово{k} другое{k} " * 40, f"l{k:04d}") for k in range(600)]
+    learned = quality.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), block_languages=250)
+    assert [len(b.value.words) for b in learned] == [250, 250, 100]
+    assert learned[2].value.words["l0599"] == {"слово599".encode(): 0.5, "другое599".encode(): 0.5}
+
+
 def test_labelled_rows(spark):
     """Clean labelled documents stay; of the junk that passes the base rule little does."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
@@ -166,16 +306,40 @@ def test_scan_equals_the_whole(texts, size):
         for p in range(0, len(form), size):
             q, low = min(p + size, len(form)), max(0, p - scan.longest)
             chunks.append(pieces.Chunk(scan, form[low : q + scan.longest], p - low, q - low, p == 0, q == len(form)))
-        states = pieces.boundary_states([c.matrix() for c in chunks])
+        matrices = [c.matrix() for c in chunks]
+        last = max(reduce(pieces.product, matrices), key=lambda c: c[2])[1]
+        states = pieces.between(matrices, pieces.START, last)
         assert [i for c, s, t in zip(chunks, states, states[1:]) for i in c.ids(s, t)] == sp.encode(text), text
-    assert pieces.boundary_states([[(pieces.START, 5, 0.0)], [(4, 0, 0.0)]]) is None
 
 
-def test_a_text_without_a_path_is_encoded_at_once(spark):
-    text = "some words " * 50
-    giants = spark.createDataFrame([(0, 1, text)], "rid long, doc_id long, text string")
-    got = pieces.encode_long(giants, MODEL, 100, states_of=lambda matrices: None).collect()
-    assert [r.ids for r in got] == [pieces.processor(MODEL).encode(text)]
+def test_product_is_associative():
+    rng = random.Random(8)
+    a, b, c = ([(s, t, float(rng.randrange(-9, 9))) for s in range(6) for t in range(6) if rng.random() < 0.4] for _ in range(3))
+    want = {(s, t): w for s, t, w in pieces.product(pieces.product(a, b), c)}
+    assert want == {(s, t): w for s, t, w in pieces.product(a, pieces.product(b, c))} and want
+    for (s, t), w in want.items():
+        x = pieces.between([a, b, c], s, t)
+        assert (x[0], x[-1]) == (s, t) and sum(max(v for p, q, v in m if (p, q) == y) for m, y in zip((a, b, c), zip(x, x[1:]))) == w
+
+
+def test_a_giant_text(spark, texts, monkeypatch):
+    """7 MB in some 220 chunks, with and without spaces: no task gets more than a group of matrices."""
+    some = " ".join(t for t in texts if t and "\n" not in t) + " "
+    giant = some * (7_000_000 // len(some)) + "abc" * 40_000
+    groups, real = [], pieces.in_groups
+
+    def spy(matrices, fan_in):
+        out = real(matrices, fan_in)
+        groups.append(out.agg(F.max(F.size("group")), F.count("*")).first())
+        return out
+
+    monkeypatch.setattr(pieces, "in_groups", spy)
+    docs = spark.createDataFrame([(7, giant), (8, "short " * 10_000), (9, None)], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in pieces.encode(docs, MODEL).collect()}
+    sp = pieces.processor(MODEL)
+    assert got[8] == sp.encode("short " * 10_000) and got[9] == []
+    assert got[7] == sp.encode(giant)
+    assert len(groups) == 6 and all(most <= 8 for most, _ in groups) and groups[0][1] >= 25
 
 
 def test_pieces_decode(spark, docs, texts, no_docs):

@@ -10,12 +10,13 @@ ENTRY_WIDTH = 40
 
 def fixed(numerator: Column, denominator: Column | int, digits: int) -> Column:
     """The quotient of two whole numbers with `digits` decimals; a tie goes up.
-    In whole numbers, as floating point would decide ties by its own error."""
-    den = F.lit(denominator).cast("long") if isinstance(denominator, int) else denominator.cast("long")
-    scaled = numerator.cast("long") * (2 * 10**digits) + den
-    units = ((scaled - scaled % (den * 2)) / (den * 2)).cast("long")
-    whole = ((units - units % 10**digits) / 10**digits).cast("long")
-    return F.concat(whole.cast("string"), F.lit("."), F.lpad((units % 10**digits).cast("string"), digits, "0"))
+    In decimals, as floating point would decide ties by its own error and long
+    numbers would overflow."""
+    n, den = numerator.cast("decimal(23,0)"), (F.lit(denominator) if isinstance(denominator, int) else denominator).cast("decimal(20,0)")
+    scaled, den = n * (2 * 10**digits) + den, den * 2
+    units = ((scaled - scaled % den) / den).cast("decimal(30,0)")
+    whole = ((units - units % 10**digits) / 10**digits).cast("decimal(30,0)")
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((units % 10**digits).cast("decimal(9,0)").cast("string"), digits, "0"))
 
 
 def human_bytes(n: Column) -> Column:
@@ -68,6 +69,9 @@ def ratio(input_bytes: Column, output_bytes: Column) -> Column:
     return F.when(input_bytes == 0, F.lit(0.0)).otherwise(output_bytes.cast("double") / F.nullif(input_bytes, F.lit(0)).cast("double"))
 
 
+# Fixed values from here on: the wording of report lines.
+
+
 def list_line(size: Column, path: Column, is_dir: Column) -> Column:
     """An entry as a listing shows it: the size in 12 columns, and the path, a
     directory's with `/` at its end."""
@@ -77,7 +81,7 @@ def list_line(size: Column, path: Column, is_dir: Column) -> Column:
 
 
 def compress_line(output: Column, input_bytes: Column, output_bytes: Column, ms: Column) -> Column:
-    share = F.when(input_bytes == 0, F.lit("0.0")).otherwise(fixed(output_bytes * 100, F.nullif(input_bytes, F.lit(0)), 1))
+    share = F.when(input_bytes == 0, F.lit("0.0")).otherwise(fixed(output_bytes.cast("decimal(20,0)") * 100, F.nullif(input_bytes, F.lit(0)), 1))
     return F.concat(output, F.lit("  "), binary_size(input_bytes), F.lit(" → "), binary_size(output_bytes), F.lit(" ("), share, F.lit("%)  in "), duration(ms))
 
 
@@ -103,10 +107,12 @@ def escape_html(text: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts as people count: digits by value, letters without case; the name
-    itself decides last."""
-    padded = F.transform(
-        F.regexp_extract_all(F.lower(name), F.lit("([0-9]+|[^0-9]+)")),
-        lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p),
-    )
+    """Sorts as people count: digits by value, however many, letters without
+    case; the name itself decides last."""
+
+    def counted(part: Column) -> Column:
+        digits = F.regexp_replace(part, "^0+(?=.)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)
+
+    padded = F.transform(F.regexp_extract_all(F.lower(name), F.lit("([0-9]+|[^0-9]+)")), lambda p: F.when(p.rlike("^[0-9]"), counted(p)).otherwise(p))
     return F.struct(F.array_join(padded, "").alias("key"), name.alias("name"))

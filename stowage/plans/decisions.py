@@ -122,18 +122,27 @@ def match_backends(requests: DataFrame, capabilities: DataFrame) -> DataFrame:
     capability had: provider, device, codec, format, direction, level; or
     that all that fits is experimental. `cpu` needs none.
 
-    Requests meet the capabilities of their codec by equality; what the others
-    lack is a property of the codec or target alone, counted beforehand.
+    What is asked for is decided once, whatever the number of requests that
+    ask for it: distinct wishes meet the capabilities of their codec by
+    equality, and the requests meet the wishes. Repeated requests stay.
     """
-    caps = registered(capabilities).select(
+    wish = ["preference", "provider_id", "device_id", "codec", "container", "direction", "level"]
+    wishes = requests.select(*wish).distinct()
+    decided = decide(wishes, registered(capabilities)).select(*(F.col(c).alias(f"{c}_") for c in wish), "backend", "reason")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in wish]
+    return requests.join(decided, same, "left").drop(*(f"{c}_" for c in wish))
+
+
+def decide(wishes: DataFrame, caps: DataFrame) -> DataFrame:
+    """Distinct wishes, each with backend and reason; see `match_backends`."""
+    caps = caps.select(
         "position", "ordinal", F.col("provider_id").alias("p"), F.col("device_id").alias("d"), F.col("codec").alias("c_codec"),
         F.col("container").alias("c_container"), F.col("direction").alias("c_direction"), "levels", "maturity",
     )
-    r = requests
     has_target = F.col("provider_id").isNotNull()
     targets = caps.select(F.col("p").alias("provider_id"), F.col("d").alias("device_id"), F.lit(True).alias("known")).distinct()
     providers = targets.select("provider_id", F.lit(True).alias("known_provider")).distinct()
-    r = r.join(targets, ["provider_id", "device_id"], "left").join(providers, "provider_id", "left")
+    r = wishes.join(targets, ["provider_id", "device_id"], "left").join(providers, "provider_id", "left")
     j = r.join(caps, r.codec == caps.c_codec, "left")
     aimed = F.coalesce(~has_target | ((F.col("p") == F.col("provider_id")) & (F.col("d") == F.col("device_id"))), F.lit(False)) & F.col("c_codec").isNotNull()
     fmt = aimed & F.col("container").eqNullSafe(F.col("c_container"))
@@ -141,8 +150,7 @@ def match_backends(requests: DataFrame, capabilities: DataFrame) -> DataFrame:
     lvl = way & (F.col("level").isNull() | F.array_contains("levels", F.col("level")))
     usable = lvl & ((F.col("preference") != "auto") | (F.col("maturity") != "experimental"))
     first = F.min(F.when(usable, F.struct("position", "ordinal", "p", "d")))
-    keys = r.columns
-    g = j.groupBy(*keys).agg(
+    g = j.groupBy(*r.columns).agg(
         first.alias("first"), *(F.max(F.coalesce(c, F.lit(False))).alias(n) for c, n in ((aimed, "m_codec"), (fmt, "m_format"), (way, "m_direction"), (lvl, "m_level")))
     )
     reason = (
@@ -154,10 +162,50 @@ def match_backends(requests: DataFrame, capabilities: DataFrame) -> DataFrame:
     )
     found = F.concat_ws(":", F.col("first.p"), F.col("first.d"))
     backend = F.when(F.col("preference") == "cpu", F.lit("cpu")).when(F.col("first").isNotNull(), found).when(F.col("preference") == "auto", F.lit("cpu"))
-    return g.select(*requests.columns, backend.alias("backend"), reason.alias("reason"))
+    return g.select(*wishes.columns, backend.alias("backend"), reason.alias("reason"))
+
+
+# The wording of the messages.
+
+
+def direction_name(direction: Column) -> Column:
+    return F.when(direction == "encode", F.lit("encoding")).when(direction == "decode", F.lit("decoding"))
+
 
+def backend_message(reason: Column, target: Column, fmt: Column, direction: Column, level: Column, levels: Column) -> Column:
+    """Why no device serves a request that requires one; null for no reason.
 
-def parsed_backend_message(reason: Column, codec: Column, direction: Column) -> Column:
-    """What a user reads of a request that no device serves."""
-    head = F.concat(F.lit("no accelerator for "), codec, F.lit(" "), direction, F.lit(": "))
-    return F.when(reason.isNotNull(), F.concat(head, reason, F.lit(" doesn't match")))
+    target: `provider:device`, or null if any would do. levels: those of the
+    capabilities that fit but for the level, as an array."""
+    what = F.concat(fmt, F.lit(" "), direction_name(direction))
+    none = F.concat(F.lit("no compatible hardware accelerator is available for "), what, F.coalesce(F.concat(F.lit(" at "), F.initcap(level), F.lit(" level")), F.lit("")))
+    only = F.concat(F.lit("supports "), what, F.lit(" only at "), F.array_join(F.transform(levels, F.initcap), " or "), F.lit(" level"))
+    asked = F.concat(F.lit("requested accelerator `"), target, F.lit("` "))
+    by_level = reason == "level"
+    return F.when(reason.isNull(), None).otherwise(
+        F.when(target.isNull(), F.when(by_level, F.concat(none, F.lit("; hardware "), only)).otherwise(none))
+        .when(reason.isin("provider", "device"), F.concat(asked, F.lit("was not found")))
+        .when(by_level, F.concat(asked, only))
+        .otherwise(F.concat(asked, F.lit("does not support "), what))
+    )
+
+
+def missed_levels(capabilities: DataFrame) -> DataFrame:
+    """(codec, container, direction, provider_id, device_id, levels): the
+    distinct levels of the capabilities by what else they serve, sorted; a row
+    for each device, and one of null device for all together."""
+    caps = registered(capabilities).select("codec", "container", "direction", "provider_id", "device_id", F.explode("levels").alias("level"))
+    every = caps.withColumn("provider_id", F.lit(None).cast("string")).withColumn("device_id", F.lit(None).cast("string"))
+    levels = F.array_sort(F.collect_set("level")).alias("levels")
+    return caps.unionByName(every).groupBy("codec", "container", "direction", "provider_id", "device_id").agg(levels)
+
+
+def inventory(capabilities: DataFrame) -> DataFrame:
+    """(provider_id, device_id, line): each capability of each registered
+    device as a line of the inventory."""
+    fmt = formats.format_name(formats.make_format(F.col("container"), F.col("codec")))
+    line = F.concat(
+        F.lit("capability: "), fmt, F.lit(" "), direction_name(F.col("direction")), F.lit(" levels="), F.array_join("levels", ","),
+        F.lit(" block="), F.col("block_size").cast("string"), F.lit(" maturity="), F.initcap("maturity"),
+    )
+    return registered(capabilities).select("provider_id", "device_id", line.alias("line"))

@@ -130,3 +130,17 @@ def test_sidecars(spark):
     assert got == [s[1:] for s in SIDECARS]
     assert one(spark, digests.sidecar_text(F.lit(H), F.lit(None).cast("string"), F.lit("a.gz"))) == f"{H}  a.gz\n"
     assert one(spark, digests.is_sha256_hex(F.lit(H + "\n"))) is False
+
+
+def test_large_numbers(spark):
+    """No overflow, and no loss beyond what a double holds."""
+    n = F.col("n")
+    got = values(spark, [(5 * 10**16,), (2**63 - 1,), (10**16,)], "n long", n=n, a=text.human_bytes(n), b=text.binary_size(n), c=text.compress_line(F.lit("o"), n, n - 1, F.lit(5)))
+    assert [r[1] for r in got] == ["46566128.73 GB", "8589934592.00 GB", "9313225.75 GB"]
+    assert got[1][2] == "8388608.00 TiB" and got[1][3] == "o  8388608.00 TiB → 8388608.00 TiB (100.0%)  in 5ms"
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["f1" + "0" * 21, "f9" + "9" * 20, "f2", "f10", "f002", "F3", "g"]
+    got = spark.createDataFrame([(k,) for k in names], "n string").orderBy(text.natural_key(F.col("n"))).collect()
+    assert [r.n for r in got] == ["f002", "f2", "F3", "f10", "f9" + "9" * 20, "f1" + "0" * 21, "g"]

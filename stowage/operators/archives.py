@@ -105,12 +105,20 @@ def pack(entries: DataFrame, container: str = "tar", codec: str | None = None, l
 
 
 def directory(locals_: list[bytes], centrals: list[bytes]) -> bytes:
+    """The central records with their offsets, and the end; in the 64-bit form
+    where a number is too large for the plain one."""
     at, out = 0, []
     for local, central in zip(locals_, centrals):
-        out.append(central[:42] + struct.pack("<I", at) + central[46:])
+        if at < 0xFFFFFFFF:
+            out.append(central[:42] + struct.pack("<I", at) + central[46:])
+        else:
+            out.append(central[:30] + struct.pack("<H", 12) + central[32:42] + b"\xff" * 4 + central[46:] + struct.pack("<HHQ", 1, 8, at))
         at += len(local)
-    size = sum(map(len, out))
-    return b"".join(out) + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, len(out), len(out), size, at, 0)
+    n, size, far = len(out), sum(map(len, out)), b""
+    if n >= 0xFFFF or at + size >= 0xFFFFFFFF:
+        far = b"PK\6\6" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, n, n, size, at) + b"PK\6\7" + struct.pack("<IQI", 0, at + size, 1)
+    few = min(n, 0xFFFF)
+    return b"".join(out) + far + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, few, few, min(size, 0xFFFFFFFF), min(at, 0xFFFFFFFF), 0)
 
 
 # reading

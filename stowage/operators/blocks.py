@@ -107,37 +107,81 @@ def crc32_combine(first: int, second: int, length: int) -> int:
     return times(shift, first) ^ second
 
 
+def in_order(encoded: DataFrame) -> DataFrame:
+    """(stream_id, parts, crcs, lens): a stream's blocks together, in order."""
+    blocks = F.array_sort(F.collect_list(F.struct("block_index", "payload", "crc", "raw_len")))
+    g = encoded.groupBy("stream_id").agg(blocks.alias("b"))
+    return g.select("stream_id", F.col("b.payload").alias("parts"), F.col("b.crc").alias("crcs"), F.col("b.raw_len").alias("lens"))
+
+
 def assemble(encoded: DataFrame, codec: str) -> DataFrame:
     """(stream_id, data): each stream's blocks in order as one stream that any
     decoder of the codec reads. As a binary value holds a stream of 2 GB at
-    most, so does a task here; longer ones stay rows of blocks. lz4 frames: see
-    `assemble_lz4`."""
+    most, so does a task here; longer ones stay rows of blocks, which
+    `decode_blocks` reads. lz4 frames: see `assemble_lz4`."""
     if codec not in BLOCK_CODECS or codec == "lz4":
         raise ValueError(f"{codec} streams aren't put together here")
-    body = encoded.groupBy("stream_id").agg(ordered(F.col("payload")).alias("parts"))
-    body = body.select("stream_id", concat_binary(F.col("parts")).alias("body"))
-    if codec != "gzip":
-        return body.withColumnRenamed("body", "data")
-    head = F.lit(b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff")
-    tail = F.concat(little_endian(F.col("crc32")), little_endian(F.col("length")))
-    return body.join(crc32_of_blocks(encoded), "stream_id").select("stream_id", F.concat(head, "body", tail).alias("data"))
+
+    def stream(parts: list[bytes], crcs: list[int], lens: list[int]) -> bytes:
+        if codec != "gzip":
+            return b"".join(parts)
+        crc = 0
+        for part, length in zip(crcs, lens):
+            crc = crc32_combine(crc, part, length)
+        tail = crc.to_bytes(4, "little") + (sum(lens) & 0xFFFFFFFF).to_bytes(4, "little")
+        return b"".join([b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff", *parts, tail])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                data = stream(*(batch.column(c)[k].as_py() for c in (1, 2, 3)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([data], pa.binary())], names=["stream_id", "data"])
+
+    whole = in_order(encoded)
+    return whole.mapInArrow(rows, T.StructType([whole.schema["stream_id"], T.StructField("data", T.BinaryType())]))
 
 
 def assemble_lz4(encoded: DataFrame, streams: DataFrame) -> DataFrame:
     """(stream_id, data): lz4 frames of blocks; `streams` (stream_id, data)
     gives the bytes whose hash ends each frame."""
     hashed = codecs.mapped(streams, "data", [T.StructField("content", T.LongType())], lambda data: (xxhash.xxh32_intdigest(data),)).select("stream_id", "content")
-    body = encoded.groupBy("stream_id").agg(ordered(F.col("payload")).alias("parts"))
-    check = (xxhash.xxh32_intdigest(b"\x74\x70") >> 8 & 0xFF).to_bytes(1, "little")
-    head, end = F.lit(b"\x04\x22\x4d\x18\x74\x70" + check), F.lit(b"\0\0\0\0")
-    return body.join(hashed, "stream_id").select("stream_id", F.concat(head, concat_binary(F.col("parts")), end, little_endian(F.col("content"))).alias("data"))
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                data = codecs.lz4_stream(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([data], pa.binary())], names=["stream_id", "data"])
+
+    whole = in_order(encoded).join(hashed, "stream_id").select("stream_id", "parts", "content")
+    return whole.mapInArrow(rows, T.StructType([whole.schema["stream_id"], T.StructField("data", T.BinaryType())]))
 
-def little_endian(value: Column) -> Column:
-    """The low four bytes, least first."""
-    digits = F.lpad(F.hex(value.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
-    return F.unhex(F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1))))
 
+def decode_blocks(encoded: DataFrame, codec: str) -> DataFrame:
+    """`encoded` (of `encode_blocks`) with raw instead of payload: each block
+    is decoded on its own, so that a stream of any length is read block by
+    block. A block whose checksum differs fails the query."""
+    if codec not in BLOCK_CODECS:
+        raise ValueError(f"{codec} has no blocks")
+    at, crc_at, len_at = (encoded.columns.index(c) for c in ("payload", "crc", "raw_len"))
+    keep = [f for f in encoded.schema.fields if f.name != "payload"]
+
+    def one(body: bytes, crc: int, length: int) -> bytes:
+        if codec == "gzip":
+            raw = zlib.decompressobj(-15).decompress(body)
+        elif codec == "lz4":
+            data = body[4:-4] if body else b""
+            stored = bool(body) and body[3] & 0x80
+            raw = data if stored or not body else pa.Codec("lz4_raw").decompress(data, length, asbytes=True)
+        else:
+            raw = codecs.decode(codec, body)
+        if len(raw) != length or (zlib.crc32 if codec == "gzip" else xxhash.xxh32_intdigest)(raw) != crc:
+            raise ValueError("io: a block's checksum differs")
+        return raw
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [one(*x) for x in zip(*(batch.column(k).to_pylist() for k in (at, crc_at, len_at)))]
+            columns = [c for k, c in enumerate(batch.columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(raw, pa.binary())], names=[*(f.name for f in keep), "raw"])
 
-def concat_binary(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b))
+    return encoded.mapInArrow(rows, T.StructType([*keep, T.StructField("raw", T.BinaryType())]))

@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..shared import written
+
+
+def numbered(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
+    """`rows` and `position`: 1, 2, ... within `by` (not null), in `order`,
+    whose last column must tell rows apart.
+
+    A `by` of any size is dealt to all tasks by ranges of the order; a range
+    numbers its own rows, and starts from the number of rows in the ranges
+    before it.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.withColumn("order_", F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order))))
+    dealt = written(keyed.repartitionByRange(n, by, "order_").withColumn("range_", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = dealt.groupBy(by, "range_").count().select(by, "range_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start_"))
+    own = F.row_number().over(Window.partitionBy(by, "range_").orderBy("order_"))
+    out = dealt.join(starts, [by, "range_"]).withColumn("position", F.col("start_") + own)
+    return out.drop("order_", "range_", "start_")
 
 
 def distinct_roots(entries: DataFrame, by: list[str]) -> DataFrame:
@@ -44,37 +63,50 @@ def tree(entries: DataFrame) -> DataFrame:
     return out.select("archive", "path", paths.base_name(F.col("path")).alias("name"), F.col("depth").cast("long").alias("depth"), "is_dir", "size")
 
 
+def ancestors(path: Column, depth: Column) -> Column:
+    """The paths above a node of that depth."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), depth.cast("int") - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def reached(nodes: DataFrame) -> DataFrame:
+    """`nodes` less those below a file, which no preview comes to."""
+    above = nodes.where("depth > 1").select("archive", "path", F.explode(ancestors(F.col("path"), F.col("depth"))).alias("ancestor"))
+    files = nodes.where("not is_dir").select("archive", F.col("path").alias("ancestor"))
+    below = above.join(files, ["archive", "ancestor"], "left_semi").select("archive", "path").distinct()
+    return nodes.join(below, ["archive", "path"], "left_anti")
+
+
 def tree_counts(nodes: DataFrame) -> DataFrame:
     """(archive, files, folders, total): what a preview counts as visible, and
     the bytes of all files. Nothing below a file is counted."""
-    parts = F.split("path", "/")
-    up = F.transform(F.sequence(F.lit(1), F.col("depth").cast("int") - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    above = nodes.where("depth > 1").select("archive", "path", F.explode(up).alias("ancestor"))
-    files = nodes.where("not is_dir").select("archive", F.col("path").alias("ancestor"))
-    below = above.join(files, ["archive", "ancestor"], "left_semi").select("archive", "path").distinct()
-    reached = nodes.join(below, ["archive", "path"], "left_anti")
-    shown = ~F.exists(parts, paths.is_hidden_name)
+    shown = ~F.exists(F.split("path", "/"), paths.is_hidden_name)
     count = lambda c: F.count_if(c).alias
-    return reached.groupBy("archive").agg(
+    return reached(nodes).groupBy("archive").agg(
         count(shown & ~F.col("is_dir"))("files"), count(shown & F.col("is_dir"))("folders"),
         F.sum(F.when(~F.col("is_dir"), F.col("size")).otherwise(F.lit(0))).cast("long").alias("total"),
     )
 
 
-def tree_rows(nodes: DataFrame, limit: int = 5000) -> DataFrame:
-    """Each folder's children as they are shown: folders first, then names in
-    natural order; `position` counts from 1. At most `limit` children of a
-    folder, as a preview has no use for more."""
-    children = Window.partitionBy("archive", "parent").orderBy(F.desc("is_dir"), text.natural_key(F.col("name")))
-    out = nodes.withColumn("parent", paths.parent_of(F.col("path"))).withColumn("position", F.row_number().over(children))
-    return out.where(F.col("position") <= limit)
+def tree_rows(nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """`nodes` with parent and `position` (from 1): an archive's rows as a
+    preview shows them, a folder and then all below it, its children folders
+    first, then by name in natural order. Nothing below a file is shown. With
+    `limit` an archive's first rows alone; a preview takes 5000."""
+    parts = F.split("path", "/")
+
+    def level(part: Column, k: Column) -> Column:
+        is_file = (k == F.size(parts) - 1) & ~F.col("is_dir")
+        return F.struct(is_file.alias("f"), text.natural_key(part).alias("n"))
+
+    out = numbered(reached(nodes).withColumn("parent", paths.parent_of(F.col("path"))), "archive", [F.transform(parts, level)])
+    return out if limit is None else out.where(F.col("position") <= limit)
 
 
 def deepest_first(nodes: DataFrame) -> DataFrame:
     """(archive, path, position) of folders, longest path first: a folder's
     mode may forbid writing below it, so it is set after all that is there."""
-    order = Window.partitionBy("archive").orderBy(F.desc(F.length("path")), "path")
-    return nodes.where("is_dir").select("archive", "path", F.row_number().over(order).cast("long").alias("position"))
+    return numbered(nodes.where("is_dir").select("archive", "path"), "archive", [-F.length("path"), F.col("path")])
 
 
 def footer(entries: DataFrame, by: list[str]) -> DataFrame:
@@ -134,5 +166,5 @@ def merge(old: DataFrame, new: DataFrame, replace: bool = False) -> tuple[DataFr
     clashes = old.join(hit, ["archive", "ordinal"], "left_semi")
     kept = old.join(hit, ["archive", "ordinal"], "left_anti") if replace else old
     both = kept.withColumn("added", F.lit(0)).unionByName(added.drop("prefix", "depth").withColumn("added", F.lit(1)))
-    order = Window.partitionBy("archive").orderBy(paths.first_component(F.col("path")), "added", "ordinal")
-    return both.withColumn("ordinal", F.row_number().over(order).cast("long") - 1).drop("added"), clashes.limit(0) if replace else clashes
+    placed = numbered(both, "archive", [paths.first_component(F.col("path")), F.col("added"), F.col("ordinal")])
+    return placed.withColumn("ordinal", F.col("position") - 1).drop("added", "position"), clashes.limit(0) if replace else clashes

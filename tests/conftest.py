@@ -14,7 +14,6 @@ def spark():
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
-        .config("spark.sql.python.filterPushdown.enabled", "true")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

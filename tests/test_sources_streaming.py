@@ -69,6 +69,54 @@ def test_archive_sink(spark, tmp_path):
     assert not list(out.glob(".staged*"))
 
 
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    register(spark)
+    out = tmp_path / "out"
+    rows = [(f"a{k}.bin" if k != 41 else "no/name", bytearray(b"x")) for k in range(60)]
+    df = spark.createDataFrame(rows, "archive string, data binary").coalesce(1)
+    with pytest.raises(Exception, match="path-traversal"):
+        df.write.format("archives").mode("append").save(str(out))
+    assert not list(out.iterdir())
+    good = df.where("archive like 'a%'")
+    good.where("archive < 'a3'").write.format("archives").mode("append").save(str(out))
+    before = {p.name: p.read_bytes() for p in out.iterdir()}
+    (out / "a5.bin").mkdir()  # a file can't take its place
+    (out / "a5.bin" / "x").write_text("")
+    with pytest.raises(Exception):
+        good.withColumn("data", F.lit(b"new")).write.format("archives").mode("append").save(str(out))
+    assert {p.name: p.read_bytes() for p in out.iterdir() if p.is_file()} == before and not list(out.glob(".staged*"))
+
+
+def test_a_commit_that_breaks_off_is_taken_back(tmp_path, monkeypatch):
+    from stowage.sources import archive_sink
+
+    writer = archive_sink.ArchiveWriter({"path": str(tmp_path)}, True)
+    staging = tmp_path / writer.staging
+    staging.mkdir()
+    (tmp_path / "a").write_text("old")
+    for n in ("0", "1"):
+        (staging / n).write_text("new")
+    monkeypatch.setattr(writer, "MOVES", 1)
+    with pytest.raises(Exception):
+        writer.publish([(f"{writer.staging}/0", "a"), (f"{writer.staging}/1", "b"), (f"{writer.staging}/gone", "c")], {"a"})
+    assert (tmp_path / "a").read_text() == "old" and sorted(p.name for p in tmp_path.iterdir()) == ["a"]
+
+
+def test_a_walk_of_one_folder_has_many_parts(spark, tmp_path):
+    from stowage.sources.tree import TreeReader
+
+    for k in range(40):
+        (tmp_path / "only" / f"d{k}" / "e").mkdir(parents=True)
+        (tmp_path / "only" / f"d{k}" / "e" / "f.txt").write_text("x" * k)
+    (tmp_path / "only" / "d3" / ".gitignore").write_text("*\n")
+    reader = TreeReader({"path": str(tmp_path)})
+    assert len(reader.partitions()) >= 40
+    rows = walk(spark, tmp_path)
+    assert len(rows) == 1 + 40 * 3 + 1 and sum(r.size for r in rows) == sum(range(40)) + 2
+    assert {r.rel for r in rows if not r.included} == {"only/d3/.gitignore", "only/d3/e", "only/d3/e/f.txt"}
+    assert len(walk(spark, tmp_path, only_included="true")) == len(rows) - 3
+
+
 TICKS = [(1, 1, 0, "a"), (1, 2, 50, "a"), (1, 3, 60, "b"), (1, 4, 100, "b"), (1, 5, 170, "b"), (1, 6, 260, "b"), (1, 7, 271, "b"), (2, 8, 0, None), (2, 9, 1, None), (2, 10, 100, None)]
 SENT = {1, 3, 5, 7, 8, 10}
 
@@ -101,6 +149,19 @@ def test_throttle_stream(spark, tmp_path):
     assert {r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == SENT
 
 
+def test_throttle_of_a_long_run(spark):
+    """One job, one entry, an event a millisecond: linear, and in more than one stretch."""
+    e = spark.range(20_000).select(F.lit(1).cast("long").alias("job_id"), F.col("id").alias("event_id"), F.col("id").alias("ms"), F.lit("a").alias("entry"))
+    assert sorted(r.event_id for r in progress.throttle(e).collect()) == list(range(0, 20_000, 100))
+
+
+def test_violations(spark):
+    rows = [(1, 1, 0, 5, 10), (1, 2, 1, 4, 10), (1, 3, 2, 11, 10), (1, 4, 3, 11, 11), (2, 5, 0, 3, 10), (2, 6, 1, 3, 10)]
+    e = spark.createDataFrame(rows, "job_id long, event_id long, ms long, bytes_done long, bytes_total long")
+    got = progress.violations(e)
+    assert sorted((r.event_id, r.why) for r in got.collect()) == [(2, "back"), (3, "over")] and got.columns == [*e.columns, "why"]
+
+
 def test_batches(spark):
     rows = [("k", 1, 0, "b"), ("k", 2, 300, "a"), ("k", 3, 700, "b"), ("k", 4, 1101, "c"), ("j", 5, 0, "x")]
     e = spark.createDataFrame(rows, "key string, event_id long, ms long, path string")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INTERVAL_MS = 100
 DEBOUNCE_MS = 400
@@ -14,14 +16,15 @@ DEBOUNCE_MS = 400
 SPAN_MS = 3_600_000
 
 
-def numbered_runs(rows: DataFrame, key: str, ms: str, order: str, carried: list[str], starts: Callable[[Column], Column], span_ms: int = SPAN_MS) -> DataFrame:
+def numbered_runs(rows: DataFrame, key: str, ms: str, order: str, carried: list[str], starts: Callable[[Column], Column], span_ms: int = SPAN_MS, mark: str | None = None) -> DataFrame:
     """`rows` and `run_`: a number that goes up, within a key and in order of
     time, at each row for which `starts` holds of the row before it (a struct
     of ms, order and `carried`; null for a key's first row).
 
     A key's rows needn't fit one task: windows go over a key's stretch of
     `span_ms`, and a stretch's last row and number of starts are handed on
-    between stretches. Rows without a key or a time are left out.
+    between stretches. With `mark`, a column of that name says which rows
+    start a run. Rows without a key or a time are left out.
     """
     taken = Window.partitionBy(key, "stretch_").orderBy(ms, order)
     along = Window.partitionBy(key).orderBy("stretch_")
@@ -34,6 +37,8 @@ def numbered_runs(rows: DataFrame, key: str, ms: str, order: str, carried: list[
     earlier = F.sum("n_").over(along.rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(key, "stretch_", F.coalesce(earlier, F.lit(0)).alias("offset_"))
     r = r.join(offsets, [key, "stretch_"]).withColumn("run_", F.col("offset_") + F.sum("start_").over(taken))
+    if mark:
+        r = r.withColumn(mark, F.col("start_") == 1)
     return r.drop("stretch_", "before_", "start_", "offset_")
 
 
@@ -44,20 +49,30 @@ def throttle(events: DataFrame, *, job: str = "job_id", ms: str = "ms", entry: s
     An event that is kept back has the entry of the last forwarded one, so the
     events that change the entry, or follow a pause of the interval, are
     forwarded whatever came before. They start runs that don't depend on each
-    other; within one, the state is the time last forwarded. Events without a
-    job or a time are left out.
+    other; tasks read them in order of time and hold what was last forwarded
+    alone. Events without a job or a time are left out.
     """
 
     def starts(prev: Column) -> Column:
         return prev.isNull() | (F.col(ms) - prev["ms"] >= interval_ms) | ~F.col(entry).eqNullSafe(prev[entry])
 
     runs = numbered_runs(events.select(job, ms, entry, order), job, ms, order, [entry], starts)
-    held = runs.groupBy(job, "run_").agg(F.array_sort(F.collect_list(F.struct(F.col(ms).cast("bigint").alias("t"), F.col(order).cast("bigint").alias("o")))).alias("ticks"))
-    none = F.array().cast("array<struct<t: bigint, o: bigint>>")
-    sent = F.aggregate(
-        "ticks", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["t"] - F.try_element_at(acc, F.lit(-1))["t"] >= interval_ms), F.concat(acc, F.array(x))).otherwise(acc)
-    )
-    kept = held.select(job, F.explode(sent).alias("x")).select(job, F.col("x.o").alias(order))
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ticks = runs.select(F.xxhash64(job, "run_").alias("run"), F.col(job).alias("job"), "run_", F.col(ms).cast("long").alias("t"), order)
+    ticks = ticks.repartition(n, "run").sortWithinPartitions("run", "job", "run_", "t", order)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, last = None, None
+        for batch in batches:
+            keep = []
+            for job_id, number, t in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                forward = (job_id, number) != run or t - last >= interval_ms
+                keep.append(forward)
+                if forward:
+                    run, last = (job_id, number), t
+            yield batch.select(["job", order]).filter(pa.array(keep, pa.bool_()))
+
+    kept = ticks.mapInArrow(sent, T.StructType([ticks.schema["job"], ticks.schema[order]])).withColumnRenamed("job", job)
     return events.join(kept, [job, order], "left_semi")
 
 
@@ -90,9 +105,15 @@ def final_events(events: DataFrame, *, job: str = "job_id", ms: str = "ms", orde
     return events.groupBy(job).agg(last.alias("last")).select(job, "last.*")
 
 
-def violations(events: DataFrame) -> DataFrame:
-    """Events that say more bytes are done than there are."""
-    return events.where("bytes_done > bytes_total")
+def violations(events: DataFrame, *, job: str = "job_id", ms: str = "ms", order: str = "event_id") -> DataFrame:
+    """`events` (with bytes_done and bytes_total) that can't be, with `why`:
+    `over` if more bytes are done than there are, else `back` if fewer are
+    done than at the job's event before. A job's events needn't fit one task:
+    see `numbered_runs`."""
+    fewer = lambda prev: F.coalesce(F.col("bytes_done") < prev["bytes_done"], F.lit(False))
+    numbered = numbered_runs(events, job, ms, order, ["bytes_done"], fewer, mark="back_")
+    why = F.when(F.col("bytes_done") > F.col("bytes_total"), F.lit("over")).when(F.col("back_"), F.lit("back"))
+    return numbered.withColumn("why", why).drop("run_", "back_").where("why is not null")
 
 
 def batches(requests: DataFrame, *, key: str = "key", ms: str = "ms", path: str = "path", order: str = "event_id", debounce_ms: int = DEBOUNCE_MS) -> DataFrame:

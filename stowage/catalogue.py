@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import checksums, decisions, entries, names, pathnames, progress, streams
+from .queries import checksums, decisions, entries, files, names, pathnames, progress, streams
 
-MODULES = [names, pathnames, checksums, entries, streams, decisions, progress]
+MODULES = [names, pathnames, checksums, entries, streams, files, decisions, progress]
 QUERIES = {k: f for m in MODULES for k, f in m.R.queries.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.R.oracles.items()}

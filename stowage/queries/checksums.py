@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests, formats, text
+from ..operators import archives
 from .common import SQL_NAMES, Registry, archive_names, pick, sql_pick, sql_suffix, table
+from .streams import doc_entries
 
 R = Registry()
 
@@ -78,9 +80,13 @@ def q_content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("""
-SELECT lang, CAST(sum(n_chars) AS BIGINT) AS input_bytes, CAST(sum(strlen(text)) AS BIGINT) AS output_bytes,
-       CASE WHEN sum(n_chars) = 0 THEN 0 ELSE CAST(sum(strlen(text)) AS DOUBLE) / CAST(sum(n_chars) AS DOUBLE) END AS ratio
-FROM documents GROUP BY lang""")
+WITH s AS (SELECT source || '-' || (doc_id // 500) || '.tar' AS archive, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS input_bytes,
+                  CAST(sum(512 + (strlen(coalesce(text, '')) + 511) // 512 * 512) + 1024 AS BIGINT) AS output_bytes FROM documents GROUP BY 1)
+SELECT archive, input_bytes, output_bytes, CASE WHEN input_bytes = 0 THEN 0 ELSE CAST(output_bytes AS DOUBLE) / CAST(input_bytes AS DOUBLE) END AS ratio FROM s""")
 def q_ratio_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum("n_chars").alias("input_bytes"), F.sum(F.octet_length("text")).cast("long").alias("output_bytes"))
+    """What archives weigh against what went into them."""
+    entries = doc_entries(spark, sf_dir)
+    put_in = entries.groupBy("archive").agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("input_bytes"))
+    made = archives.pack(entries, "tar").select("archive", F.octet_length("data").cast("long").alias("output_bytes"))
+    g = put_in.join(made, "archive").withColumn("archive", F.concat("archive", F.lit(".tar")))
     return g.withColumn("ratio", text.ratio(F.col("input_bytes"), F.col("output_bytes")))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.formats import ALIASES, MAGIC, SHORT, SUFFIXES
-
 
 class Registry:
     def __init__(self):
@@ -41,7 +39,9 @@ def sql_text(value: str | None) -> str:
 
 
 #: The suffixes of made-up archive names: all known ones, none, and an unknown one.
-NAME_SUFFIXES = [s for s, _, _ in SUFFIXES] + ["", ".unknown"]
+NAME_SUFFIXES = (
+    ".tar.gz .tar.bz2 .tar.xz .tar.zst .tar.lz4 .tar.br .tgz .tbz2 .txz .tzst .tar .gz .bz2 .xz .zst .lz4 .br .zip .7z .rar".split() + ["", ".unknown"]
+)
 
 
 def archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +55,19 @@ _name = f"'page_' || page_id || {sql_pick(NAME_SUFFIXES, 'page_id')}"
 SQL_NAMES = f"names AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN upper({_name}) ELSE {_name} END AS name FROM pages)"
 
 
+# The SQL states formats by itself, so that a wrong entry in the tables of `functions.formats` shows.
+
+_KNOWN = "\\.(?:tar(?:\\.(?:gz|bz2|xz|zst|lz4|br))?|tgz|tbz2|txz|tzst|gz|bz2|xz|zst|lz4|br|zip|7z|rar)$"
+
+
 def sql_suffix(name: str, what: str) -> str:
     """what: suffix, container or codec, of a name's suffix."""
-    k = {"suffix": 0, "container": 1, "codec": 2}[what]
-    return "(CASE " + " ".join(f"WHEN ends_with(lower({name}), '{row[0]}') THEN {sql_text(row[k])}" for row in SUFFIXES) + " END)"
+    s = f"nullif(regexp_extract(lower({name}), '{_KNOWN}'), '')"
+    if what == "suffix":
+        return s
+    if what == "container":
+        return f"(CASE WHEN {s} LIKE '.t%' THEN 'tar' WHEN {s} IN ('.zip', '.7z', '.rar') THEN substr({s}, 2) END)"
+    return f"(CASE regexp_extract({s}, '(gz|bz2|xz|zst|lz4|br)$') WHEN 'gz' THEN 'gzip' WHEN 'bz2' THEN 'bzip2' WHEN 'xz' THEN 'xz' WHEN 'zst' THEN 'zstd' WHEN 'lz4' THEN 'lz4' WHEN 'br' THEN 'brotli' END)"
 
 
 def sql_known(name: str) -> str:
@@ -66,17 +75,30 @@ def sql_known(name: str) -> str:
 
 
 def sql_magic(blob: str, what: str) -> str:
-    k = {"container": 2, "codec": 3}[what]
-    return "(CASE " + " ".join(f"WHEN substr(hex({blob}), {2 * m[1] + 1}, {len(m[0])}) = '{m[0]}' THEN {sql_text(m[k])}" for m in MAGIC) + " END)"
+    h = f"hex({blob})"
+    if what == "codec":
+        return (
+            f"(CASE WHEN {h} LIKE '1F8B%' THEN 'gzip' WHEN {h} LIKE '425A68%' THEN 'bzip2' WHEN {h} LIKE 'FD377A585A00%' THEN 'xz' "
+            f"WHEN {h} LIKE '28B52FFD%' THEN 'zstd' WHEN {h} LIKE '04224D18%' THEN 'lz4' END)"
+        )
+    return (
+        f"(CASE WHEN {h} LIKE '504B0304%' OR {h} LIKE '504B0506%' THEN 'zip' WHEN {h} LIKE '377ABCAF271C%' THEN '7z' "
+        f"WHEN {h} LIKE '526172211A0700%' OR {h} LIKE '526172211A070100%' THEN 'rar' WHEN substr({h}, 515, 10) = '7573746172' THEN 'tar' END)"
+    )
 
 
 def sql_alias(text: str, what: str) -> str:
-    k = {"container": 0, "codec": 1}[what]
-    return "(CASE " + " ".join(f"WHEN lower({text}) = '{a}' THEN {sql_text(v[k])}" for a, v in ALIASES.items()) + f" ELSE {sql_suffix(chr(39) + 'x.' + chr(39) + ' || ' + text, what)} END)"
+    layered = sql_suffix("'x.' || " + text, what)
+    if what == "container":
+        return f"(CASE lower({text}) WHEN 'tar' THEN 'tar' WHEN 'zip' THEN 'zip' WHEN '7z' THEN '7z' WHEN 'sevenz' THEN '7z' WHEN 'rar' THEN 'rar' ELSE {layered} END)"
+    return (
+        f"(CASE WHEN lower({text}) IN ('gzip', 'gz') THEN 'gzip' WHEN lower({text}) IN ('bzip2', 'bz2') THEN 'bzip2' WHEN lower({text}) = 'xz' THEN 'xz' "
+        f"WHEN lower({text}) IN ('zstd', 'zst') THEN 'zstd' WHEN lower({text}) = 'lz4' THEN 'lz4' WHEN lower({text}) IN ('brotli', 'br') THEN 'brotli' ELSE {layered} END)"
+    )
 
 
 def sql_short(codec: str) -> str:
-    return "(CASE " + " ".join(f"WHEN {codec} = '{k}' THEN '{v}'" for k, v in SHORT.items()) + " END)"
+    return f"(CASE {codec} WHEN 'gzip' THEN 'gz' WHEN 'bzip2' THEN 'bz2' WHEN 'xz' THEN 'xz' WHEN 'zstd' THEN 'zst' WHEN 'lz4' THEN 'lz4' WHEN 'brotli' THEN 'br' END)"
 
 
 def sql_format_name(container: str, codec: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import formats
 from ..plans import decisions
 from .common import Registry, pick, sql_known, sql_pick, table
 
@@ -123,7 +124,7 @@ def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("d"), k.cast("string")).alias("device_id"), F.when(k % 3 == 0, F.lit("zstd")).otherwise(F.lit("lz4")).alias("codec"),
         F.when(k % 2 == 0, F.lit("tar")).alias("container"), F.lit("encode").alias("direction"),
         F.when(k % 5 == 0, F.array(F.lit("fast"), F.lit("best"))).otherwise(F.array(F.lit("fast"))).alias("levels"),
-        F.when(k % 4 == 0, F.lit("supported")).otherwise(F.lit("experimental")).alias("maturity"),
+        F.when(k % 4 == 0, F.lit("supported")).otherwise(F.lit("experimental")).alias("maturity"), F.lit(1 << 16).alias("block_size"),
     )
 
 
@@ -149,12 +150,62 @@ SELECT request_id, CASE WHEN preference = 'cpu' THEN 'cpu' WHEN found IS NOT NUL
             WHEN NOT m1 THEN 'codec' WHEN NOT m2 THEN 'format' WHEN NOT m3 THEN 'direction' WHEN NOT m4 THEN 'level' ELSE 'experimental' END AS reason
 FROM g""")
 def q_capability_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.match_backends(asked_backends(spark, sf_dir), capabilities(spark, sf_dir)).select("request_id", "backend", "reason")
+
+
+def asked_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     n = lambda k: F.floor(i / k)
-    asked = table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         i.alias("request_id"), pick(["cpu", "auto", "required"], i).alias("preference"),
         F.when(i % 5 == 0, F.concat(F.lit("p"), (n(5) % 7).cast("string"))).alias("provider_id"), F.when(i % 5 == 0, F.concat(F.lit("d"), (n(5) % 26).cast("string"))).alias("device_id"),
         pick(["lz4", "zstd", "xz"], n(2)).alias("codec"), pick([None, "tar", "zip"], n(3)).alias("container"), pick(["encode", "encode", "decode"], n(7)).alias("direction"),
         pick([None, "fast", "best", "edge"], n(11)).alias("level"),
     )
-    return decisions.match_backends(asked, capabilities(spark, sf_dir)).select("request_id", "backend", "reason")
+
+
+_WHAT = "CASE WHEN container IS NULL THEN codec ELSE container || '.' || CASE codec WHEN 'zstd' THEN 'zst' ELSE codec END END || ' ' || direction || 'ing'"
+_LEVELS = f"""(SELECT array_to_string(list_sort(list_distinct(flatten(list(list_transform(levels, lambda x: upper(x[1]) || x[2:]))))), ' or ') FROM caps
+  WHERE c_codec = g.codec AND g.container IS NOT DISTINCT FROM c_container AND g.direction = 'encod' AND (g.provider_id IS NULL OR (p = g.provider_id AND d = g.device_id)))"""
+
+
+@R.add(f"""
+WITH {_CAPS}, {_REQ}, j AS (
+  SELECT r.*, experimental, codec = c_codec AND {_AIM} AS m1, codec = c_codec AND {_AIM} AND container IS NOT DISTINCT FROM c_container AS m2,
+         codec = c_codec AND {_AIM} AND container IS NOT DISTINCT FROM c_container AND direction = 'encode' AS m3,
+         codec = c_codec AND {_AIM} AND container IS NOT DISTINCT FROM c_container AND direction = 'encode' AND (level IS NULL OR list_contains(levels, level)) AS m4,
+         p = r.provider_id AND d = r.device_id AS kd FROM r CROSS JOIN caps WHERE preference = 'required'
+), g AS (
+  SELECT request_id, any_value(provider_id) AS provider_id, any_value(device_id) AS device_id, any_value(codec) AS codec, any_value(container) AS container,
+         left(any_value(direction), 5) AS direction, any_value(level) AS level, bool_or(m1) AS m1, bool_or(m2) AS m2, bool_or(m3) AS m3, bool_or(m4) AS m4, bool_or(kd) AS kd
+  FROM j GROUP BY request_id
+), m AS (
+  SELECT request_id, m1 AND m2 AND m3 AS by_level, NOT kd AS unknown, provider_id || ':' || device_id AS target, {_WHAT.replace("direction", "g.direction")} AS what,
+         CASE WHEN level IS NULL THEN '' ELSE ' at ' || upper(level[1]) || level[2:] || ' level' END AS at_level, {_LEVELS} AS levels FROM g WHERE NOT m4
+)
+SELECT request_id, CASE
+  WHEN target IS NULL AND by_level THEN 'no compatible hardware accelerator is available for ' || what || at_level || '; hardware supports ' || what || ' only at ' || levels || ' level'
+  WHEN target IS NULL THEN 'no compatible hardware accelerator is available for ' || what || at_level
+  WHEN unknown THEN 'requested accelerator `' || target || '` was not found'
+  WHEN by_level THEN 'requested accelerator `' || target || '` supports ' || what || ' only at ' || levels || ' level'
+  ELSE 'requested accelerator `' || target || '` does not support ' || what END AS message
+FROM m""")
+def q_backend_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why requests that require a device get none."""
+    caps = capabilities(spark, sf_dir)
+    failed = decisions.match_backends(asked_backends(spark, sf_dir).where("preference = 'required'"), caps).where("reason IS NOT NULL")
+    levels = decisions.missed_levels(caps).select(*(F.col(c).alias(f"m_{c}") for c in ("codec", "container", "direction", "provider_id", "device_id")), "levels")
+    same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in ("codec", "container", "direction", "provider_id", "device_id")]
+    target = F.concat_ws(":", "provider_id", "device_id")
+    fmt = formats.format_name(formats.make_format(F.col("container"), F.col("codec")))
+    message = decisions.backend_message(F.col("reason"), F.when(target != "", target), fmt, F.col("direction"), F.col("level"), F.col("levels"))
+    return failed.join(levels, same, "left").select("request_id", message.alias("message"))
+
+
+@R.add("""
+SELECT 'p' || n_regionkey AS provider_id, 'd' || n_nationkey AS device_id,
+  'capability: ' || CASE WHEN n_nationkey % 2 = 0 THEN 'tar.' || CASE WHEN n_nationkey % 3 = 0 THEN 'zst' ELSE 'lz4' END WHEN n_nationkey % 3 = 0 THEN 'zstd' ELSE 'lz4' END || ' encoding levels=fast'
+  || CASE WHEN n_nationkey % 5 = 0 THEN ',best' ELSE '' END || ' block=65536 maturity=' || CASE WHEN n_nationkey % 4 = 0 THEN 'Supported' ELSE 'Experimental' END AS line
+FROM nation""")
+def q_hardware_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.inventory(capabilities(spark, sf_dir)).select("provider_id", "device_id", "line")

@@ -53,9 +53,29 @@ def q_tree_visible_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.tree_counts(ops.tree(page_entries(spark, sf_dir)))
 
 
-@R.add()
+_RUNS = "regexp_extract_all(lower(string_split(path, '/')[k]), '[0-9]+|[^0-9]+')"
+_COUNTED = "CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(CAST(length(regexp_replace(r, '^0+([0-9])', '\\1')) AS VARCHAR), 9, '0') || regexp_replace(r, '^0+([0-9])', '\\1') ELSE r END"
+SQL_SHOWN = f"""{SQL_TREE}, reached AS (
+  SELECT * FROM tree t WHERE NOT EXISTS (SELECT 1 FROM tree f WHERE f.archive = t.archive AND NOT f.is_dir AND starts_with(t.path, f.path || '/'))
+), levels AS (
+  SELECT archive, path, depth, is_dir, unnest(range(1, depth + 1)) AS k FROM reached
+), keys AS (
+  SELECT archive, path, is_dir, list(CASE WHEN k = depth AND NOT is_dir THEN '1' ELSE '0' END || chr(1) || array_to_string(list_transform({_RUNS}, lambda r: {_COUNTED}), '') || chr(1) || string_split(path, '/')[k] ORDER BY k) AS sort
+  FROM levels GROUP BY archive, path, is_dir
+), shown AS (
+  SELECT archive, path, array_to_string(list_slice(string_split(path, '/'), 1, -2), '/') AS parent, is_dir, row_number() OVER (PARTITION BY archive ORDER BY sort) AS position FROM keys
+)"""
+
+
+@R.add(f"WITH {SQL_SHOWN} SELECT archive, path, parent, is_dir, position FROM shown")
 def q_tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.tree_rows(ops.tree(page_entries(spark, sf_dir))).select("archive", "path", "parent", "is_dir", F.col("position").cast("long").alias("position"))
+    return ops.tree_rows(ops.tree(page_entries(spark, sf_dir))).select("archive", "path", "parent", "is_dir", "position")
+
+
+@R.add(f"WITH {SQL_SHOWN} SELECT archive, path, position FROM shown WHERE position <= 5000")
+def q_tree_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a preview, which ends after 5000 of an archive."""
+    return ops.tree_rows(ops.tree(page_entries(spark, sf_dir)), limit=5000).select("archive", "path", "position")
 
 
 @R.add(f"""
@@ -86,7 +106,8 @@ def _added(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("ordinal"), F.lower("n_name").alias("file"), F.octet_length("n_name").cast("long").alias("size"))
     n = n.withColumn("path", F.when(F.col("ordinal") % 5 == 0, F.concat(F.lit("guide/"), F.col("file"))).otherwise(F.col("file")))
     n = n.withColumn("prefix", F.when(F.col("ordinal") % 5 == 0, F.lit("docs")).otherwise(F.lit("")))
-    return sites.withColumn("k", F.lit(1)).join(n.withColumn("k", F.lit(1)), "k").select("archive", "ordinal", "path", "size", F.lit(False).alias("is_dir"), "prefix")
+    wanted = sites.select("archive", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("ordinal"))
+    return wanted.join(n, "ordinal").select("archive", "ordinal", "path", "size", F.lit(False).alias("is_dir"), "prefix")
 
 
 @R.add(f"""

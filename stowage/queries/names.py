@@ -110,7 +110,7 @@ def q_compose_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = ["zip", "7z", "tar", *SHORT, *(f"tar.{v}" for v in SHORT.values()), "rar", ""]
-_INNER = "(CASE " + " ".join(f"WHEN n = 'tar.{v}' THEN '{k}'" for k, v in SHORT.items()) + " END)"
+_INNER = "(CASE WHEN n LIKE 'tar.%' THEN " + sql_suffix("'x' || substr(n, 4)", "codec") + " END)"
 
 
 @R.add(f"""

@@ -53,7 +53,12 @@ def q_progress_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.final_events(ticks(spark, sf_dir)).select("job_id", "event_id", "ms")
 
 
-@R.add("SELECT event_id FROM events WHERE value > 50")
+@R.add(f"""
+WITH {SQL_TICKS}, p AS (
+  SELECT t.event_id, value AS done, lag(value) OVER (PARTITION BY job_id ORDER BY ms, t.event_id) AS before FROM t JOIN events USING (event_id)
+)
+SELECT event_id, CASE WHEN done > 50 THEN 'over' ELSE 'back' END AS why FROM p WHERE done > 50 OR done < before""")
 def q_progress_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("bytes_done"), F.lit(50.0).alias("bytes_total"))
-    return progress.violations(e).select("event_id")
+    """A user's values as a job's bytes done, of 50."""
+    done = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("bytes_done"), F.lit(50.0).alias("bytes_total"))
+    return progress.violations(ticks(spark, sf_dir).join(done, "event_id")).select("event_id", "why")

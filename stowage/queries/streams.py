@@ -73,10 +73,16 @@ def _encoded(spark: SparkSession, sf_dir: str, codec: str, level: str = "best")
     return blocks.encode_blocks(blocks.block_rows(docs(spark, sf_dir), "doc_id", "raw", BLOCK), codec, level)
 
 
-@R.add()
+@R.add(f"""
+WITH {SQL_BLOCKS}
+SELECT count(*) FILTER (n > 0) AS n_blocks, CAST(sum(least({BLOCK}, n - block_index * {BLOCK})) AS BIGINT) AS raw_bytes, CAST(0 AS BIGINT) AS n_grown, CAST(0 AS BIGINT) AS n_misflagged FROM b""")
 def q_lz4_stored_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _encoded(spark, sf_dir, "lz4", "fast")
-    return e.groupBy("stored").agg(F.count("*").alias("n"), F.sum("raw_len").alias("raw_bytes"), F.sum(F.octet_length("payload")).alias("payload_bytes"))
+    """A block is stored as it is exactly when encoding makes it no smaller."""
+    e = _encoded(spark, sf_dir, "lz4", "fast").where("raw_len > 0").withColumn("body", F.octet_length("payload") - 8)
+    wrong = F.when(F.col("stored"), F.col("body") != F.col("raw_len")).otherwise(F.col("body") >= F.col("raw_len"))
+    return e.agg(
+        F.count("*").alias("n_blocks"), F.sum("raw_len").alias("raw_bytes"), F.count_if(F.col("body") > F.col("raw_len")).alias("n_grown"), F.count_if(wrong).alias("n_misflagged")
+    )
 
 
 def _assembled(codec: str):
@@ -95,12 +101,12 @@ for _codec in blocks.BLOCK_CODECS:
     R.oracles[f"q_assemble_{_codec}"] = "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL"
 
 
-@R.add()
+@R.add("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS length, true AS same FROM documents WHERE text IS NOT NULL")
 def q_crc_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CRC-32 of each text out of its blocks', beside the one of the whole."""
     folded = blocks.crc32_of_blocks(_encoded(spark, sf_dir, "gzip", "fast"))
     whole = docs(spark, sf_dir).select(F.col("doc_id").alias("stream_id"), F.crc32("raw").alias("whole"))
-    return folded.join(whole, "stream_id").select(F.col("stream_id").alias("doc_id"), "crc32", "length", (F.col("crc32") == F.col("whole")).alias("same"))
+    return folded.join(whole, "stream_id").select(F.col("stream_id").alias("doc_id"), "length", (F.col("crc32") == F.col("whole")).alias("same"))
 
 
 # archives

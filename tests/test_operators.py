@@ -235,3 +235,80 @@ def test_backends(spark):
     got = decisions.match_backends(spark.createDataFrame([a[:8] for a in asked], schema), caps).orderBy("request_id").collect()
     assert [(r.backend, r.reason) for r in got] == [a[8:] for a in asked]
     assert decisions.match_backends(spark.createDataFrame([asked[3][:8]], schema), caps.where("false")).first().reason == "provider"
+
+
+def test_repeated_requests_stay(spark):
+    caps = spark.createDataFrame([(0, 0, "p", "d", "lz4", "tar", "encode", ["fast"], "supported")], "registration long, ordinal long, provider_id string, device_id string, codec string, container string, direction string, levels array<string>, maturity string")
+    schema = "request_id long, preference string, provider_id string, device_id string, codec string, container string, direction string, level string"
+    same = (1, "auto", None, None, "lz4", "tar", "encode", None)
+    got = decisions.match_backends(spark.createDataFrame([same, same, same, (2, "auto", None, None, None, None, None, None)], schema), caps)
+    assert got.columns == [*(c.split()[0] for c in schema.split(", ")), "backend", "reason"]
+    assert sorted((r.request_id, r.backend, r.reason) for r in got.collect()) == [(1, "p:d", None)] * 3 + [(2, "cpu", "codec")]
+
+
+def test_backend_messages(spark):
+    rows = [("codec", None, "lz4", "encode", "best", None), ("level", None, "tar.lz4", "encode", "edge", ["best", "fast"]), ("device", "p:d", "lz4", "decode", None, None), ("level", "p:d", "lz4", "encode", "edge", ["fast"]), ("direction", "p:d", "lz4", "decode", None, None), (None, None, "lz4", "encode", None, None)]
+    df = spark.createDataFrame(rows, "reason string, target string, fmt string, direction string, level string, levels array<string>")
+    got = [r.m for r in df.select(decisions.backend_message(*(F.col(c) for c in df.columns)).alias("m")).collect()]
+    assert got == [
+        "no compatible hardware accelerator is available for lz4 encoding at Best level",
+        "no compatible hardware accelerator is available for tar.lz4 encoding at Edge level; hardware supports tar.lz4 encoding only at Best or Fast level",
+        "requested accelerator `p:d` was not found", "requested accelerator `p:d` supports lz4 encoding only at Fast level",
+        "requested accelerator `p:d` does not support lz4 decoding", None,
+    ]
+
+
+def test_zip_of_many_entries(spark):
+    n = 66_000
+    e = spark.range(n).select(
+        F.lit("z.zip").alias("archive"), F.col("id").alias("ordinal"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), F.lit(b"").alias("content"), F.lit("file").alias("kind"),
+        F.lit(None).cast("int").alias("mode"), F.lit(None).cast("long").alias("mtime"), F.lit(None).cast("string").alias("link_target"),
+    )
+    packed = archives.pack(e, "zip", level="fast")
+    names = zipfile.ZipFile(io.BytesIO(bytes(packed.first().data))).namelist()
+    assert len(names) == n and names[-1] == f"f{n - 1}"
+
+
+def test_far_zip_offsets():
+    """Beyond 4 GB the 64-bit records say where a member is."""
+    local, central = archives.zip_member("a", b"x", "file", None, None, "fast")
+
+    class Far(bytes):
+        def __len__(self):
+            return (1 << 32) + 10
+
+    tail = archives.directory([Far(b""), local], [central, central])
+    at = tail.index(b"PK\x01\x02", 4)
+    assert tail[at + 42 : at + 46] == b"\xff" * 4 and tail[at + 30 : at + 32] == b"\x0c\0" and int.from_bytes(tail[at + 46 + 1 + 4 : at + 46 + 1 + 12], "little") == (1 << 32) + 10
+    assert b"PK\6\6" in tail and b"PK\6\7" in tail
+
+
+@pytest.mark.parametrize("codec", blocks.BLOCK_CODECS)
+def test_blocks_decode_alone(spark, codec):
+    rows = [(k, bytearray(random.Random(k).randbytes(n) if k % 2 else b"ab" * n)[:n]) for k, n in enumerate([0, 1, 99, 100, 101, 730])]
+    cut = blocks.block_rows(spark.createDataFrame(rows, "id long, data binary"), "id", "data", 100)
+    e = blocks.encode_blocks(cut, codec)
+    key = lambda df: sorted((r.stream_id, r.block_index, bytes(r.raw)) for r in df.collect())
+    assert key(blocks.decode_blocks(e, codec)) == key(cut)
+    with pytest.raises(Exception, match="io|checksum|Error"):
+        blocks.decode_blocks(e.withColumn("crc", F.col("crc") + 1), codec).collect()
+
+
+def test_rows_of_a_preview(spark):
+    """A folder and then all below it; the limit is on an archive's rows, not on a folder's."""
+    names = ["b/x2", "b/x10", "b/x1000000000000000000000001", "b/x999999999999999999999999", "a/1", "a/2", "top", "b/sub/k", "top/under"]
+    e = spark.createDataFrame([("z", k, n, 1, False) for k, n in enumerate(names)], "archive string, ordinal long, path string, size long, is_dir boolean")
+    nodes = entries.tree(e)
+    shown = [r.path for r in entries.tree_rows(nodes).orderBy("position").collect()]
+    assert shown == ["a", "a/1", "a/2", "b", "b/sub", "b/sub/k", "b/x2", "b/x10", "b/x999999999999999999999999", "b/x1000000000000000000000001", "top"]
+    first = entries.tree_rows(nodes, limit=5).orderBy("position").collect()
+    assert [(r.path, r.position) for r in first] == list(zip(shown[:5], range(1, 6)))
+
+
+def test_numbering_of_a_large_group(spark):
+    df = spark.range(5000).select(F.when(F.col("id") < 4900, F.lit("big")).otherwise(F.lit("small")).alias("g"), ((F.col("id") * 7919) % 5000).alias("k"))
+    got = entries.numbered(df, "g", [F.col("k")]).collect()
+    for g in ("big", "small"):
+        rows = sorted((r for r in got if r.g == g), key=lambda r: r.k)
+        assert [r.position for r in rows] == list(range(1, len(rows) + 1))
+    assert set(got[0].asDict()) == {"g", "k", "position"}

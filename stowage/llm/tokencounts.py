@@ -65,9 +65,9 @@ def count_tokens(
     token may cross a boundary as it does in training; `rule` says where it
     counts (see `attribute`), and sections' counts add up to the document's.
 
-    A null field or text is empty and keeps its row. Rows with equal or null
-    ids are documents of their own. An empty table gives no rows. Other
-    columns are not read.
+    A null field or text is empty and keeps its row; a text is encoded whole,
+    however long. Rows with equal or null ids, or repeated, are documents of
+    their own. An empty table gives no rows. Other columns are not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule: one of {', '.join(RULES)}")

@@ -378,6 +378,44 @@ def test_tokens_are_attributed(spark, docs, texts, no_docs):
         tokencounts.count_tokens(docs, ranks, [], rule="none")
 
 
+def brute_sections(token_lengths, parts, rule):
+    """(tokens, crossing, bytes) of each section, byte by byte."""
+    owner = [k for k, p in enumerate(parts) for _ in p.encode()]
+    out, at = [[0, 0, len(p.encode())] for p in parts], 0
+    for n in token_lengths:
+        held = owner[at : at + n]
+        most = max(sorted(set(held)), key=held.count)
+        to = {"start": held[0], "end": held[-1], "majority": most}[rule]
+        out[to][0] += 1
+        out[to][1] += len(set(held)) > 1
+        at += n
+    assert at == len(owner)
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("rule", tokencounts.RULES)
+@pytest.mark.parametrize("joint", ["", "\n\n", " é"])
+def test_sections_against_brute_force(spark, docs, texts, rule, joint):
+    import base64
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        size = {int(b): len(base64.b64decode(a)) for a, b in map(bytes.split, f)}
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    some = docs.where("doc_id < 20 OR doc_id >= 60")
+    got = defaultdict(dict)
+    for r in tokencounts.count_tokens(some, path, ["source", "lang"], rule=rule, joint=joint).collect():
+        got[r.doc_id][r.section] = (r.n_tokens, r.n_crossing, r.n_bytes)
+    crossing = 0
+    for r in some.collect():
+        parts = [(r.source or "") + joint, (r.lang or "") + joint, r.text or ""]
+        want = brute_sections([size[i] for i in plain.encode("".join(parts)).ids], parts, rule)
+        assert [got[r.doc_id][s] for s in ("source", "lang", "text")] == want
+        crossing += sum(w[1] for w in want)
+    assert crossing or joint
+
+
 def test_crossing_tokens():
     ends, sections = np.array([2, 7, 9]), np.array([3, 6, 6, 9])
     assert tokencounts.attribute(ends, sections, "start")[0].tolist() == [2, 0, 0, 1]

@@ -15,6 +15,8 @@ from . import codecs
 
 #: Codecs whose streams or segments may be encoded block by block and put one after another.
 BLOCK_CODECS = ("gzip", "bzip2", "xz", "zstd", "lz4")
+#: Those whose blocks are streams of their own, that may stay rows of blocks alone.
+ROW_CODECS = (*BLOCK_CODECS, "brotli")
 
 
 def block_rows(df: DataFrame, id_col: str, data_col: str, size: int) -> DataFrame:
@@ -37,7 +39,7 @@ def encode_blocks(blocks: DataFrame, codec: str, level: str = "best") -> DataFra
     deflate segment (gzip), a framed block (lz4) or a whole stream (others).
     stored: kept as it was, as encoding didn't make it smaller (lz4). crc: of
     the raw bytes, CRC-32 for gzip, else XXH32."""
-    if codec not in BLOCK_CODECS:
+    if codec not in ROW_CODECS:
         raise ValueError(f"{codec} has no blocks")
     at, last_at = blocks.columns.index("raw"), blocks.columns.index("last")
     keep = [f for f in blocks.schema.fields if f.name != "raw"]
@@ -156,11 +158,35 @@ def assemble_lz4(encoded: DataFrame, streams: DataFrame) -> DataFrame:
     return whole.mapInArrow(rows, T.StructType([whole.schema["stream_id"], T.StructField("data", T.BinaryType())]))
 
 
+def encode_streams(df: DataFrame, id_col: str, data_col: str, codec: str, level: str = "best", size: int = 1 << 20) -> DataFrame:
+    """(stream_id, data): each value of `data_col` as one stream of the codec.
+    A value is cut into blocks of `size` bytes, which are encoded wherever
+    there is room and put together in order; null gives no row. A codec
+    without blocks can't: see `decode_blocks`."""
+    encoded = encode_blocks(block_rows(df, id_col, data_col, size), codec, level)
+    if codec != "lz4":
+        return assemble(encoded, codec)
+    whole = df.select(F.col(id_col).alias("stream_id"), F.col(data_col).cast("binary").alias("data")).where("data is not null")
+    return assemble_lz4(encoded, whole)
+
+
+def joined(decoded: DataFrame) -> DataFrame:
+    """(stream_id, data): rows of `decode_blocks` put together in order."""
+    g = decoded.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "raw"))).alias("b")).select("stream_id", F.col("b.raw").alias("parts"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([b"".join(batch.column(1)[k].as_py())], pa.binary())], names=["stream_id", "data"])
+
+    return g.mapInArrow(rows, T.StructType([g.schema["stream_id"], T.StructField("data", T.BinaryType())]))
+
+
 def decode_blocks(encoded: DataFrame, codec: str) -> DataFrame:
     """`encoded` (of `encode_blocks`) with raw instead of payload: each block
     is decoded on its own, so that a stream of any length is read block by
     block. A block whose checksum differs fails the query."""
-    if codec not in BLOCK_CODECS:
+    if codec not in ROW_CODECS:
         raise ValueError(f"{codec} has no blocks")
     at, crc_at, len_at = (encoded.columns.index(c) for c in ("payload", "crc", "raw_len"))
     keep = [f for f in encoded.schema.fields if f.name != "payload"]

@@ -10,7 +10,7 @@ from ..operators import archives, blocks, codecs
 from .common import Registry, table
 
 R = Registry()
-BLOCK = 1024
+BLOCK, TRIP_BLOCK = 1024, 64 << 10
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,18 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_trip(codec: str, level: str):
+    """Texts cut into blocks, encoded block by block, put together as streams
+    (brotli stays rows of blocks), and decoded."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        packed = codecs.encode_column(docs(spark, sf_dir), "raw", "packed", codec, level).drop("raw")
-        back = codecs.decode_column(packed, "packed", "data", codec)
-        return back.select("doc_id", F.octet_length("data").cast("long").alias("length"), F.sha2("data", 256).alias("sha256"), F.col("data_error").alias("error"))
+        d = docs(spark, sf_dir)
+        if codec in blocks.BLOCK_CODECS:
+            back = codecs.decode_column(blocks.encode_streams(d, "doc_id", "raw", codec, level, TRIP_BLOCK), "data", "out", codec)
+        else:
+            encoded = blocks.encode_blocks(blocks.block_rows(d, "doc_id", "raw", TRIP_BLOCK), codec, level)
+            back = blocks.joined(blocks.decode_blocks(encoded, codec)).select("stream_id", F.col("data").alias("out"), F.lit(None).cast("string").alias("out_error"))
+        back = back.select(F.col("stream_id").alias("doc_id"), F.octet_length("out").cast("long").alias("length"), F.sha2("out", 256).alias("sha256"), F.col("out_error").alias("error"))
+        return d.select("doc_id").join(back, "doc_id", "left")
 
     return query
 

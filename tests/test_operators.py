@@ -283,13 +283,14 @@ def test_far_zip_offsets():
     assert b"PK\6\6" in tail and b"PK\6\7" in tail
 
 
-@pytest.mark.parametrize("codec", blocks.BLOCK_CODECS)
+@pytest.mark.parametrize("codec", blocks.ROW_CODECS)
 def test_blocks_decode_alone(spark, codec):
     rows = [(k, bytearray(random.Random(k).randbytes(n) if k % 2 else b"ab" * n)[:n]) for k, n in enumerate([0, 1, 99, 100, 101, 730])]
     cut = blocks.block_rows(spark.createDataFrame(rows, "id long, data binary"), "id", "data", 100)
     e = blocks.encode_blocks(cut, codec)
     key = lambda df: sorted((r.stream_id, r.block_index, bytes(r.raw)) for r in df.collect())
     assert key(blocks.decode_blocks(e, codec)) == key(cut)
+    assert {r.stream_id: bytes(r.data) for r in blocks.joined(blocks.decode_blocks(e, codec)).collect()} == {k: bytes(d) for k, d in rows}
     with pytest.raises(Exception, match="io|checksum|Error"):
         blocks.decode_blocks(e.withColumn("crc", F.col("crc") + 1), codec).collect()
 

@@ -14,7 +14,6 @@ PATHS = [
     "docs/guide/intro.md", "./ok/file", "../evil", "/abs/evil", "foo/../../evil", "", ".", "./", "a//b/./c/", "C:\\evil", "..", "docs/.hidden/x", "__MACOSX/y",
     "pics/Thumbs.DB", "a/b\\.c", "docs/guidebook.md", "docs/guide", "readme.txt", "docs/../../x", "./docs/guide/deep/x.md",
 ]
-LINKS = [("sub/link", "/etc/passwd"), ("sub/link", "../../x"), ("link", "sub/ok"), ("sub/link", "../sibling"), ("a/b/c", "../../../x"), ("a/b/c", "./d/../e"), ("x", "..")]
 
 
 def doc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +37,23 @@ def q_sanitize_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_paths(spark, sf_dir).select("doc_id", s.getField("path").alias("safe"), s.getField("error").alias("error"), paths.is_root_entry(F.col("path")).alias("is_root"))
 
 
-RESOLVED = [None, None, "sub/ok", "sibling", None, "a/b/e", None]
+#: A page's path as a link, and another page's, some levels up, as what it points to.
+_LINK = "regexp_extract(url, '://[^/?#]*/?([^?#]*)', 1)"
+SQL_LINKS = f"""l AS (
+  SELECT page_id, {_LINK} AS link, CASE WHEN page_id % 11 = 0 THEN '/' ELSE '' END || repeat('../', CAST(page_id % 4 AS INTEGER)) || string_split(html, ' ')[1 + page_id % 3] || '/./' || {_LINK} AS target FROM pages
+), s AS (
+  SELECT page_id, starts_with(target, '/') AS absolute, list_transform({sql_parts("target")}, lambda c: [c]) AS steps, list_slice({sql_parts("link")}, 1, greatest(len({sql_parts("link")}) - 1, 0)) AS folder FROM l
+), w AS (
+  SELECT page_id, absolute, list_reduce(list_prepend(folder, steps), lambda a, c: CASE WHEN a = ['!'] OR (c = ['..'] AND len(a) = 0) THEN ['!'] WHEN c = ['..'] THEN a[1:len(a) - 1] ELSE list_concat(a, c) END) AS place FROM s
+)"""
 
 
-@R.add(f"SELECT doc_id, {sql_pick(RESOLVED, 'doc_id')} AS resolved FROM documents")
+@R.add(f"WITH {SQL_LINKS} SELECT page_id, CASE WHEN NOT absolute AND place <> ['!'] THEN array_to_string(place, '/') END AS resolved FROM w")
 def q_link_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", paths.resolve_link(pick([a for a, _ in LINKS], i), pick([b for _, b in LINKS], i)).alias("resolved"))
+    i, link = F.col("page_id"), F.regexp_extract("url", "://[^/?#]*/?([^?#]*)", 1)
+    word = F.element_at(F.split("html", " "), (i % 3 + 1).cast("int"))
+    target = F.concat(F.when(i % 11 == 0, F.lit("/")).otherwise(F.lit("")), F.repeat(F.lit("../"), (i % 4).cast("int")), word, F.lit("/./"), link)
+    return table(spark, sf_dir, "pages").select("page_id", paths.resolve_link(link, target).alias("resolved"))
 
 
 _CLEAN = f"array_to_string({_PARTS}, '/')"

@@ -225,14 +225,22 @@ def with_own_hashes(docs: DataFrame, repeated: DataFrame, text_col: str, min_cha
     digests = [F.xxhash64(text), F.xxhash64(F.lit(1), text, F.length(text))]
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for part in parts:
+            new = []
+            for t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                new.append(t not in seen)  # a text that comes again in a task has the same lines
+                if len(seen) < 1_000_000:
+                    seen.add(t)
+            part = part.filter(pa.array(new, pa.bool_()))
             hashes = [np.array(list(keyed(body.as_py() or b"", min_chars)), np.uint64).view(np.int64) for body in part.column(2).cast(pa.binary())]
             sizes = [len(h) for h in hashes]
             ids = [pa.array(np.repeat(part.column(k).to_numpy(), sizes)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*ids, pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], names=["t1", "t2", "h"])
 
     pairs = docs.select(*digests, text).mapInArrow(rows, "t1 long, t2 long, h long").join(repeated, "h", "left_semi")
-    own = pairs.groupBy("t1", "t2").agg(F.collect_set("h")).toDF(*own_names)
+    # written, so that the join below deals both sides anew and can split a text that many rows have
+    own = written(pairs.groupBy("t1", "t2").agg(F.collect_set("h").alias("hs")), "own-lines").toDF(*own_names)
     docs = docs.withColumns(dict(zip(names, digests)))
     found = [F.col(x) == F.col(y) for x, y in zip(names, own_names)]
     return docs.join(own, found, "left").drop(*names, *own_names[:2])

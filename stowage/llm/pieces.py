@@ -25,11 +25,11 @@ CHUNK = 1 << 15
 #: Neighbouring matrices that a task multiplies at once.
 FAN_IN = 8
 #: Words that a worker remembers with their pieces.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 #: Rows whose ids are Python lists at once.
 ROWS = 128
 #: Pairs of pieces that a worker remembers as fitting or not.
-KEPT_PAIRS = 500_000
+KEPT_PAIRS = 300_000
 SPACE, START = "▁", -1
 #: The score of a character without a piece, which is spelled in bytes.
 UNKNOWN = -1e5
@@ -58,7 +58,9 @@ class Scanner:
         self.sp = sp
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
+        self.single = {p: [sp.piece_to_id(p)] for p in self.scores}
         self.longest = max(map(len, self.scores))
+        self.starts = {p[:k] for p in self.scores for k in range(1, len(p))}  # a piece that isn't one has none longer
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, list[int]] = {}
 
@@ -69,9 +71,7 @@ class Scanner:
         return self.sp.encode("\n" + text.replace(SPACE, " "), num_threads=1)[2:]  # without the mark and the line break
 
     def ids(self, piece: str) -> list[int]:
-        if piece in self.scores:
-            return [self.sp.piece_to_id(piece)]
-        return [self.sp.piece_to_id(f"<0x{b:02X}>") for b in piece.encode()]
+        return self.single.get(piece) or [self.sp.piece_to_id(f"<0x{b:02X}>") for b in piece.encode()]
 
     def fits(self, a: str, b: str) -> bool:
         """Whether two neighbouring pieces stay as they are."""
@@ -102,6 +102,8 @@ class Scanner:
                 before = text[node[0] : node[1]]
                 for j in range(at + 1, min(at + self.longest, len(text)) + 1):
                     piece = text[at:j]
+                    if j > at + 1 and text[at : j - 1] not in self.starts:
+                        break
                     if (j > at + 1 and piece not in self.scores) or (before and not self.fits(before, piece)):
                         continue
                     step = self.scores.get(piece, UNKNOWN)
@@ -114,16 +116,45 @@ class Scanner:
         return found
 
     def word(self, text: str) -> list[int]:
-        """The ids of a stretch between two places where no piece goes on."""
+        """The ids of a stretch between two places where no piece goes on: as
+        `reach` and `path` find them, for the one origin that there is."""
         ids = self.words.get(text)
         if ids is None:
-            found = self.reach(text, [(0, 0)], len(text))
-            last = max((t for t in found if t[1] == len(text)), key=lambda t: found[t][0, 0][0])
-            ids = [i for a, b in self.path(found, (0, 0), last) for i in self.ids(text[a:b])]
+            best = max(self.chains(text)[-1], key=lambda c: c[1])
+            spelled = []
+            while best[2] is not None:
+                spelled.append(best[0])
+                best = best[2]
+            ids = [i for piece in reversed(spelled) for i in self.ids(piece)]
             if len(self.words) < KEPT_WORDS and len(text) < 100:
                 self.words[text] = ids
         return ids
 
+    def chains(self, text: str) -> list[list[tuple]]:
+        """For each place in the text the chains (piece, score, the chain
+        before it) of fitting pieces that come to it."""
+        scores, starts, fits = self.scores, self.starts, self.fits
+        ends: list[list[tuple]] = [[] for _ in range(len(text) + 1)]
+        ends[0].append(("", 0.0, None))
+        for at, chains in enumerate(ends):
+            if not chains:
+                continue
+            for j in range(at + 1, len(text) + 1):
+                piece = text[at:j]
+                step = scores.get(piece)
+                if step is None and j == at + 1:
+                    step = UNKNOWN
+                if step is not None:
+                    best = None
+                    for c in chains:
+                        if (best is None or c[1] > best[1]) and (at == 0 or fits(c[0], piece)):
+                            best = c
+                    if best is not None:
+                        ends[j].append((piece, best[1] + step, best))
+                if piece not in starts:
+                    break
+        return ends
+
     def path(self, found: dict, origin: Span, last: Span) -> list[Span]:
         """The pieces after `origin`, up to `last`."""
         out = []

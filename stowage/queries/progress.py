@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path
 from ..streaming import progress
 from .common import Registry, table
 
@@ -35,7 +36,7 @@ def q_session_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.batches(ticks(spark, sf_dir), key="job_id", path="entry")
 
 
-@R.add(f"""
+SQL_SENT = f"""
 WITH RECURSIVE {SQL_TICKS}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ms, event_id) AS k FROM t), s AS (
   SELECT job_id, k, event_id, ms AS sent, entry AS last, true AS forward FROM o WHERE k = 1
   UNION ALL
@@ -43,11 +44,51 @@ WITH RECURSIVE {SQL_TICKS}, o AS (SELECT *, row_number() OVER (PARTITION BY job_
          o.ms - s.sent >= 100 OR o.entry <> s.last
   FROM s JOIN o ON o.job_id = s.job_id AND o.k = s.k + 1
 )
-SELECT job_id, event_id FROM s WHERE forward""")
+SELECT job_id, event_id FROM s WHERE forward"""
+
+
+@R.add(SQL_SENT)
 def q_progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.throttle(ticks(spark, sf_dir)).select("job_id", "event_id")
 
 
+def run_stream(events: DataFrame, shape, out: str) -> DataFrame:
+    """What `shape` makes of `events` as a stream, all of them one micro-batch."""
+    spark = events.sparkSession
+    coming = fresh_path(spark, "coming")
+    events.write.parquet(coming)
+    query = (
+        shape(spark.readStream.schema(events.schema).parquet(coming)).writeStream.format("parquet").outputMode("append").option("path", out)
+        .option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@R.add(SQL_SENT)
+def q_throttle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, throttled with each job's last forwarded event
+    as state."""
+    return run_stream(ticks(spark, sf_dir), progress.throttle_stream, fresh_path(spark, "sent")).select("job_id", "event_id")
+
+
+@R.add(f"""
+WITH {SQL_TICKS}, g AS (
+  SELECT *, coalesce(CAST(ms - lag(ms) OVER w >= 400 AS INTEGER), 0) AS new FROM t WINDOW w AS (PARTITION BY job_id ORDER BY ms, event_id)
+), n AS (
+  SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ms, event_id) AS batch FROM g
+)
+SELECT job_id, min(ms) AS started, count(*) AS n_requests, list_sort(list_distinct(list(entry))) AS paths FROM n GROUP BY job_id, batch""")
+def q_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as a stream of session windows; an event long after the last
+    one moves the watermark past all of them."""
+    t = ticks(spark, sf_dir)
+    end = t.agg(F.lit(None).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("job_id"), (F.max("ms") + 86_400_000).alias("ms"), F.lit("end").alias("entry"))
+    events = t.unionByName(end).select(F.col("job_id").alias("key"), F.timestamp_millis("ms").alias("ts"), F.col("entry").alias("path"))
+    closed = run_stream(events, progress.batch_stream, fresh_path(spark, "sessions")).where("key >= 0")
+    return closed.select(F.col("key").alias("job_id"), F.unix_millis("session.start").alias("started"), "n_requests", "paths")
+
+
 @R.add(f"WITH {SQL_TICKS} SELECT job_id, arg_max(event_id, ms * 10000000 + event_id) AS event_id, max(ms) AS ms FROM t GROUP BY job_id")
 def q_progress_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.final_events(ticks(spark, sf_dir)).select("job_id", "event_id", "ms")

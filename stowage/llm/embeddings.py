@@ -62,9 +62,9 @@ class Cell:
         self.counts: dict[int, int] = {}
         self.edges: list[tuple[int, int]] = []
 
-    def compare(self, own_ids, own, others_ids, others, visiting) -> None:
-        for at in range(0, len(others), BLOCK):
-            ids, visit = others_ids[at : at + BLOCK], visiting[at : at + BLOCK]
+    def compare(self, own_ids, own_weights, own, others_ids, others_weights, others, visiting) -> None:
+        for at in range(0, len(others_ids), BLOCK):
+            ids, weights, visit = (x[at : at + BLOCK] for x in (others_ids, others_weights, visiting))
             s = own[0] @ others[0][at : at + BLOCK].T  # in single precision; what is near the threshold is done again in double
             near = (own[0].shape[1] + 8) * 1.2e-7
             hit = s >= self.threshold
@@ -77,9 +77,9 @@ class Cell:
             hit = hit[np.ix_(rows, cols)]
             a, b = own_ids[rows], ids[cols]
             hit &= a[:, None] != b[None, :]
-            for k, n in zip(a.tolist(), hit.sum(1).tolist()):
+            for k, n in zip(a.tolist(), (hit @ weights[cols]).tolist()):
                 self.counts[k] = self.counts.get(k, 0) + n
-            for k, n, v in zip(b.tolist(), hit.sum(0).tolist(), visit[cols].tolist()):
+            for k, n, v in zip(b.tolist(), (own_weights[rows] @ hit).tolist(), visit[cols].tolist()):
                 if v:  # of the cell's own pairs each side is counted as a row once
                     self.counts[k] = self.counts.get(k, 0) + n
             self.span(hit, a, b)
@@ -97,7 +97,8 @@ class Cell:
 
 
 def compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """batches: (dim, cell, i, j, kind, rid, embedding), sorted but for rid.
+    """batches: (dim, cell, i, j, kind, rid, weight, embedding), sorted but
+    for rid. weight: how many rows have the vector.
     kind: 0 own vectors, 1 others of the cell, 2 visitors from earlier cells.
     A group (dim, cell, i, j) holds at most OWN_ROWS + OTHER_ROWS vectors,
     give or take what a hash deals unevenly."""
@@ -107,14 +108,15 @@ def compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
     def done():
         kinds = np.concatenate([h[0] for h in held])
         ids = np.concatenate([h[1] for h in held])
-        vectors = [x for h in held for x in h[2]]
+        weights = np.concatenate([h[2] for h in held])
+        vectors = [x for h in held for x in h[3]]
         own, other = np.flatnonzero(kinds == 0), np.flatnonzero(kinds > 0)
         if not len(own) or not len(other):
             return
         unit, raw = units(vectors, group[0])
         cell = Cell(threshold)
         unit = unit.astype(np.float32)
-        cell.compare(ids[own], (unit[own], raw[own]), ids[other], (unit[other], raw[other]), kinds[other] == 2)
+        cell.compare(ids[own], weights[own], (unit[own], raw[own]), ids[other], weights[other], (unit[other], raw[other]), kinds[other] == 2)
         keys = np.fromiter(cell.counts.keys(), np.int64, len(cell.counts))
         n = np.fromiter(cell.counts.values(), np.int64, len(cell.counts))
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([None] * len(keys), pa.int64()), pa.array(n)], schema=schema)
@@ -132,8 +134,8 @@ def compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
                 held = []
             group = tuple(names[a].tolist())
             part = batch.slice(a, b - a)
-            flat = part.column(6).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
-            held.append((part.column(4).to_numpy(), part.column(5).to_numpy(), list(flat)))
+            flat = part.column(7).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+            held.append((*(part.column(k).to_numpy() for k in (4, 5, 6)), list(flat)))
     if held:
         yield from done()
 
@@ -144,8 +146,9 @@ def near_duplicates(
     """(vec_id, n_links, component_id, kept): all rows are compared by cosine
     in double precision and linked at `threshold` (over 0) or more.
 
-    Pivots, different vectors, one for `cell_rows` rows, partition the vectors
-    of their dimension; a vector visits the later cells whose vectors it may
+    Equal vectors (told apart by 128 bits) are compared once, with their
+    number as a weight, however many rows have them. Pivots, one for
+    `cell_rows` vectors, partition those of their dimension; a vector visits the later cells whose vectors it may
     be linked with by the triangle inequality, so each pair meets once, or
     can't be linked. Cells join on their own, in chunks; a cell that holds
     many rows, or a dimension without a pivot, is cut into more of them.
@@ -163,14 +166,18 @@ def near_duplicates(
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("e"))
     finite = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
     good = F.col("e").isNotNull() & finite & F.exists("e", lambda c: c != 0)
-    v = written(v.select(F.monotonically_increasing_id().alias("rid"), "vec_id", F.when(good, F.col("e")).alias("e")), "vectors")
-    usable = v.where("e is not null").select("rid", "e", F.size("e").alias("dim"))
-
-    n_rows = v.count()
+    e = F.when(good, F.col("e"))
+    digests = [F.xxhash64(e).alias("h1"), F.xxhash64(F.lit(1), e, F.size(e)).alias("h2")]
+    v = written(v.select(F.monotonically_increasing_id().alias("rid"), "vec_id", e.alias("e"), *digests), "vectors")
+    each = v.where("e is not null").groupBy("h1", "h2").agg(F.min("rid").alias("rid"), F.first("e").alias("e"), F.count("*").alias("weight"))
+    each = written(each, "distinct-vectors")
+    usable = each.select("rid", "weight", "e", F.size("e").alias("dim"))
+
+    n_rows = each.count()
     pivots = min(MOST_PIVOTS, max(1, math.ceil(n_rows / cell_rows)))
     chosen = usable.groupBy("dim").agg(F.min(F.struct(F.xxhash64("e").alias("h"), "e")).alias("p"))  # every dimension has one at least
-    # about eight times as many as are wanted, by hash, so that a vector that is often repeated is one candidate
-    some = usable.select("e", F.xxhash64("e").alias("h")).where(F.pmod("h", F.lit(max(1, n_rows // (8 * pivots)))) == 0).distinct()
+    # about eight times as many as are wanted, by hash
+    some = usable.select("e", F.xxhash64("e").alias("h")).where(F.pmod("h", F.lit(max(1, n_rows // (8 * pivots)))) == 0)
     picked = [r.e for r in some.orderBy(F.xxhash64("h"), "e").limit(pivots).collect()]
     picked += [r.e for r in chosen.orderBy("dim").limit(MOST_PIVOTS).select("p.e").collect()]
     by_dim: dict[int, np.ndarray] = {}
@@ -179,9 +186,9 @@ def near_duplicates(
     shared = spark.sparkContext.broadcast(by_dim)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "e", "dim", "home", "visits"]
+        names = ["rid", "weight", "e", "dim", "home", "visits"]
         for batch in batches:
-            lists, dims = batch.column(1), batch.column(2).to_numpy()
+            lists, dims = batch.column(2), batch.column(3).to_numpy()
             homes, visits = np.zeros(len(batch), np.int32), [[]] * len(batch)
             for dim in np.unique(dims).tolist():
                 if dim in shared.value:
@@ -192,7 +199,7 @@ def near_duplicates(
                         visits[k] = row
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(homes), pa.array(visits, pa.list_(pa.int32()))], names=names)
 
-    placed = written(usable.mapInArrow(dealt, f"rid long, e array<{kind}>, dim int, home int, visits array<int>"), "cells")
+    placed = written(usable.mapInArrow(dealt, f"rid long, weight long, e array<{kind}>, dim int, home int, visits array<int>"), "cells")
     # as many rows as dimensions times pivots
     sizes = placed.select("dim", F.explode(F.concat(F.array("home"), "visits")).alias("cell"), "home").groupBy("dim", "cell").agg(
         F.sum((F.col("home") == F.col("cell")).cast("long")).alias("own"), F.count("*").alias("all")
@@ -200,22 +207,25 @@ def near_duplicates(
     sizes = sizes.select("dim", "cell", F.ceil(F.col("own") / OWN_ROWS).cast("int").alias("ni"), F.ceil(F.col("all") / OTHER_ROWS).cast("int").alias("nj"))
     kinds = F.explode(F.concat(F.array(F.struct(F.col("home").alias("cell"), F.lit(0).alias("kind")), F.struct(F.col("home").alias("cell"), F.lit(1).alias("kind"))),
                                F.transform("visits", lambda c: F.struct(c.alias("cell"), F.lit(2).alias("kind")))))
-    parts = placed.select("rid", "e", "dim", kinds.alias("x")).select("rid", "e", "dim", "x.cell", "x.kind").join(F.broadcast(sizes) if small(by_dim) else sizes, ["dim", "cell"])
+    parts = placed.select("rid", "weight", "e", "dim", kinds.alias("x")).select("rid", "weight", "e", "dim", "x.cell", "x.kind").join(F.broadcast(sizes) if small(by_dim) else sizes, ["dim", "cell"])
     all_of = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
     one_of = lambda n, seed: F.array(F.pmod(F.xxhash64("rid", F.lit(seed)), F.greatest(F.col(n), F.lit(1))).cast("int"))
     own = F.col("kind") == 0
     parts = parts.withColumn("i", F.explode(F.when(own, one_of("ni", 1)).otherwise(all_of("ni"))))
     parts = parts.withColumn("j", F.explode(F.when(own, all_of("nj")).otherwise(one_of("nj", 2))))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts.select("dim", "cell", "i", "j", "kind", "rid", "e").repartition(n, "dim", "cell", "i", "j").sortWithinPartitions("dim", "cell", "i", "j", "kind")
+    parts = parts.select("dim", "cell", "i", "j", "kind", "rid", "weight", "e").repartition(n, "dim", "cell", "i", "j").sortWithinPartitions("dim", "cell", "i", "j", "kind")
     found = written(parts.mapInArrow(lambda batches: compared(batches, threshold), "u long, v long, n long"), "links")
 
     counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("n_links")).withColumnRenamed("u", "rid")
     roots = connected_components(found.where("v is not null")).withColumnRenamed("node", "rid")
-    rooted = v.select("rid", "vec_id").join(roots, "rid", "left").select("rid", "vec_id", F.coalesce("root", "rid").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    out = rooted.join(first, "root").join(counts, "rid", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    classes = each.select("h1", "h2", "rid", "weight").join(roots, "rid", "left").join(counts, "rid", "left")
+    others = F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1
+    classes = written(classes.select("h1", "h2", F.coalesce("root", "rid").alias("root"), others.alias("n_links")), "classes")
+    rooted = v.select("rid", "vec_id", "h1", "h2", F.col("e").isNotNull().alias("usable")).join(classes, ["h1", "h2"], "left")
+    rooted = rooted.select("vec_id", F.when(F.col("usable"), F.col("root")).otherwise(F.col("rid")).alias("root"), F.when(F.col("usable"), F.col("n_links")).otherwise(0).alias("n_links"))
+    first = written(rooted.groupBy("root").agg(F.min("vec_id").alias("component_id")), "components")
+    return rooted.join(first, "root").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
 def small(by_dim: dict[int, np.ndarray]) -> bool:

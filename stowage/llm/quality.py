@@ -65,9 +65,9 @@ def class_counts(text: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(text.translate(CLASS_OF), np.uint8), minlength=CLASSES)
 
 
-def word_key(word: bytes) -> bytes:
-    """The word; of a long one a digest, after a byte that no text has."""
-    return word if len(word) <= KEY_BYTES else b"\xff" + xxhash.xxh3_128_digest(word)
+def word_keys(words: list[bytes]) -> list[bytes]:
+    """The words; of a long one a digest, after a byte that no text has."""
+    return [w if len(w) <= KEY_BYTES else b"\xff" + xxhash.xxh3_128_digest(w) for w in words]
 
 
 @dataclass
@@ -111,7 +111,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", co
                 classes[lang] = classes.get(lang, 0) + class_counts(body)
                 all_words = body.lower().split()
                 totals[lang] += len(all_words)
-                words.setdefault(lang, Counter()).update(map(word_key, all_words))
+                words.setdefault(lang, Counter()).update(word_keys(all_words))
             if sum(map(len, words.values())) > WORDS_AT_ONCE:
                 yield from drained()
         yield from drained()
@@ -208,7 +208,7 @@ def divergence(text: bytes, lang: str | None, refs: References, before: Distance
         by_class = [distance(counts / counts.sum(), refs.classes[x]) for x in langs]
     words = text.lower().split()
     if len(words) >= GUARD_WORDS:
-        held = Counter(map(word_key, words))
+        held = Counter(word_keys(words))
         for x in langs:
             shares = refs.words[x]
             p = np.array([held[w] for w in shares], np.float64) / len(words)

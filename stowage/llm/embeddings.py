@@ -72,16 +72,17 @@ class Cell:
                 a, b = own[1][i], others[1][at + j]
                 hit[i, j] = a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= self.threshold
             rows, cols = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
-            if not len(rows):
+            hit = hit[np.ix_(rows, cols)] & (own_ids[rows][:, None] != ids[cols][None, :])
+            some, other = hit.any(1), hit.any(0)  # most vectors are near themselves alone
+            if not some.any():
                 continue
-            hit = hit[np.ix_(rows, cols)]
-            a, b = own_ids[rows], ids[cols]
-            hit &= a[:, None] != b[None, :]
-            for k, n in zip(a.tolist(), (hit @ weights[cols]).tolist()):
-                self.counts[k] = self.counts.get(k, 0) + n
-            for k, n, v in zip(b.tolist(), (own_weights[rows] @ hit).tolist(), visit[cols].tolist()):
+            hit, rows, cols = hit[np.ix_(some, other)], rows[some], cols[other]
+            a, b, linked = own_ids[rows], ids[cols], hit.astype(np.float64)  # whole numbers below 2 ** 53
+            for k, n in zip(a.tolist(), (linked @ weights[cols].astype(np.float64)).tolist()):
+                self.counts[k] = self.counts.get(k, 0) + int(n)
+            for k, n, v in zip(b.tolist(), (own_weights[rows].astype(np.float64) @ linked).tolist(), visit[cols].tolist()):
                 if v:  # of the cell's own pairs each side is counted as a row once
-                    self.counts[k] = self.counts.get(k, 0) + n
+                    self.counts[k] = self.counts.get(k, 0) + int(n)
             self.span(hit, a, b)
 
     def span(self, hit, a, b) -> None:
@@ -148,11 +149,11 @@ def near_duplicates(
 
     Equal vectors (told apart by 128 bits) are compared once, with their
     number as a weight, however many rows have them. Pivots, one for
-    `cell_rows` vectors, partition those of their dimension; a vector visits the later cells whose vectors it may
-    be linked with by the triangle inequality, so each pair meets once, or
-    can't be linked. Cells join on their own, in chunks; a cell that holds
-    many rows, or a dimension without a pivot, is cut into more of them.
-    Chunks give counts and spanning links.
+    `cell_rows` vectors, partition those of their dimension; a vector visits
+    the later cells whose vectors it may be linked with by the triangle
+    inequality, so each pair meets once, or can't be linked. Cells join on
+    their own, in chunks; a cell that holds many rows, or a dimension without
+    a pivot, is cut into more of them. Chunks give counts and spanning links.
 
     Vectors that are null, empty, zero or hold null or non-finite components,
     and vectors of different lengths, aren't linked. Rows with one id are

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import fresh_path
@@ -14,10 +14,26 @@ R = Registry()
 SCALE = 60_000
 
 
+def epoch_ms(events: DataFrame, name: str) -> Column:
+    """The milliseconds of a time; one without a zone is read as UTC, whatever
+    the session's zone."""
+    if dict(events.dtypes)[name] != "timestamp_ntz":
+        return F.unix_millis(F.col(name).cast("timestamp"))
+    since = F.col(name) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.floor(since.cast("interval second").cast("decimal(18,6)") * 1000).cast("long")
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as progress: the user is the job, the type the entry."""
-    ms = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / SCALE)
-    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("job_id"), ms.alias("ms"), F.col("event_type").alias("entry"))
+    events = table(spark, sf_dir, "events")
+    ms = F.floor(epoch_ms(events, "ts") / SCALE)
+    return events.select("event_id", F.col("user_id").alias("job_id"), ms.alias("ms"), F.col("event_type").alias("entry"))
+
+
+def rank() -> Column:
+    """What orders a job's first and last events in the SQL: the order of
+    time, up to ids of ten million."""
+    return F.col("ms") * 10_000_000 + F.col("event_id")
 
 
 SQL_TICKS = f"t AS (SELECT event_id, user_id AS job_id, epoch_ms(ts) // {SCALE} AS ms, event_type AS entry FROM events)"
@@ -91,7 +107,7 @@ def q_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"WITH {SQL_TICKS} SELECT job_id, arg_max(event_id, ms * 10000000 + event_id) AS event_id, max(ms) AS ms FROM t GROUP BY job_id")
 def q_progress_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.final_events(ticks(spark, sf_dir)).select("job_id", "event_id", "ms")
+    return progress.final_events(ticks(spark, sf_dir), rank=rank()).select("job_id", "event_id", "ms")
 
 
 @R.add(f"""

@@ -98,11 +98,14 @@ def throttle_stream(events: DataFrame, *, interval_ms: int = INTERVAL_MS) -> Dat
     )
 
 
-def final_events(events: DataFrame, *, job: str = "job_id", ms: str = "ms", order: str = "event_id") -> DataFrame:
-    """Each job's last event, which is forwarded whatever the throttle says."""
+def final_events(events: DataFrame, *, job: str = "job_id", ms: str = "ms", order: str = "event_id", rank: Column | None = None) -> DataFrame:
+    """Each job's last event, which is forwarded whatever the throttle says,
+    at the job's last time. `rank`: what orders the events in place of (`ms`,
+    `order`); those that have none aren't last."""
     columns = [c for c in events.columns if c != job]
-    last = F.max_by(F.struct(*columns), F.struct(ms, order))
-    return events.groupBy(job).agg(last.alias("last")).select(job, "last.*")
+    last = F.max_by(F.struct(*(c for c in columns if c != ms)), F.struct(ms, order) if rank is None else rank)
+    found = events.groupBy(job).agg(last.alias("last"), F.max(ms).alias(ms))
+    return found.select(job, *(c if c == ms else F.col("last")[c].alias(c) for c in columns))
 
 
 def violations(events: DataFrame, *, job: str = "job_id", ms: str = "ms", order: str = "event_id") -> DataFrame:

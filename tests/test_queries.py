@@ -22,3 +22,31 @@ def test_query(spark, con, name):
 
 def test_every_query_has_sql():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+
+
+def events(folder, rows):
+    """A folder of events (event_id, minute, user_id, event_type)."""
+    import duckdb
+
+    values = ", ".join(f"({i}::BIGINT, TIMESTAMP '2024-03-10 00:00:00' + INTERVAL ({m}) MINUTE, {u}::BIGINT, '{e}')" for i, m, u, e in rows)
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {values}) t(event_id, ts, user_id, event_type)) TO '{folder}/events.parquet'")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    return con
+
+
+@pytest.fixture
+def new_york(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    yield spark
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+#: A job whose last minute has not its largest id, ids beyond ten million, and hours that New York's clocks skip.
+FAR = [(40_000_000, 0, 1, "a"), (1, 1, 1, "b"), (2, 2, 1, "a"), (90_000_000, 150, 1, "b"), (3, 151, 1, "a"), (4, 5, 2, "c")]
+
+
+def test_final_events_by_rank_in_any_zone(new_york, tmp_path, con):
+    own = events(tmp_path, FAR)
+    assert_equal(catalogue.QUERIES["q_progress_final"](new_york, str(tmp_path)), own, catalogue.ORACLES["q_progress_final"])
+    assert_equal(catalogue.QUERIES["q_progress_final"](new_york, SF), con, catalogue.ORACLES["q_progress_final"])

@@ -49,7 +49,7 @@ WITH {SQL_TICKS}, g AS (
 )
 SELECT job_id, CAST(batch AS BIGINT) AS batch, min(ms) AS started, CAST(sum(n) AS BIGINT) AS n_requests, list(entry ORDER BY ms, first) AS paths FROM f GROUP BY job_id, batch""")
 def q_session_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.batches(ticks(spark, sf_dir), key="job_id", path="entry")
+    return progress.batches(ticks(spark, sf_dir), key="job_id", path="entry", rank=rank())
 
 
 SQL_SENT = f"""

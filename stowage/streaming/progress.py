@@ -119,13 +119,15 @@ def violations(events: DataFrame, *, job: str = "job_id", ms: str = "ms", order:
     return numbered.withColumn("why", why).drop("run_", "back_").where("why is not null")
 
 
-def batches(requests: DataFrame, *, key: str = "key", ms: str = "ms", path: str = "path", order: str = "event_id", debounce_ms: int = DEBOUNCE_MS) -> DataFrame:
+def batches(requests: DataFrame, *, key: str = "key", ms: str = "ms", path: str = "path", order: str = "event_id", debounce_ms: int = DEBOUNCE_MS, rank: Column | None = None) -> DataFrame:
     """(`key`, batch, started, n_requests, paths): requests that follow each
     other within `debounce_ms` are one batch; its paths are distinct, in the
-    order they first came."""
+    order they first came. `rank`: what says which of a path's requests was
+    the first (it settles paths of one time), in place of (`ms`, `order`)."""
     late = lambda prev: F.coalesce(F.col(ms) - prev["ms"] > debounce_ms, F.lit(False))
     numbered = numbered_runs(requests.select(key, ms, path, order), key, ms, order, [], late).withColumnRenamed("run_", "batch")
-    firsts = numbered.groupBy(key, "batch", path).agg(F.min(F.struct(ms, order)).alias("at"), F.count("*").alias("n"))
+    first = F.min_by(order, F.struct(ms, order) if rank is None else rank)
+    firsts = numbered.groupBy(key, "batch", path).agg(F.struct(F.min(ms).alias(ms), first.alias(order)).alias("at"), F.count("*").alias("n"))
     paths = F.transform(F.array_sort(F.collect_list(F.struct("at", path))), lambda x: x[path])
     return firsts.groupBy(key, "batch").agg(F.min(f"at.{ms}").alias("started"), F.sum("n").alias("n_requests"), paths.alias("paths"))
 

@@ -50,3 +50,13 @@ def test_final_events_by_rank_in_any_zone(new_york, tmp_path, con):
     own = events(tmp_path, FAR)
     assert_equal(catalogue.QUERIES["q_progress_final"](new_york, str(tmp_path)), own, catalogue.ORACLES["q_progress_final"])
     assert_equal(catalogue.QUERIES["q_progress_final"](new_york, SF), con, catalogue.ORACLES["q_progress_final"])
+
+
+#: Entries of one minute, and ids that differ by more than ten million within a batch.
+TIED = [(40_000_000, 0, 1, "a"), (30_000_000, 0, 1, "b"), (1, 1, 1, "a"), (2, 500, 1, "c"), (3, 150, 2, "c"), (50_000_000, 151, 2, "b"), (9, 152, 2, "b")]
+
+
+def test_batches_by_rank_in_any_zone(new_york, tmp_path, con):
+    own = events(tmp_path, TIED)
+    assert_equal(catalogue.QUERIES["q_session_batch"](new_york, str(tmp_path)), own, catalogue.ORACLES["q_session_batch"])
+    assert_equal(catalogue.QUERIES["q_session_batch"](new_york, SF), con, catalogue.ORACLES["q_session_batch"])

@@ -133,7 +133,10 @@ def batches(requests: DataFrame, *, key: str = "key", ms: str = "ms", path: str
 
 
 def batch_stream(requests: DataFrame, *, key: str = "key", ts: str = "ts", path: str = "path", debounce: str = "400 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """As `batches` for a stream, by event time: a session window."""
-    return requests.withWatermark(ts, late).groupBy(F.session_window(ts, debounce).alias("session"), key).agg(
+    """As `batches` for a stream, by event time: a session window. A request
+    just `debounce` after the one before starts a new one; Spark's windows
+    take in what comes at their end, so they end a microsecond earlier."""
+    gap = f"{debounce} -1 microseconds"
+    return requests.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("session"), key).agg(
         F.count("*").alias("n_requests"), F.array_sort(F.collect_set(path)).alias("paths")
     )

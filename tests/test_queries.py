@@ -60,3 +60,9 @@ def test_batches_by_rank_in_any_zone(new_york, tmp_path, con):
     own = events(tmp_path, TIED)
     assert_equal(catalogue.QUERIES["q_session_batch"](new_york, str(tmp_path)), own, catalogue.ORACLES["q_session_batch"])
     assert_equal(catalogue.QUERIES["q_session_batch"](new_york, SF), con, catalogue.ORACLES["q_session_batch"])
+
+
+def test_stream_sessions_split_at_the_gap_itself(new_york, tmp_path):
+    """Requests 399, 400 and 401 ticks after each other: the SQL splits from 400 on."""
+    own = events(tmp_path, [(1, 0, 1, "a"), (2, 399, 1, "b"), (3, 799, 1, "c"), (4, 1200, 1, "d"), (5, 1599, 1, "d"), (6, 0, 2, "a")])
+    assert_equal(catalogue.QUERIES["q_session_stream"](new_york, str(tmp_path)), own, catalogue.ORACLES["q_session_stream"])

@@ -13,10 +13,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats, paths
+from ..shared import small_batches, stretches
 from . import codecs
 
 ENTRIES = (
@@ -68,11 +70,13 @@ def members(entries: DataFrame, container: str, level: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for path, content, kind, mode, mtime, link in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                made.append((tar_member(path, content, kind, mode, mtime, link), None) if container == "tar" else zip_member(path, content, kind, mode, link, level))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([m[k] for m in made], pa.binary()) for k in (0, 1))], schema=schema)
+            for start, length in stretches(1024 + (n or 0) for n in pc.binary_length(batch.column(3)).to_pylist()):
+                part, made = batch.slice(start, length), []
+                for path, content, kind, mode, mtime, link in zip(*(c.to_pylist() for c in part.columns[2:])):
+                    made.append((tar_member(path, content, kind, mode, mtime, link), None) if container == "tar" else zip_member(path, content, kind, mode, link, level))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array([m[k] for m in made], pa.binary()) for k in (0, 1))], schema=schema)
 
+    small_batches(entries.sparkSession)
     cols = ["archive", "ordinal", "path", F.col("content").cast("binary").alias("content"), "kind", "mode", "mtime", "link_target"]
     return entries.select(*cols).mapInArrow(rows, "archive string, ordinal long, member binary, central binary")
 
@@ -201,6 +205,7 @@ def read_entries(blobs: DataFrame, *, name_col: str = "archive", data_col: str =
                 if held:
                     yield made(archive, held)
 
+    small_batches(cols.sparkSession)
     return cols.mapInArrow(rows, ENTRIES)
 
 

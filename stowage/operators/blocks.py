@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import small_batches, stretches
 from . import codecs
 
 #: Codecs whose streams or segments may be encoded block by block and put one after another.
@@ -60,6 +61,7 @@ def encode_blocks(blocks: DataFrame, codec: str, level: str = "best") -> DataFra
             columns += [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.bool_(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in keep), "payload", "stored", "crc"])
 
+    small_batches(blocks.sparkSession)
     return blocks.mapInArrow(rows, T.StructType([*keep, *new]))
 
 
@@ -140,6 +142,7 @@ def assemble(encoded: DataFrame, codec: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([data], pa.binary())], names=["stream_id", "data"])
 
     whole = in_order(encoded)
+    small_batches(whole.sparkSession)
     return whole.mapInArrow(rows, T.StructType([whole.schema["stream_id"], T.StructField("data", T.BinaryType())]))
 
 
@@ -155,6 +158,7 @@ def assemble_lz4(encoded: DataFrame, streams: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([data], pa.binary())], names=["stream_id", "data"])
 
     whole = in_order(encoded).join(hashed, "stream_id").select("stream_id", "parts", "content")
+    small_batches(whole.sparkSession)
     return whole.mapInArrow(rows, T.StructType([whole.schema["stream_id"], T.StructField("data", T.BinaryType())]))
 
 
@@ -179,6 +183,7 @@ def joined(decoded: DataFrame) -> DataFrame:
             for k in range(len(batch)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([b"".join(batch.column(1)[k].as_py())], pa.binary())], names=["stream_id", "data"])
 
+    small_batches(g.sparkSession)
     return g.mapInArrow(rows, T.StructType([g.schema["stream_id"], T.StructField("data", T.BinaryType())]))
 
 
@@ -206,8 +211,11 @@ def decode_blocks(encoded: DataFrame, codec: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [one(*x) for x in zip(*(batch.column(k).to_pylist() for k in (at, crc_at, len_at)))]
-            columns = [c for k, c in enumerate(batch.columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(raw, pa.binary())], names=[*(f.name for f in keep), "raw"])
+            for start, length in stretches(batch.column(len_at).to_pylist()):
+                part = batch.slice(start, length)
+                raw = [one(*x) for x in zip(*(part.column(k).to_pylist() for k in (at, crc_at, len_at)))]
+                columns = [c for k, c in enumerate(part.columns) if k != at]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(raw, pa.binary())], names=[*(f.name for f in keep), "raw"])
 
+    small_batches(encoded.sparkSession)
     return encoded.mapInArrow(rows, T.StructType([*keep, T.StructField("raw", T.BinaryType())]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import digests, paths
 from ..operators import archives, blocks
 from ..operators import entries as ops
-from ..shared import fresh_path
+from ..shared import fresh_path, small_batches
 from ..sources import register
 from ..sources.tree import store
 from .common import Registry, table
@@ -33,6 +33,7 @@ def write_files(files: DataFrame, folder: str) -> None:
                     out.write(content or b"")
             yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
 
+    small_batches(files.sparkSession)
     files.select("rel", F.col("content").cast("binary").alias("content")).mapInArrow(rows, "n long").write.format("noop").mode("overwrite").save()
 
 

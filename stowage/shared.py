@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that a Python worker is handed, and holds, at a time (one row may be more).
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, by
+    `spark.sql.execution.arrow.maxBytesPerBatch` unless it is less already: a
+    worker's memory then doesn't depend on the table's size or the rows'."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def stretches(sizes: Iterable[int], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of stretches of rows whose `sizes` come to `limit` at
+    most together; a larger row is a stretch of its own."""
+    start = end = total = 0
+    for n in sizes:
+        if end > start and total + n > limit:
+            yield start, end - start
+            start, total = end, 0
+        end, total = end + 1, total + n
+    if end > start:
+        yield start, end - start
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: its lineage ends there,
     and a lost executor costs no recomputation."""

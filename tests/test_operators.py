@@ -313,3 +313,40 @@ def test_numbering_of_a_large_group(spark):
         rows = sorted((r for r in got if r.g == g), key=lambda r: r.k)
         assert [r.position for r in rows] == list(range(1, len(rows) + 1))
     assert set(got[0].asDict()) == {"g", "k", "position"}
+
+
+@pytest.mark.parametrize("codec", ["lz4", "brotli"])
+def test_damaged_streams_leave_no_memory(codec):
+    """6000 streams cut short left 7 KB each."""
+    import os
+
+    import psutil
+
+    cut = codecs.ENCODERS[codec](os.urandom(20_000), "fast")[:-5]
+    rss = psutil.Process().memory_info
+    for k in range(7000):
+        if k == 1000:
+            before = rss().rss
+        with pytest.raises(OSError):
+            codecs.decode(codec, cut)
+    assert rss().rss - before < 20e6
+
+
+def test_python_holds_a_few_mb_at_a_time(spark):
+    """Batches, and what is made of them, don't grow with the rows."""
+    from stowage.shared import BATCH_BYTES, stretches
+
+    assert list(stretches([3, 3, 9, 1, 1], 6)) == [(0, 2), (2, 1), (3, 2)] and list(stretches([], 6)) == []
+    d = spark.range(0, 300, 1, 1).select(F.col("id").alias("k"), F.lit(b"x" * 100_000).alias("raw"))
+    encoded = codecs.encode_column(d, "raw", "x", "zstd")
+    decoded = codecs.decode_column(encoded.select("k", "x"), "x", "data", "zstd")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([len(b)])], names=["bytes", "rows"])
+
+    for df in (d, decoded):
+        got = df.mapInArrow(sizes, "bytes long, rows long").collect()
+        assert sum(r.rows for r in got) == 300 and max(r.bytes for r in got) < BATCH_BYTES + 300_000

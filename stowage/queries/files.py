@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import digests, paths
 from ..operators import archives, blocks
 from ..operators import entries as ops
-from ..shared import fresh_path, small_batches
+from ..shared import fresh_path, small_batches, written
 from ..sources import register
 from ..sources.tree import store
 from .common import Registry, table
@@ -135,7 +135,8 @@ def q_archive_add_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     the archives and their sidecars published anew."""
     folder = fresh_path(spark, "published")
     publish(doc_archives(spark, sf_dir), folder)
-    old = archives.read_entries(published(spark, folder), with_content=True).drop("error", "is_dir", "size")
+    # read once: the keys of what is added, the clashes and what is kept all come of it
+    old = written(archives.read_entries(published(spark, folder), with_content=True).drop("error", "is_dir", "size"), "entries")
     stem = F.regexp_replace("archive", r"\.tgz$", "")
     english = old.where(F.startswith("path", F.lit("./docs/en/")))
     new = english.select(*(c for c in old.columns if c not in ("path", "content")), paths.base_name(F.col("path")).alias("path"), stem.cast("binary").alias("content"), F.lit("docs/en").alias("prefix"))

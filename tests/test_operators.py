@@ -350,3 +350,13 @@ def test_python_holds_a_few_mb_at_a_time(spark):
     for df in (d, decoded):
         got = df.mapInArrow(sizes, "bytes long, rows long").collect()
         assert sum(r.rows for r in got) == 300 and max(r.bytes for r in got) < BATCH_BYTES + 300_000
+
+
+def test_added_to_archives_are_read_once(spark, tmp_path, monkeypatch):
+    """The entries of the archives that are added to come from a written table."""
+    from stowage.queries import files
+
+    made = []
+    monkeypatch.setattr(files, "written", lambda df, name, w=files.written: made.append(name) or w(df, name))
+    files.q_archive_add_files(spark, "/root/testdata/sf0.001")
+    assert made == ["entries"]

@@ -18,6 +18,8 @@ from . import codecs
 BLOCK_CODECS = ("gzip", "bzip2", "xz", "zstd", "lz4")
 #: Those whose blocks are streams of their own, that may stay rows of blocks alone.
 ROW_CODECS = (*BLOCK_CODECS, "brotli")
+#: Levels that encode 5 MB a second and core at most: there a block's way to another task costs less than that task's waiting.
+SLOW = (("xz", "best"), ("xz", "edge"), ("zstd", "edge"), ("brotli", "edge"))
 
 
 def block_rows(df: DataFrame, id_col: str, data_col: str, size: int) -> DataFrame:
@@ -35,13 +37,21 @@ def block_rows(df: DataFrame, id_col: str, data_col: str, size: int) -> DataFram
     )
 
 
+def dealt(blocks: DataFrame) -> DataFrame:
+    """`blocks` in equal shares, eight for a core, whatever files they were
+    read from: none waits long for the last one."""
+    return blocks.repartition(8 * blocks.sparkSession.sparkContext.defaultParallelism, "stream_id", "block_index")
+
+
 def encode_blocks(blocks: DataFrame, codec: str, level: str = "best") -> DataFrame:
     """`blocks` without raw, with payload, stored and crc: each block as a
     deflate segment (gzip), a framed block (lz4) or a whole stream (others).
     stored: kept as it was, as encoding didn't make it smaller (lz4). crc: of
-    the raw bytes, CRC-32 for gzip, else XXH32."""
+    the raw bytes, CRC-32 for gzip, else XXH32. For a slow level the blocks are
+    dealt to all tasks first."""
     if codec not in ROW_CODECS:
         raise ValueError(f"{codec} has no blocks")
+    blocks = dealt(blocks) if (codec, level) in SLOW else blocks
     at, last_at = blocks.columns.index("raw"), blocks.columns.index("last")
     keep = [f for f in blocks.schema.fields if f.name != "raw"]
     new = [T.StructField("payload", T.BinaryType()), T.StructField("stored", T.BooleanType()), T.StructField("crc", T.LongType())]

@@ -360,3 +360,15 @@ def test_added_to_archives_are_read_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "written", lambda df, name, w=files.written: made.append(name) or w(df, name))
     files.q_archive_add_files(spark, "/root/testdata/sf0.001")
     assert made == ["entries"]
+
+
+@pytest.mark.parametrize("codec,level", blocks.SLOW)
+def test_slow_levels_get_equal_shares(spark, codec, level):
+    """Blocks of one file, which is one task, are encoded by many."""
+    d = spark.range(0, 640, 1, 1).select(F.col("id").alias("k"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("raw"))
+    cut = blocks.block_rows(d, "k", "raw", 1024)
+    e = blocks.encode_blocks(cut, codec, level).withColumn("task", F.spark_partition_id())
+    shares = [r["count"] for r in e.groupBy("task").count().collect()]
+    assert sum(shares) == 640 and len(shares) >= 7 * spark.sparkContext.defaultParallelism and max(shares) <= 640 / 16
+    back = blocks.joined(blocks.decode_blocks(e.drop("task"), codec))
+    assert {r.stream_id: bytes(r.data) for r in back.collect()} == {k: f"text {k}".encode() for k in range(640)}

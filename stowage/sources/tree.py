@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import os
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -66,7 +68,7 @@ class TreeReader(DataSourceReader):
     """The folders nearest the top are listed by the driver, until there are
     PARTS of them or LISTED were looked into; the tasks walk the rest."""
 
-    PARTS, LISTED = 64, 1024
+    PARTS, LISTED, LOOKED = 64, 1024, 1000
 
     def __init__(self, options: dict):
         self.root = options["path"].rstrip("/") or "/"
@@ -80,7 +82,7 @@ class TreeReader(DataSourceReader):
         while open_ and len(open_) + len(whole) < self.PARTS and listed < self.LISTED:
             folder = open_.popleft()
             levels = self.levels(folder.rel)
-            for name, is_dir, size in self.listed(folder.rel):
+            for name, is_dir, size in sorted(self.listed(folder.rel)):
                 rel = f"{folder.rel}/{name}" if folder.rel else name
                 entry = Entry(rel, is_dir, size, folder.included and self.kept(rel, is_dir, levels), is_dir)
                 if entry.included or not self.only_included:
@@ -91,13 +93,19 @@ class TreeReader(DataSourceReader):
         entries = [*open_, *whole]
         return [Part(entries[k :: self.PARTS]) for k in range(min(len(entries), self.PARTS))] or [Part([])]
 
-    def listed(self, rel: str) -> list[tuple[str, bool, int]]:
+    def listed(self, rel: str) -> Iterator[tuple[str, bool, int]]:
+        """What lies in a folder, in the store's order. A local folder, however
+        large, is held LOOKED entries at a time."""
         from pyarrow import fs
 
         system, base = store(self.root)
-        found = system.get_file_info(fs.FileSelector(f"{base}/{rel}" if rel else base))
-        rows = [(f.base_name, f.type == fs.FileType.Directory, f.size or 0) for f in found]
-        return sorted(rows, key=lambda r: r[0].encode())
+        folder = f"{base}/{rel}" if rel else base
+        if isinstance(system, fs.LocalFileSystem):
+            with os.scandir(folder) as entries:
+                while paths := [e.path for e in itertools.islice(entries, self.LOOKED)]:
+                    yield from ((f.base_name, f.type == fs.FileType.Directory, f.size or 0) for f in system.get_file_info(paths) if f.type != fs.FileType.NotFound)
+        else:
+            yield from ((f.base_name, f.type == fs.FileType.Directory, f.size or 0) for f in system.get_file_info(fs.FileSelector(folder)))
 
     def rules_of(self, rel: str) -> list[ignore.Pattern]:
         from pyarrow.fs import FileType

@@ -52,6 +52,25 @@ def test_patterns(line, path, is_dir, want):
     assert ignore.verdict(ignore.patterns(line), path, is_dir) is want
 
 
+def test_a_large_folder_is_not_held(tmp_path):
+    """A task holds a stretch of a folder's entries, however many there are."""
+    import tracemalloc
+
+    from stowage.sources.tree import Entry, TreeReader
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for k in range(20_000):
+        (tmp_path / "in" / f"{k}.txt").touch()
+    (tmp_path / "in" / "gone").symlink_to("nothing")
+    reader = TreeReader({"path": str(tmp_path)})
+    next(reader.listed("in"))
+    tracemalloc.start()
+    n = sum(not is_dir for _, _, is_dir, _, _ in reader.walk(Entry("in", True, 0, True, True)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000 and peak < 1e6
+
+
 def test_archive_sink(spark, tmp_path):
     register(spark)
     out = tmp_path / "out"

@@ -372,3 +372,28 @@ def test_slow_levels_get_equal_shares(spark, codec, level):
     assert sum(shares) == 640 and len(shares) >= 7 * spark.sparkContext.defaultParallelism and max(shares) <= 640 / 16
     back = blocks.joined(blocks.decode_blocks(e.drop("task"), codec))
     assert {r.stream_id: bytes(r.data) for r in back.collect()} == {k: f"text {k}".encode() for k in range(640)}
+
+
+def test_archives_and_streams_come_a_few_mb_at_a_time(spark):
+    """What tasks hand to Python of archives, their entries and streams doesn't grow with the rows."""
+    from stowage.shared import BATCH_BYTES
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([len(b)])], names=["bytes", "rows"])
+
+    body, none = F.lit(b"x" * 100_000), F.lit(None)
+    ids = spark.range(0, 300, 1, 1).select("id", F.concat(F.lit("a"), F.col("id").cast("string"), F.lit(".tar")).alias("archive"))
+    rows = ids.select(
+        "archive", "id", F.lit("f").alias("path"), body.alias("content"), F.lit("file").alias("kind"), none.cast("int").alias("mode"), none.cast("long").alias("mtime"),
+        none.cast("string").alias("link_target"),
+    ).withColumnRenamed("id", "ordinal")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    packed = archives.pack(rows, "tar")
+    read = archives.read_entries(packed, with_content=True)
+    back = codecs.decode_column(blocks.encode_streams(ids.withColumn("raw", body), "id", "raw", "bzip2", "fast", 64 << 10), "data", "out", "bzip2")
+    for df in (packed, read, back):
+        got = df.coalesce(1).mapInArrow(sizes, "bytes long, rows long").collect()
+        assert sum(r.rows for r in got) == 300 and max(r.bytes for r in got) < BATCH_BYTES + 300_000

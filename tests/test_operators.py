@@ -397,3 +397,29 @@ def test_archives_and_streams_come_a_few_mb_at_a_time(spark):
     for df in (packed, read, back):
         got = df.coalesce(1).mapInArrow(sizes, "bytes long, rows long").collect()
         assert sum(r.rows for r in got) == 300 and max(r.bytes for r in got) < BATCH_BYTES + 300_000
+
+
+@pytest.mark.parametrize("name", ["q_roundtrip_bzip2_fast"])
+def test_queries_hand_python_a_few_mb_at_a_time(spark, monkeypatch, name):
+    """Over one file of 25 MB of text, in every Python step of the query, both ways."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    from stowage import catalogue
+    from stowage.shared import BATCH_BYTES
+
+    most = BATCH_BYTES + 1_000_000  # and a row, of which the largest is an archive
+    steps, plain = [], DataFrame.mapInArrow
+
+    def watched(self, func, *args, **kwargs):
+        def small(batches, what):
+            for b in batches:
+                if b.nbytes > most:
+                    raise ValueError(f"{what}: {b.nbytes} bytes in {len(b)} rows")
+                yield b
+
+        steps.append(func)
+        return plain(self, lambda batches: small(func(small(batches, "handed over")), "handed back"), *args, **kwargs)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", watched)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    catalogue.QUERIES[name](spark, "/root/testdata/sf0.1").write.format("noop").mode("overwrite").save()
+    assert len(steps) >= 3

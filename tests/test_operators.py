@@ -399,7 +399,7 @@ def test_archives_and_streams_come_a_few_mb_at_a_time(spark):
         assert sum(r.rows for r in got) == 300 and max(r.bytes for r in got) < BATCH_BYTES + 300_000
 
 
-@pytest.mark.parametrize("name", ["q_roundtrip_bzip2_fast", "q_list_tar_zst_sniff"])
+@pytest.mark.parametrize("name", ["q_roundtrip_bzip2_fast", "q_list_tar_zst_sniff", "q_below_links"])
 def test_queries_hand_python_a_few_mb_at_a_time(spark, monkeypatch, name):
     """Over one file of 25 MB of text, in every Python step of the query, both ways."""
     from pyspark.sql.classic.dataframe import DataFrame
